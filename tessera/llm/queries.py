@@ -3,17 +3,39 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm.common import read_table
+from tessera.llm.common import crc_bucket, read_table
 from tessera.llm.jaccard_join import jaccard_classes
+from tessera.llm.quality import fit_quality, score_quality
+from tessera.llm.toxicity import count_trigrams, fit_toxicity, language_model, score_toxicity
+
+
+def _scored(rows: DataFrame, folds: int, held: int, threshold: float) -> DataFrame:
+    return rows.select("doc_id", (crc_bucket("doc_id", folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, read_table(spark, sf_dir, "labels"))
+    return _scored(score_quality(docs, model).drop("text"), 5, 0, 0.3)
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(read_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    lm = language_model(count_trigrams(docs))
+    model = fit_toxicity(docs, read_table(spark, sf_dir, "labels"), lm)
+    return _scored(score_toxicity(docs, model, lm).drop("text"), 3, 1, 0.7)
+
+
 QUERIES = {
+    "op4_quality_classifier": op4_quality_classifier,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op8_toxicity": op8_toxicity,
 }
 
 #: DuckDB SQL for those that SQL can express on whole tables in reasonable time.
