@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import crc_bucket, read_table
+from tessera.llm.itq_dedup import near_duplicate_vectors
 from tessera.llm.jaccard_join import jaccard_classes
+from tessera.llm.packing import pack
 from tessera.llm.quality import fit_quality, score_quality
+from tessera.llm.topk_search import scaled_integers, top_k
 from tessera.llm.toxicity import count_trigrams, fit_toxicity, language_model, score_toxicity
 
 
@@ -21,6 +25,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(score_quality(docs, model).drop("text"), 5, 0, 0.3)
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(read_table(spark, sf_dir, "documents"))
 
@@ -32,10 +40,22 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(score_toxicity(docs, model, lm).drop("text"), 3, 1, 0.7)
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = scaled_integers(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1024.0)
+    return top_k(vectors, vectors.where("id % 100 = 0"), 10)
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_exact_topk": op7_exact_topk,
     "op8_toxicity": op8_toxicity,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 #: DuckDB SQL for those that SQL can express on whole tables in reasonable time.
