@@ -10,6 +10,7 @@ from tessera.llm.common import crc_bucket, read_table
 from tessera.llm.itq_dedup import near_duplicate_vectors
 from tessera.llm.jaccard_join import jaccard_classes
 from tessera.llm.packing import pack
+from tessera.llm.pii import KINDS, as_text, count_of, find_personal_data
 from tessera.llm.quality import fit_quality, score_quality
 from tessera.llm.topk_search import scaled_integers, top_k
 from tessera.llm.toxicity import count_trigrams, fit_toxicity, language_model, score_toxicity
@@ -19,6 +20,12 @@ def _scored(rows: DataFrame, folds: int, held: int, threshold: float) -> DataFra
     return rows.select("doc_id", (crc_bucket("doc_id", folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [count_of(F.col("base"), k).alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_quality(docs, read_table(spark, sf_dir, "labels"))
@@ -50,6 +57,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_pii": op2_pii,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
