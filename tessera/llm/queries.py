@@ -12,6 +12,7 @@ from tessera.llm.jaccard_join import jaccard_classes
 from tessera.llm.packing import pack
 from tessera.llm.pii import KINDS, as_text, count_of, find_personal_data
 from tessera.llm.quality import fit_quality, score_quality
+from tessera.llm.suffix_dedup import remove_repeats
 from tessera.llm.topk_search import scaled_integers, top_k
 from tessera.llm.toxicity import count_trigrams, fit_toxicity, language_model, score_toxicity
 
@@ -26,6 +27,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents")).drop("text")
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_quality(docs, read_table(spark, sf_dir, "labels"))
@@ -58,6 +63,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_pii": op2_pii,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
