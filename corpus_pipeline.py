@@ -6,12 +6,17 @@ stage's ``docs``. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, read_table
 from tessera.llm.jaccard_join import jaccard_classes
+from tessera.llm.mixing import mix_to_targets
+from tessera.llm.packing import pack
+from tessera.llm.pii import find_personal_data, redact
 from tessera.llm.quality import fit_quality, score_quality
+from tessera.llm.queries import WEIGHTS, labelled_domains
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,7 +35,28 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(leaders, "doc_id", "left_anti").select(*COLUMNS)
 
 
-STAGES = [("quality", quality_stage), ("near_duplicates", near_duplicate_stage)]
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each personal span replaced by its kind; ``n_chars`` follows the new text."""
+    found = find_personal_data(docs.select(*COLUMNS))
+    clean = found.withColumn("text", redact(F.col("text"), F.col("spans")))
+    return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its rate says: toxic and poor ones less than once, good ones once or, rarely, twice.
+
+    The budget leaves good documents a rate of at least 1, so none of them is lost to rounding.
+    """
+    mixed = mix_to_targets(docs.select(*COLUMNS), labelled_domains(read_table(spark, sf_dir, "labels")), WEIGHTS, "good", anchor_scale=1.1)
+    return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens with their places in training sequences."""
+    return pack(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality", quality_stage), ("near_duplicates", near_duplicate_stage), ("personal_data", personal_data_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
 
 #: Classifiers, hashing tokenizers and packing have no SQL; tests hold each stage against brute force.
 ORACLE_SQL = None

@@ -108,13 +108,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, size: int, cost: float = 1.0
     return LinearModel(w.astype(np.float32), bias, slope, offset)
 
 
-def fit_on_sample(docs: DataFrame, labels: DataFrame, train: Column, featurize: Callable[[pa.Array], Iterator[np.ndarray]], size: int, most_rows: int = 10_000, most_features: int = 30_000_000) -> LinearModel:
+def fit_on_sample(docs: DataFrame, labels: DataFrame, train: Column, featurize: Callable[[pa.Array], Iterator[np.ndarray]], size: int, most_rows: int = 10_000, most_features: int = 30_000_000, classes: int = 0) -> LinearModel | list[LinearModel]:
     """Fit on labelled rows where ``train`` holds: at most ``most_rows`` ids (by hash) and ``most_features`` features in all.
 
+    With ``classes``, labels are 0 to classes - 1, and there is a model of each against the others.
     ``docs(doc_id, text)``, ``labels(doc_id, label)``; null ids and labels are not learned from, and of an id with
     several labels the largest counts. The sample's ids are broadcast; they are as few as that bound.
     """
-    chosen = labels.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & train).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+    chosen = labels.where(F.col("doc_id").isNotNull() & F.col("label").between(0, max(1, classes - 1)) & train).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
 
@@ -131,15 +132,18 @@ def fit_on_sample(docs: DataFrame, labels: DataFrame, train: Column, featurize:
                     break
                 rows.append(np.frombuffer(x, np.int32))
                 labels.append(y)
-        m = fit(rows, np.array(labels, int), size)
-        yield pa.RecordBatch.from_arrays([pa.array([m.weights.astype(np.float32).tobytes()], pa.binary()), *(pa.array([v], pa.float64()) for v in (m.bias, m.slope, m.offset))], ["weights", "bias", "slope", "offset"])
+        y = np.array(labels, int)
+        for n in range(max(1, classes)):
+            m = fit(rows, (y == n).astype(int) if classes else y, size)
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([m.weights.astype(np.float32).tobytes()], pa.binary()), *(pa.array([v], pa.float64()) for v in (m.bias, m.slope, m.offset))], ["n", "weights", "bias", "slope", "offset"])
 
     made = rows.mapInArrow(features, "doc_id long, label int, features binary")
     made = made.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "features")
-    found = made.mapInArrow(train_one, "weights binary, bias double, slope double, offset double").first()
-    if found is None:
-        return fit([], np.zeros(0, int), size)
-    return LinearModel(np.frombuffer(found.weights, np.float32), found.bias, found.slope, found.offset)
+    found = made.mapInArrow(train_one, "n int, weights binary, bias double, slope double, offset double").collect()
+    models = [LinearModel(np.frombuffer(r.weights, np.float32), r.bias, r.slope, r.offset) for r in sorted(found)]
+    if not models:
+        models = [fit([], np.zeros(0, int), size)] * max(1, classes)
+    return models if classes else models[0]
 
 
 def score_texts(docs: DataFrame, model: LinearModel, featurize: Callable[[pa.Array], Iterator[np.ndarray]]) -> DataFrame:

@@ -6,12 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_bucket, read_table
+from tessera.llm.common import crc_bucket, new_path, read_table
 from tessera.llm.itq_dedup import near_duplicate_vectors
 from tessera.llm.jaccard_join import jaccard_classes
+from tessera.llm.mixing import mix_to_targets
 from tessera.llm.packing import pack
 from tessera.llm.pii import KINDS, as_text, count_of, find_personal_data
 from tessera.llm.quality import fit_quality, score_quality
+from tessera.llm.sharding import arrive_and_compact
 from tessera.llm.suffix_dedup import remove_repeats
 from tessera.llm.topk_search import scaled_integers, top_k
 from tessera.llm.toxicity import count_trigrams, fit_toxicity, language_model, score_toxicity
@@ -21,6 +23,22 @@ def _scored(rows: DataFrame, folds: int, held: int, threshold: float) -> DataFra
     return rows.select("doc_id", (crc_bucket("doc_id", folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+#: Wanted shares of tokens by domain.
+WEIGHTS = {"good": 0.90, "toxic": 0.04, "poor": 0.06}
+
+
+def labelled_domains(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of the labels table: poor where the quality label is 0, else toxic or good."""
+    domain = F.when(F.col("quality") == 0, "poor").when(F.col("toxic") == 1, "toxic").when((F.col("quality") == 1) & (F.col("toxic") == 0), "good")
+    return labels.select("doc_id", domain.alias("domain")).where("domain is not null and doc_id is not null")
+
+
+def op1_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    mixed = mix_to_targets(docs, labelled_domains(read_table(spark, sf_dir, "labels")), WEIGHTS, "good")
+    return mixed.select("doc_id", "n_tokens", "domain", "posterior", "rate", "copies")
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [count_of(F.col("base"), k).alias(f"n_{k}") for k in KINDS]
@@ -57,11 +75,17 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("id % 100 = 0"), 10)
 
 
+def op9_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = arrive_and_compact(read_table(spark, sf_dir, "documents"), new_path(spark, "shards"))
+    return store.read().select("doc_id", "shard", F.sha2("text", 256).alias("text_sha256"), F.octet_length("text").cast("long").alias("n_bytes"))
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {
+    "op1_mixing_to_targets": op1_mixing_to_targets,
     "op2_pii": op2_pii,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_quality_classifier": op4_quality_classifier,
@@ -69,6 +93,7 @@ QUERIES = {
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_exact_topk": op7_exact_topk,
     "op8_toxicity": op8_toxicity,
+    "op9_size_tiered_shards": op9_size_tiered_shards,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
