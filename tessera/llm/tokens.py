@@ -2,34 +2,57 @@
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
 
 import numpy as np
+import tiktoken
 from tokenizers import Tokenizer
 
+#: Fixed value: how byte-level BPE splits a text before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space with white space or an end beside it: there, words can't be encoded one by one.
 _UNEVEN = re.compile(r"(?:^|\s) | (?:\s|$)")
+_ENDING = re.compile(r"([^\W\d_]+)([.,;:!?]+)\Z")
+
+
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
 class Encoder(dict):
     """Text to little-endian 32-bit ids, the same as ``Tokenizer.encode(text, add_special_tokens=False)`` of the file.
 
     Byte-level BPE first splits a text, and a single space between two other signs always begins a new part. So
-    what lies between such spaces is encoded once, with its space, and looked up from then on (at most
-    ``MOST`` entries, after which it starts anew). Other texts are encoded as a whole.
+    what lies between such spaces is encoded once, with its space, and looked up from then on (at most ``MOST``
+    entries, after which it starts anew); an ending of points is a part of its own. Other texts are encoded as
+    a whole, and those that hold a special token's string by the tokenizer itself.
     """
 
-    MOST, LONGEST = 200_000, 64
+    MOST, LONGEST = 900_000, 40
 
     def __init__(self, vocabulary: str):
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(vocabulary, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        letters = byte_letters()
+        ranks = {bytes(map(letters.__getitem__, token)): i for token, i in vocab.items() if token not in self.special}
+        self.encode = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.encode(text)).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.whole(" " + word)
+        ending = _ENDING.match(word)
+        if ending and len(word) <= self.LONGEST:
+            ids = self[ending[1]] + self["\0" + ending[2]]
+        else:
+            ids = self.whole(word[1:]) if word[:1] == "\0" else self.whole(" " + word)
         if len(word) <= self.LONGEST:
             if len(self) >= self.MOST:
                 self.clear()
@@ -37,7 +60,12 @@ class Encoder(dict):
         return ids
 
     def __call__(self, text: str) -> bytes:
-        if _UNEVEN.search(text) or any(s in text for s in self.special):
-            return self.whole(text)
+        if any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if "\0" in text or _UNEVEN.search(text):
+            try:
+                return self.whole(text)
+            except UnicodeEncodeError:  # a lone surrogate has no bytes
+                return self.whole(text.encode("utf-8", "replace").decode())
         first, *words = text.split(" ")
         return self.whole(first) + b"".join(map(self.__getitem__, words))
