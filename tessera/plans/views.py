@@ -54,8 +54,36 @@ def v_probe(spark, d):
     )
 
 
+def v_manifest(spark, d):
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    return docs.join(labels, "doc_id", "left").selectExpr(
+        "concat('a-', doc_id) AS id", "doc_id", "coalesce(toxic, 0) AS label", "concat('client', doc_id % 8) AS client", "source AS carrier", "lang",
+        "element_at(array('isolated', 'sequence', 'mixed', 'background', 'challenge', 'parser'), cast(doc_id % 6 + 1 AS int)) AS stage",
+        "CASE WHEN doc_id % 11 = 0 THEN 'external' ELSE 'core' END AS role", "doc_id % 25 AS scenario", "CASE WHEN doc_id % 3 = 0 THEN 'encode+split' WHEN doc_id % 3 = 1 THEN 'encode' ELSE 'none' END AS transform",
+        "CASE WHEN coalesce(toxic, 0) = 1 THEN 'probe' ELSE 'benign' END AS intent", "doc_id % 997 AS seed", "sha2(text, 256) AS payload", "n_chars",
+    )
+
+
+def v_child(spark, d):
+    return table(spark, d, "conversations").selectExpr("conv_id AS parent", "turn", "role", "text")
+
+
+def v_score(spark, d):
+    score = "cast(conv(substr(sha2(cast(doc_id AS string), 256), 1, 8), 16, 10) AS bigint) % 1000 / 1000.0D"
+    return table(spark, d, "labels").where("quality is not null").selectExpr("doc_id", "quality AS label", f"{score} AS score")
+
+
+def v_log(spark, d):
+    k = "cast(get_json_object(props, '$.k') AS bigint)"
+    return table(spark, d, "events").selectExpr("event_id", "user_id AS src", "CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'B' END AS stream", "event_type AS kind", f"{k} % 5 AS service", f"{k} % 11 AS host", f"{MICROS.format('ts')} AS ts_us")
+
+
 #: SQL of the views, in order of use.
 SQL_VIEWS = {
+    "v_manifest": "SELECT 'a-' || doc_id AS id, doc_id, coalesce(toxic, 0) AS label, 'client' || (doc_id % 8) AS client, source AS carrier, lang, ['isolated', 'sequence', 'mixed', 'background', 'challenge', 'parser'][doc_id % 6 + 1] AS stage, CASE WHEN doc_id % 11 = 0 THEN 'external' ELSE 'core' END AS role, doc_id % 25 AS scenario, CASE WHEN doc_id % 3 = 0 THEN 'encode+split' WHEN doc_id % 3 = 1 THEN 'encode' ELSE 'none' END AS transform, CASE WHEN coalesce(toxic, 0) = 1 THEN 'probe' ELSE 'benign' END AS intent, doc_id % 997 AS seed, sha256(text) AS payload, n_chars FROM documents LEFT JOIN labels USING (doc_id)",
+    "v_child": "SELECT conv_id AS parent, turn, role, text FROM conversations",
+    "v_score": "SELECT doc_id, quality AS label, (('0x' || substr(sha256(doc_id::VARCHAR), 1, 8))::BIGINT % 1000) / 1000.0::DOUBLE AS score FROM labels WHERE quality IS NOT NULL",
+    "v_log": "SELECT event_id, user_id AS src, CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'B' END AS stream, event_type AS kind, CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 AS service, CAST(json_extract_string(props, '$.k') AS BIGINT) % 11 AS host, epoch_us(ts) AS ts_us FROM events",
     "v_client": "SELECT c_custkey AS id, c_name AS name, (DATE '1950-01-01' + CAST((c_custkey * 37) % 20000 AS INTEGER))::DATE AS birthdate FROM customer",
     "v_card": "SELECT o_orderkey AS id_cards, o_custkey AS id_per, o_orderstatus = 'O' AS active, o_orderpriority AS payment_system FROM orders",
     "v_txn": "SELECT l_orderkey AS id_cards, l_linenumber AS line, l_shipdate AS operation_date, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS operation, l_extendedprice AS amount FROM lineitem",
