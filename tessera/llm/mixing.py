@@ -46,19 +46,30 @@ def memberships(docs: DataFrame, models: list[LinearModel]) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def rate_after(steps: list[np.ndarray]) -> Column:
-    """The rate of a document after projected steps, each of which lowers it by posterior . step and stops at 0."""
+def _after(steps: list[np.ndarray]) -> Column:
+    """(rate, ahead) of a document after projected steps: each lowers the rate by posterior . step from ``ahead``, stops it at 0, and looks ahead along the change."""
+    start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
     if not steps:
-        return F.lit(1.0)
-    table = F.array(*(F.array(*(F.lit(float(x)) for x in step)) for step in steps))
-    return F.aggregate(table, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with("posterior", s, lambda p, x: p * x), F.lit(0.0), lambda a, b: a + b)))
+        return start
+    table = F.array(*(F.struct(F.array(*(F.lit(float(x)) for x in step)).alias("step"), F.lit(n / (n + 3.0)).alias("reach")) for n, step in enumerate(steps)))
+
+    def move(now: Column, s: Column) -> Column:
+        dot = F.aggregate(F.zip_with("posterior", s["step"], lambda p, x: p * x), F.lit(0.0), lambda a, b: a + b)
+        rate = F.greatest(F.lit(0.0), now["ahead"] - dot)
+        return F.struct(rate.alias("rate"), (rate + s["reach"] * (rate - now["rate"])).alias("ahead"))
+
+    return F.aggregate(table, start, move)
+
+
+def rate_after(steps: list[np.ndarray]) -> Column:
+    return _after(steps)["rate"]
 
 
 def fit_rates(soft: DataFrame, targets: np.ndarray, tolerance: float = 1e-3, most_steps: int = 40) -> list[np.ndarray]:
     """Steps of projected gradient descent on sum_d (sum_i rate_i tokens_i posterior_id - target_d)^2 / target_d.
 
     The gradient is taken in the metric that weighs a document by its tokens, so a step moves a rate by its posterior
-    alone. Stops when every total is within ``tolerance`` of its target, or when steps no longer help.
+    alone. Steps are accelerated. Stops when every total is within ``tolerance`` of its target, or after ``most_steps``.
     """
     k = len(targets)
     weight = 1.0 / np.maximum(targets, 1.0)
@@ -70,17 +81,16 @@ def fit_rates(soft: DataFrame, targets: np.ndarray, tolerance: float = 1e-3, mos
             gram[a, b] = gram[b, a] = first[f"m{a}_{b}"] or 0.0
     scale = np.sqrt(weight)
     steepest = float(np.linalg.eigvalsh(gram * scale[:, None] * scale[None, :])[-1])
-    steps, last = [], np.inf
+    steps: list[np.ndarray] = []
     if steepest <= 0:
         return steps
     for _ in range(most_steps):
-        totals = soft.agg(*(F.sum(rate_after(steps) * F.col("n_tokens") * p[d]).alias(f"t{d}") for d in range(k))).first()
-        miss = np.array([t or 0.0 for t in totals]) - targets
-        now = float((miss * miss * weight).sum())
-        if (np.abs(miss) <= tolerance * np.maximum(targets, 1.0)).all() or now > last * (1 - 1e-6):
+        placed = soft.withColumn("_s", _after(steps))
+        sums = [F.sum(F.col("_s")[kind] * F.col("n_tokens") * p[d]) for kind in ("rate", "ahead") for d in range(k)]
+        totals = np.array([t or 0.0 for t in placed.agg(*(c.alias(f"t{i}") for i, c in enumerate(sums))).first()])
+        if (np.abs(totals[:k] - targets) <= tolerance * np.maximum(targets, 1.0)).all():
             break
-        last = now
-        steps.append(miss * weight / steepest)
+        steps.append((totals[k:] - targets) * weight / steepest)
     return steps
 
 
