@@ -37,11 +37,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so lost executors never replay its lineage."""
+def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write ``df`` (in a folder for each value of ``by``) to the shared folder and read it back, so lost executors never replay its lineage."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=list(by) or None)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
