@@ -133,6 +133,8 @@ class ShardStore:
         paths = sorted(s["path"] for s in now["shards"])
         df = self.spark.read.schema(self._ddl(now["schema"])).parquet(*paths)
         numbers = self.spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "file_path string, shard long")
+        if len(paths) <= 10_000:  # a few MB; beyond that the join shuffles
+            numbers = F.broadcast(numbers)
         return df.withColumn("file_path", F.col("_metadata.file_path")).join(numbers, "file_path").drop("file_path")
 
 
