@@ -81,6 +81,32 @@ def test_jaccard_classes(spark, corpus, direct):
     assert got == brute_components(corpus)
 
 
+def test_jaccard_large_buckets_of_several_mains(spark):
+    """Families of 81 sets around an unlinked first one, with a few links; some members' largest bucket is that of a common word."""
+    rng, count = random.Random(1), iter(range(10**9))
+
+    def new(n):
+        return [f"w1x{next(count)}" for _ in range(n)]
+
+    sets = [["w", *new(19)] for _ in range(700)]
+    for _ in range(4):
+        core = new(17)
+        first, rest = core + new(3), [core + new(3) for _ in range(70)]
+        for _ in range(5):
+            z = new(1)
+            rest += [core + z + new(2), [*core, *z, "w", *new(1)]]
+        rng.shuffle(rest)
+        sets += [first, *rest]
+    held, expected = [set(s) for s in sets], list(range(len(sets)))
+    for i, a in enumerate(held):
+        for j in range(i):
+            if 100 * len(a & held[j]) >= 80 * len(a | held[j]):
+                x, y = sorted((expected[i], expected[j]))
+                expected = [x if e == y else e for e in expected]
+    got = jaccard_classes(table(spark, [" ".join(s) for s in sets]), words=1, common_least=10**6).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(expected))
+
+
 def test_jaccard_edges(spark):
     assert jaccard_classes(table(spark, ["a b c d e f"]).limit(0)).count() == 0
     rows = jaccard_classes(table(spark, ["a b c d e f"] * 3, [None, 4, 4])).collect()
