@@ -18,6 +18,25 @@ def byte_entropy(value: Column) -> Column:
     return F.when(F.coalesce(n, F.lit(0.0)) == 0, F.lit(0.0)).otherwise(F.aggregate(F.transform(F.array_distinct(codes), term), F.lit(0.0), lambda a, b: a + b))
 
 
+def long_byte_entropy(value: Column) -> Column:
+    """``byte_entropy`` for values of any length: the bytes are sorted once, and each distinct one is counted by where it begins."""
+    codes = F.sort_array(F.regexp_extract_all(F.hex(F.encode(value, "UTF-8")), F.lit("(..)"), 1))
+
+    def of_starts(starts: Column, n: Column) -> Column:
+        def term(at: Column, i: Column) -> Column:
+            p = (F.coalesce(F.get(starts, i + 1), n + 1) - at) / n
+            return -p * F.log2(p)
+
+        return F.aggregate(F.transform(starts, term), F.lit(0.0), lambda a, b: a + b)
+
+    def of_sorted(held: Column) -> Column:
+        starts = F.transform(F.array_distinct(held), lambda x: F.array_position(held, x))
+        return F.transform(F.array(starts), lambda x: of_starts(x, F.size(held)))[0]
+
+    # an array of one binds a value to a name, so it isn't computed again for each element
+    return F.when(F.coalesce(F.octet_length(value), F.lit(0)) == 0, F.lit(0.0)).otherwise(F.transform(F.array(codes), of_sorted)[0])
+
+
 def share_of(value: Column, char_class: str) -> Column:
     """Share of characters in a class of the regular-expression kind; 0 when empty."""
     return F.char_length(F.regexp_replace(value, f"[^{char_class}]", "")) / F.greatest(F.lit(1), F.char_length(value))

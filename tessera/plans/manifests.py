@@ -45,6 +45,19 @@ def fields(s, d):
     return table(s, d, "documents").select("doc_id", F.col("source").alias("field_name"), F.expr("left(text, 2000)").alias("value"))
 
 
+def whole_fields(s, d):
+    """As ``fields``, with whole texts; the SQL of the queries on ``fields`` takes their first 2,000 characters."""
+    return table(s, d, "documents").select("doc_id", F.col("source").alias("field_name"), F.col("text").alias("value"))
+
+
+def char_ratios(df):
+    return df.select("doc_id", *(F.round(tx.share_of(F.col("value"), c), 6).alias(n) for n, c in (("digits", "0-9"), ("upper", "A-Z"), ("lower", "a-z"), ("spaces", r"\x20"), ("printable", r"\x20-\x7E"))))
+
+
+def field_shape(df):
+    return df.select("doc_id", F.char_length("value").alias("n_chars"), F.octet_length("value").alias("n_bytes"), F.round(tx.unique_share(F.col("value")), 6).alias("unique_share"), F.substring(F.sha2(F.expr("left(value, 8)"), 256), 1, 12).alias("prefix_hash"))
+
+
 def factor(name, grammar, group, values):
     return F.element_at(F.array(*map(F.lit, values)), (F.regexp_extract("id", grammar, group).cast("int") % len(values) + 1)).alias(name)
 
@@ -79,9 +92,13 @@ QUERIES = {
     "feat_availability": lambda s, d: v_manifest(s, d).select("id", F.col("transform").rlike("^enc").cast("int").alias("encrypted"), F.col("stage").isin("mixed", "parser").cast("int").alias("bypass"), (F.col("lang") != "en").cast("int").alias("hidden"), (F.col("n_chars") > 500).cast("int").alias("any_rows")),
     "topk_compositions": lambda s, d: v_manifest(s, d).where(F.contains("transform", F.lit("+"))).groupBy("transform", "carrier").agg(F.count("*").alias("n")).where("n >= 10").orderBy(F.desc("n"), "transform", "carrier").limit(8),
     "fn_entropy": lambda s, d: fields(s, d).select("doc_id", F.round(tx.byte_entropy(F.col("value")), 6).alias("entropy")),
-    "fn_char_ratios": lambda s, d: fields(s, d).select("doc_id", *(F.round(tx.share_of(F.col("value"), c), 6).alias(n) for n, c in (("digits", "0-9"), ("upper", "A-Z"), ("lower", "a-z"), ("spaces", r"\x20"), ("printable", r"\x20-\x7E")))),
+    "fn_char_ratios": lambda s, d: char_ratios(fields(s, d)),
     "fn_grammar": lambda s, d: table(s, d, "documents").withColumn("first_word", F.substring_index("text", " ", 1)).select("doc_id", *(c.alias(n) for n, c in tx.grammar_flags(F.col("first_word")).items())),
-    "fn_field_shape": lambda s, d: fields(s, d).select("doc_id", F.char_length("value").alias("n_chars"), F.octet_length("value").alias("n_bytes"), F.round(tx.unique_share(F.col("value")), 6).alias("unique_share"), F.substring(F.sha2(F.expr("left(value, 8)"), 256), 1, 12).alias("prefix_hash")),
+    "fn_field_shape": lambda s, d: field_shape(fields(s, d)),
+    "fn_entropy_whole": lambda s, d: whole_fields(s, d).select("doc_id", F.round(tx.long_byte_entropy(F.col("value")), 6).alias("entropy")),
+    "fn_char_ratios_whole": lambda s, d: char_ratios(whole_fields(s, d)),
+    "fn_grammar_whole": lambda s, d: whole_fields(s, d).select("doc_id", *(c.alias(n) for n, c in tx.grammar_flags(F.col("value")).items())),
+    "fn_field_shape_whole": lambda s, d: field_shape(whole_fields(s, d)),
     "fn_log_scale": lambda s, d: table(s, d, "events").select("event_id", F.round(tx.log_scale(F.col("value"), 100.0), 6).alias("scaled")),
     "fn_epoch": lambda s, d: table(s, d, "events").select("event_id", F.expr(MICROS.format("ts")).alias("micros")),
     "fn_body_decode": lambda s, d: table(s, d, "documents").select("doc_id", tx.decode_body(F.base64(F.encode("source", "UTF-8"))).alias("body")),

@@ -118,3 +118,35 @@ def test_model_status_and_calibration(spark):
     assert ev.areas(p).first().roc_auc == 1.0
     c = mo.calibrate(p, p).select("calibrated").collect()
     assert all(0 <= r[0] <= 1 for r in c)
+
+
+def test_field_queries_take_whole_texts(spark, tmp_path):
+    import collections
+    import hashlib
+    import math
+    import re
+
+    from tessera.plans.registry import QUERIES
+
+    rng = random.Random(8)
+    texts = ["", "aaaa", None, "a" * 2500 + "Z9 é" * 700, "".join(chr(rng.randrange(32, 900)) for _ in range(30_000)), "x" * 3000 + ".y.z", "ab " + "k" * 30, "K" * 5000]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def entropy(t):
+        b = t.encode()
+        return -sum(c / len(b) * math.log2(c / len(b)) for c in collections.Counter(b).values()) if b else 0.0
+
+    def rows(name):
+        return {r.doc_id: r for r in QUERIES[name](spark, f"file://{tmp_path}").collect()}
+
+    e, c, g, f = (rows(f"fn_{n}_whole") for n in ("entropy", "char_ratios", "grammar", "field_shape"))
+    assert e[2].entropy == 0 and f[2].n_chars is None
+    for i, t in enumerate(texts):
+        if t is not None:
+            assert abs(e[i].entropy - entropy(t)) < 2e-6
+            assert abs(c[i].digits - sum("0" <= x <= "9" for x in t) / max(1, len(t))) < 2e-6
+            assert abs(c[i].printable - sum(" " <= x <= "~" for x in t) / max(1, len(t))) < 2e-6
+            assert (f[i].n_chars, f[i].n_bytes) == (len(t), len(t.encode()))
+            assert abs(f[i].unique_share - len(set(t)) / max(1, len(t))) < 2e-6
+            assert f[i].prefix_hash == hashlib.sha256(t[:8].encode()).hexdigest()[:12]
+            assert {n: g[i][n] for n in tx.GRAMMARS} == {n: int(bool(re.search(p, t))) for n, p in tx.GRAMMARS.items()}
