@@ -43,11 +43,11 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate says: toxic and poor ones less than once, good ones once or, rarely, twice.
+    """Each document as often as its rate says: likely toxic and poor ones less than once, likely good ones once or more.
 
-    The budget leaves good documents a rate of at least 1, so none of them is lost to rounding.
+    A document whose likeliest domain is good has a rate of at least 1, so none of them is lost to rounding.
     """
-    mixed = mix_to_targets(docs.select(*COLUMNS), labelled_domains(read_table(spark, sf_dir, "labels")), WEIGHTS, "good", anchor_scale=1.1)
+    mixed = mix_to_targets(docs.select(*COLUMNS), labelled_domains(read_table(spark, sf_dir, "labels")), WEIGHTS, "good", anchor_scale=1.1, keep_anchor=True)
     return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 

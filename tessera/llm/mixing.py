@@ -46,8 +46,8 @@ def memberships(docs: DataFrame, models: list[LinearModel]) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _after(steps: list[np.ndarray]) -> Column:
-    """(rate, ahead) of a document after projected steps: each lowers the rate by posterior . step from ``ahead``, stops it at 0, and looks ahead along the change."""
+def _after(steps: list[np.ndarray], least: Column | None = None) -> Column:
+    """(rate, ahead) of a document after projected steps: each lowers the rate by posterior . step from ``ahead``, stops it at ``least`` (0 by default), and looks ahead along the change."""
     start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
     if not steps:
         return start
@@ -55,21 +55,26 @@ def _after(steps: list[np.ndarray]) -> Column:
 
     def move(now: Column, s: Column) -> Column:
         dot = F.aggregate(F.zip_with("posterior", s["step"], lambda p, x: p * x), F.lit(0.0), lambda a, b: a + b)
-        rate = F.greatest(F.lit(0.0), now["ahead"] - dot)
+        rate = F.greatest(F.lit(0.0) if least is None else least, now["ahead"] - dot)
         return F.struct(rate.alias("rate"), (rate + s["reach"] * (rate - now["rate"])).alias("ahead"))
 
     return F.aggregate(table, start, move)
 
 
-def rate_after(steps: list[np.ndarray]) -> Column:
-    return _after(steps)["rate"]
+def rate_after(steps: list[np.ndarray], least: Column | None = None) -> Column:
+    return _after(steps, least)["rate"]
 
 
-def fit_rates(soft: DataFrame, targets: np.ndarray, tolerance: float = 1e-3, most_steps: int = 40) -> list[np.ndarray]:
+def likeliest() -> Column:
+    """The number of a document's likeliest domain, from 1."""
+    return F.array_position("posterior", F.array_max("posterior")).cast("int")
+
+
+def fit_rates(soft: DataFrame, targets: np.ndarray, tolerance: float = 1e-3, most_steps: int = 40, least: Column | None = None) -> list[np.ndarray]:
     """Steps of projected gradient descent on sum_d (sum_i rate_i tokens_i posterior_id - target_d)^2 / target_d.
 
     The gradient is taken in the metric that weighs a document by its tokens, so a step moves a rate by its posterior
-    alone. Steps are accelerated. Stops when every total is within ``tolerance`` of its target, or after ``most_steps``.
+    alone. Steps are accelerated. ``least`` (0 or 1) is the lowest rate of a document. Stops when every total is within ``tolerance`` of its target, or after ``most_steps``.
     """
     k = len(targets)
     weight = 1.0 / np.maximum(targets, 1.0)
@@ -85,7 +90,7 @@ def fit_rates(soft: DataFrame, targets: np.ndarray, tolerance: float = 1e-3, mos
     if steepest <= 0:
         return steps
     for _ in range(most_steps):
-        placed = soft.withColumn("_s", _after(steps))
+        placed = soft.withColumn("_s", _after(steps, least))
         sums = [F.sum(F.col("_s")[kind] * F.col("n_tokens") * p[d]) for kind in ("rate", "ahead") for d in range(k)]
         totals = np.array([t or 0.0 for t in placed.agg(*(c.alias(f"t{i}") for i, c in enumerate(sums))).first()])
         if (np.abs(totals[:k] - targets) <= tolerance * np.maximum(targets, 1.0)).all():
@@ -94,12 +99,13 @@ def fit_rates(soft: DataFrame, targets: np.ndarray, tolerance: float = 1e-3, mos
     return steps
 
 
-def mix_to_targets(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], anchor: str, anchor_scale: float = 1.0, most_rows: int = 6_000) -> DataFrame:
+def mix_to_targets(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], anchor: str, anchor_scale: float = 1.0, most_rows: int = 6_000, keep_anchor: bool = False) -> DataFrame:
     """``docs`` (doc_id, text, ...) with ``n_tokens``, ``domain`` (likeliest), ``posterior``, ``rate`` and ``copies``.
 
     ``weights`` are the wanted shares of tokens by domain. The budget is such that ``anchor`` keeps ``anchor_scale``
     times the tokens it has. ``copies`` is the rate, rounded down or up by a hash of the id so that its mean is the rate.
-    Domains without labelled rows get weight none; without any, every rate is 1. Empty and null texts have 0 tokens.
+    With ``keep_anchor`` no document whose likeliest domain is ``anchor`` has a rate below 1; the other rates meet the
+    targets as closely as that allows. Domains without labelled rows get weight none; without any, every rate is 1. Empty and null texts have 0 tokens.
     Every row has a rate of its own, also where rows repeat; a null id rounds like any other.
     """
     seen = {r.domain for r in labelled.select("domain").distinct().collect() if r.domain in weights}
@@ -114,9 +120,9 @@ def mix_to_targets(docs: DataFrame, labelled: DataFrame, weights: dict[str, floa
     share = np.array([weights[d] for d in domains], float)
     share /= share.sum()
     budget = anchor_scale * (natural[domains.index(anchor)] or 0.0) / share[domains.index(anchor)] if anchor in domains else sum(x or 0.0 for x in natural)
-    steps = fit_rates(facts, share * budget)
+    least = F.when(likeliest() == domains.index(anchor) + 1, 1.0).otherwise(0.0) if keep_anchor and anchor in domains else None
+    steps = fit_rates(facts, share * budget, least=least)
     drop_materialized(facts)
-    best = F.array_position("posterior", F.array_max("posterior")).cast("int")
     unit = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    out = soft.withColumns({"domain": F.element_at(F.array(*map(F.lit, domains)), best), "rate": rate_after(steps)})
+    out = soft.withColumns({"domain": F.element_at(F.array(*map(F.lit, domains)), likeliest()), "rate": rate_after(steps, least)})
     return out.withColumn("copies", F.floor(F.col("rate") + unit).cast("int"))

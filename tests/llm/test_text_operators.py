@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 import public_tokenizers
 from tessera.llm.jaccard_join import jaccard_classes
-from tessera.llm.mixing import fit_rates, mix_to_targets, rate_after
+from tessera.llm.mixing import fit_rates, likeliest, mix_to_targets, rate_after
 from tessera.llm.packing import pack, two_fit_plan
 from tessera.llm.pii import as_text, find_personal_data, redact
 from tessera.llm.quality import fit_quality, score_quality
@@ -269,6 +269,23 @@ def test_mixing_reaches_targets(spark):
     assert np.allclose(got[:3], targets, rtol=5e-3) and got[3] >= 0
 
 
+def test_mixing_keeps_likely_good_documents(spark, labelled):
+    rng = np.random.default_rng(4)
+    p = np.vstack([rng.dirichlet([8, 1, 1], 400), rng.dirichlet([5, 4, 1], 100), rng.dirichlet([1, 6, 1], 60), rng.dirichlet([1, 1, 6], 60)])
+    soft = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(rng.integers(1, 50, len(p)), p)], "n_tokens long, posterior array<double>")
+    tokens = np.array([r.n_tokens for r in soft.collect()])
+    targets = np.array([1.1, 0.75, 0.85]) * (tokens @ p)
+    least = F.when(likeliest() == 1, 1.0).otherwise(0.0)
+    free, kept = (soft.withColumn("r", rate_after(fit_rates(soft, targets, most_steps=200, least=x), x)).where(likeliest() == 1).agg(F.count_if(F.col("r") < 1)).first()[0] for x in (None, least))
+    assert free > 0 and kept == 0
+    got = soft.withColumn("r", rate_after(fit_rates(soft, targets, most_steps=200, least=least), least)).agg(*(F.sum(F.col("r") * F.col("n_tokens") * F.element_at("posterior", d + 1)) for d in range(3))).first()
+    assert np.allclose(got, targets, rtol=5e-3)
+    docs, labels = labelled
+    domain = labels.select("doc_id", F.when(F.col("quality") == 0, "poor").when(F.col("toxic") == 1, "toxic").otherwise("good").alias("domain"))
+    out = mix_to_targets(docs, domain, {"good": 0.9, "toxic": 0.04, "poor": 0.06}, "good", anchor_scale=1.1, keep_anchor=True)
+    assert out.where("domain = 'good'").count() > 200 and out.where("domain = 'good' and (rate < 1 or copies < 1)").count() == 0
+
+
 def test_mixing_edges(spark, labelled):
     docs, labels = labelled
     domain = labels.select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("poor").alias("domain"))
