@@ -8,6 +8,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,13 +22,25 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 
 
+# --- session --------------------------------------------------------------------------------
+
+
+def bounded_batches(spark: SparkSession, rows: int = 2_000) -> SparkSession:
+    """Let Arrow batches hold at most ``rows`` rows from now on: texts of any length then keep a Python worker small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return spark
+
+
 # --- shared storage -------------------------------------------------------------------------
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Only where it is unset (local tests) a temporary one is made."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset a temporary one is made, but only for a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -136,4 +149,5 @@ def crc_bucket(column: str, n: int):
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
