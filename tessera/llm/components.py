@@ -26,8 +26,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Has every ``a`` one ``b`` alone, which is no ``a`` itself? Then each ``b`` is the least of its component."""
+    several = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    chained = edges.select("a").join(edges.select(F.col("b").alias("a")), "a", "left_semi")
+    return several.unionByName(chained).isEmpty()
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -36,15 +39,13 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Loops, repeated and reversed edges are fine; an edge with a null end counts as none; no edges, no rows.
     """
     now = materialize(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = _state(now)
-    for _ in range(most_rounds):
-        if not state[0]:
-            break
+    rounds = 0
+    while not _settled(now):
+        if (rounds := rounds + 1) > most_rounds:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
         after = materialize(_star(_star(now, large=True), large=False), "edges")
         drop_materialized(now)
-        now, before, state = after, state, _state(after)
-        if state == before:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+        now = after
+    out = materialize(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct(), "components")
+    drop_materialized(now)
+    return out

@@ -45,18 +45,26 @@ def table_keys(codes: np.ndarray, tables: int, radius: int) -> tuple[np.ndarray,
     return np.stack(own, 1).view(np.int64), np.stack(near, 1).view(np.int64)
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers of a list column, and where each list starts and how long it is."""
+    offsets = np.asarray(column.offsets)
+    return np.asarray(column.values), offsets[:-1].astype(np.int64), np.diff(offsets)
+
+
 def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, bits: int = 64, tables: int = 4, radius: int = 1, sample: int = 20_000) -> DataFrame:
     """One row per row: (id_col, n_links, component_id, kept), by links of cosine >= ``cosine`` between rows of one label.
 
     Vectors that are null, zero, or hold a null, NaN or infinite component, and rows with a null label or id, link with
-    nothing (component_id is their own id, kept is true; for a null id both are null). Equal vectors of one label form a
-    class that is searched once. Vectors of different lengths don't link. The rotation is learned from at most
-    ``sample`` vectors (smallest ids by hash); every vector is indexed. Of rows with one id each counts.
+    nothing (component_id is their own id, kept is true; for a null id both are null). Labels may have any type that casts
+    to text. Equal vectors of one label form a class that is searched once. Vectors of different lengths don't link, nor do
+    rows of different labels, also where they share an id. The rotation is learned from at most ``sample`` vectors
+    (smallest ids by hash); every vector is indexed. Of rows with one id each counts. Other columns are ignored, no rows
+    give none. As ``n_links`` counts direct links, each pair of near classes is compared.
     """
     v = F.col(vector_col)
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.transform(v, lambda x: x.cast("double")).alias("v"))
+    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.transform(v, lambda x: x.cast("double")).alias("v"))
     rows = rows.withColumn("ok", F.coalesce(F.expr("id is not null and label is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)"), F.lit(False)))
-    classes = materialize(rows.where("ok").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("size")), "vectors")
+    classes = materialize(rows.where("ok").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("size")).withColumn("node", F.struct("label", "rep", F.xxhash64("v").alias("h"))), "vectors")
 
     def learn(batches):
         found: dict[int, list[np.ndarray]] = {}
@@ -75,8 +83,8 @@ def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vector_col:
 
     def hashed(batches):
         for batch in batches:
-            reps, vectors = batch.column("rep").to_pylist(), batch.column("v").to_pylist()
-            own, near = [None] * len(reps), [None] * len(reps)
+            vectors = batch.column("v").to_pylist()
+            own, near = [None] * len(vectors), [None] * len(vectors)
             by_dim: dict[int, list[int]] = {}
             for i, x in enumerate(vectors):
                 by_dim.setdefault(len(x), []).append(i)
@@ -88,34 +96,33 @@ def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vector_col:
                 a, b = table_keys((x - mean) @ projection >= 0, tables, radius)
                 for k, i in enumerate(at):
                     own[i], near[i] = a[k].tolist(), b[k].ravel().tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("rep"), pa.array(own, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.int64()))], ["label", "rep", "own", "near"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.int64()))], ["node", "own", "near"])
 
-    keys = classes.select("label", "rep", "v").mapInArrow(hashed, "label long, rep long, own array<long>, near array<long>")
-    index = keys.select("label", F.explode("own").alias("key"), F.col("rep").alias("b"))
-    probes = keys.select("label", F.explode(F.array_distinct("near")).alias("key"), F.col("rep").alias("a"))
-    pairs = probes.join(index, ["label", "key"]).where("a < b").select("label", "a", "b").distinct()
-    sides = [classes.select("label", F.col("rep").alias(x), F.col("v").alias(f"v{x}"), F.col("size").alias(f"size_{x}")) for x in ("a", "b")]
+    node = "struct<label:string,rep:bigint,h:bigint>"
+    keys = classes.select("node", "v").mapInArrow(hashed, f"node {node}, own array<long>, near array<long>")
+    index = keys.select(F.col("node.label").alias("label"), F.explode("own").alias("key"), F.col("node").alias("b"))
+    probes = keys.select(F.col("node.label").alias("label"), F.explode(F.array_distinct("near")).alias("key"), F.col("node").alias("a"))
+    pairs = probes.join(index, ["label", "key"]).where("a < b").select("a", "b").distinct()
+    sides = [classes.select(F.col("node").alias(x), F.col("v").alias(f"v{x}"), F.col("size").alias(f"size_{x}")) for x in ("a", "b")]
 
     def compare(batches):
         for batch in batches:
-            va, vb = batch.column("va").to_pylist(), batch.column("vb").to_pylist()
-            keep = []
-            for x, y in zip(va, vb, strict=True):
-                x, y = np.array(x), np.array(y)
-                ok = len(x) == len(y)
-                if ok:
-                    x, y = x / np.abs(x).max(), y / np.abs(y).max()
-                    ok = float(x @ y) >= cosine * float(np.sqrt(x @ x) * np.sqrt(y @ y))
-                keep.append(ok)
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["label", "a", "b", "size_a", "size_b"])
-
-    both = pairs.join(sides[0], ["label", "a"]).join(sides[1], ["label", "b"]).select("label", "a", "b", "va", "vb", "size_a", "size_b")
-    links = materialize(both.mapInArrow(compare, "label long, a long, b long, size_a long, size_b long"), "links")
-    ends = links.select("label", F.col("a").alias("rep"), F.col("size_b").alias("n")).unionByName(links.select("label", F.col("b").alias("rep"), F.col("size_a").alias("n")))
-    counts = ends.groupBy("label", "rep").agg(F.sum("n").alias("others"))
+            flat, starts, lengths = zip(*(_lists(batch.column(c)) for c in ("va", "vb")), strict=True)
+            keep = np.zeros(batch.num_rows, bool)
+            for dim in np.unique(lengths[0][lengths[0] == lengths[1]]):
+                at = np.flatnonzero((lengths[0] == dim) & (lengths[1] == dim))
+                x, y = (f[s[at][:, None] + np.arange(dim)] for f, s in zip(flat, starts, strict=True))
+                x, y = (z / np.abs(z).max(1, keepdims=True) for z in (x, y))
+                keep[at] = (x * y).sum(1) >= cosine * np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1))
+            yield batch.filter(pa.array(keep)).select(["a", "b", "size_a", "size_b"])
+
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "va", "vb", "size_a", "size_b")
+    links = materialize(both.mapInArrow(compare, f"a {node}, b {node}, size_a long, size_b long"), "links")
+    ends = links.select(F.col("a").alias("node"), F.col("size_b").alias("n")).unionByName(links.select(F.col("b").alias("node"), F.col("size_a").alias("n")))
+    counts = ends.groupBy("node").agg(F.sum("n").alias("others"))
     component = connected_components(links.select("a", "b"))
-    placed = classes.join(counts, ["label", "rep"], "left").join(component, F.col("rep") == F.col("node"), "left")
-    placed = placed.select("label", "v", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
+    placed = classes.join(counts, "node", "left").join(component, "node", "left")
+    placed = placed.select("label", "v", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.coalesce("component", "node")["rep"].alias("component"))
     valid = rows.where("ok").join(placed, ["label", "v"]).select("id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
     rest = rows.where(~F.col("ok")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = materialize(valid.unionByName(rest).select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept")), "near")

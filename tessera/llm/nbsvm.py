@@ -33,31 +33,32 @@ class LinearModel:
 
 
 def log_count_ratio(rows: list[np.ndarray], labels: np.ndarray, size: int, smoothing: float) -> np.ndarray:
-    counts = []
-    for label in (1, 0):
-        own = [x for x, y in zip(rows, labels, strict=True) if y == label]
-        counts.append(smoothing + (np.bincount(np.concatenate(own), minlength=size) if own else np.zeros(size)))
+    counts = np.full((2, size), smoothing)
+    for x, y in zip(rows, labels, strict=True):
+        counts[int(y != 1)][x] += 1.0
     return np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, cost: np.ndarray, epochs: int, seed: int = 0) -> tuple[np.ndarray, float]:
-    """Weights of indicators (the ratios multiplied in) and bias of the L2-regularised hinge loss."""
-    y, w, bias = np.where(labels == 1, 1.0, -1.0), np.zeros(len(ratio)), 0.0
-    values = [ratio[x] for x in rows]
-    square = np.array([v @ v + 1.0 for v in values])
+    """Weights of indicators (the ratios multiplied in) and bias of the L2-regularised hinge loss.
+
+    What is kept is the product of weight and ratio, so no scaled copy of the rows is needed.
+    """
+    y, w, bias, squared = np.where(labels == 1, 1.0, -1.0), np.zeros(len(ratio)), 0.0, ratio * ratio
+    square = np.array([squared[x].sum() + 1.0 for x in rows])
     alpha, order = np.zeros(len(rows)), np.random.default_rng(seed)
     for _ in range(epochs):
         largest = 0.0
         for i in order.permutation(len(rows)):
-            gradient = y[i] * (w[rows[i]] @ values[i] + bias) - 1.0
+            gradient = y[i] * (w[rows[i]].sum() + bias) - 1.0
             new = min(max(alpha[i] - gradient / square[i], 0.0), cost[i])
             if step := (new - alpha[i]) * y[i]:
                 alpha[i], bias = new, bias + step
-                w[rows[i]] += step * values[i]
+                w[rows[i]] += step * squared[rows[i]]
                 largest = max(largest, abs(step) * square[i])
         if largest < 1e-3:
             break
-    return w * ratio, bias
+    return w, bias
 
 
 def sigmoid_fit(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
@@ -127,10 +128,11 @@ def fit_on_sample(docs: DataFrame, labels: DataFrame, train: Column, featurize:
     def train_one(batches):
         rows, labels, left = [], [], most_features
         for batch in batches:
-            for y, x in zip(batch.column("label").to_pylist(), batch.column("features").to_pylist(), strict=True):
-                if (left := left - len(x) // 4) < 0:
+            for y, x in zip(batch.column("label").to_pylist(), batch.column("features"), strict=True):
+                own = np.frombuffer(x.as_buffer(), np.int32).copy()
+                if (left := left - len(own)) < 0:
                     break
-                rows.append(np.frombuffer(x, np.int32))
+                rows.append(own)
                 labels.append(y)
         y = np.array(labels, int)
         for n in range(max(1, classes)):
@@ -147,14 +149,14 @@ def fit_on_sample(docs: DataFrame, labels: DataFrame, train: Column, featurize:
 
 
 def score_texts(docs: DataFrame, model: LinearModel, featurize: Callable[[pa.Array], Iterator[np.ndarray]]) -> DataFrame:
-    """``docs`` with a column ``score``; ``docs`` has a string column ``text`` (null: empty)."""
+    """``docs`` with a column ``score``, which takes the place of one of that name; ``docs`` has a string column ``text`` (null: empty). Every row is scored on its own, also where rows repeat."""
+    docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [f.name for f in docs.schema.fields]
+    kept = docs.columns
 
     def run(batches):
         for batch in batches:
             scores = [shared.value.score(x) for x in featurize(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores, pa.float64())], [*kept, "score"])
 
-    schema = docs.select(*kept, F.lit(0.0).alias("score")).schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.withColumn("score", F.lit(0.0)).schema)

@@ -60,5 +60,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: i
 
 
 def score_quality(docs: DataFrame, model: LinearModel) -> DataFrame:
-    """``docs`` and a column ``score``: 0 to 1, higher where label 1 is likelier; null and empty texts get the bias alone."""
+    """``docs`` and a column ``score``: 0 to 1, higher where label 1 is likelier; null and empty texts get the bias alone.
+
+    Texts are scored whole. Repeated rows get the same score, an empty table gives none, other columns stay, and a
+    column ``score`` is replaced. A model of one class scores every text alike.
+    """
     return score_texts(docs, model, quality_features)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 class ShardStore:
     """Shards and manifests below one folder that the driver and all executors reach."""
 
-    def __init__(self, spark: SparkSession, path: str, target_bytes: int = 128 << 20, fan: int = 4, smallest: int = 1 << 16, keep_versions: int = 1):
+    def __init__(self, spark: SparkSession, path: str, target_bytes: int = 128 << 20, fan: int = 4, smallest: int = 1 << 16, keep_versions: int = 2):
         self.spark, self.path, self.target, self.fan, self.smallest, self.keep = spark, path.rstrip("/"), target_bytes, fan, smallest, keep_versions
 
     # --- manifest -------------------------------------------------------------------------------
@@ -68,13 +68,29 @@ class ShardStore:
         return [{"path": r.file_path, "bytes": r.file_size, "rows": r["count"]} for r in rows]
 
     def append(self, df: DataFrame, rows_per_shard: int = 20_000) -> int:
-        """Write an arrival as new shards and publish them. An arrival without rows publishes none."""
+        """Write an arrival as new shards and publish them.
+
+        The first arrival gives the store its columns; a later one must have them, and its other columns are an error
+        rather than lost. Rows are kept as they are: nulls, repeated rows and texts of any length. An arrival without
+        rows publishes a version without new shards.
+        """
         now = self.manifest()
         schema = now["schema"] or df.schema.json()
         ddl = self._ddl(schema)
+        if extra := set(df.columns) - {f.name for f in ddl.fields}:
+            raise ValueError(f"the store has no columns {sorted(extra)}")
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
         df.select(*[f.name for f in ddl.fields]).write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_shard).parquet(folder)
-        return self.commit(now["version"], now["shards"] + self._written(folder, ddl), schema)
+        return self._publish(folder, now["version"], lambda made: now["shards"] + made, ddl, schema)
+
+    def _publish(self, folder: str, base: int, shards, ddl, schema: str) -> int:
+        """Commit what was written to ``folder``; if another writer was first, the folder goes again."""
+        try:
+            return self.commit(base, shards(self._written(folder, ddl)), schema)
+        except Exception:
+            fs, p = self._fs(folder)
+            fs.delete(p, True)
+            raise
 
     @staticmethod
     def _ddl(schema: str):
@@ -112,12 +128,15 @@ class ShardStore:
             parts = [self.spark.read.schema(ddl).parquet(*[s["path"] for s in g]).coalesce(1) for g in groups]
             reduce(DataFrame.union, parts).write.option("compression", "zstd").parquet(folder)
             gone = {s["path"] for g in groups for s in g}
-            self.commit(now["version"], [s for s in now["shards"] if s["path"] not in gone] + self._written(folder, ddl), now["schema"])
+            self._publish(folder, now["version"], lambda made: [s for s in now["shards"] if s["path"] not in gone] + made, ddl, now["schema"])  # noqa: B023
             self.expire()
         return self.manifest()["version"]
 
     def expire(self) -> None:
-        """Delete versions before the last ``keep_versions`` and the shards that only they name."""
+        """Delete versions before the last ``keep_versions`` and the shards that only they name.
+
+        A reader of the version before a compaction so keeps its files until the next one.
+        """
         versions = self.versions()
         old, kept = versions[: -self.keep], versions[-self.keep :]
         needed = {s["path"] for v in kept for s in self.manifest(v)["shards"]}
@@ -126,20 +145,22 @@ class ShardStore:
             fs.delete(p, False)
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with ``shard`` (its number in the manifest's order of paths)."""
+        """The rows of a version, with ``shard`` (its number in the manifest's order of paths), which takes the place of a column of that name. No rows: an empty table."""
         now = self.manifest(version)
+        if now["schema"] is None:
+            raise ValueError("nothing has been appended to the store, so it has no schema")
         if not now["shards"]:
-            raise ValueError("the store has no shards yet")
+            return self.spark.createDataFrame([], self._ddl(now["schema"])).withColumn("shard", F.lit(None).cast("long"))
         paths = sorted(s["path"] for s in now["shards"])
         df = self.spark.read.schema(self._ddl(now["schema"])).parquet(*paths)
-        numbers = self.spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "file_path string, shard long")
+        numbers = self.spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "_shard_path string, shard long")
         if len(paths) <= 10_000:  # a few MB; beyond that the join shuffles
             numbers = F.broadcast(numbers)
-        return df.withColumn("file_path", F.col("_metadata.file_path")).join(numbers, "file_path").drop("file_path")
+        return df.withColumn("_shard_path", F.col("_metadata.file_path")).drop("shard").join(numbers, "_shard_path").drop("_shard_path")
 
 
 def arrive_and_compact(docs: DataFrame, path: str, arrivals: int = 4, target_bytes: int = 64 << 20, rows_per_shard: int = 20_000) -> ShardStore:
-    """Append ``docs`` in ``arrivals`` by a hash of ``doc_id`` (null ids too), compacting after each."""
+    """Append ``docs`` in ``arrivals`` by a hash of ``doc_id`` (null ids too), compacting after each. An empty table is stored as such."""
     store = ShardStore(docs.sparkSession, path, target_bytes)
     turn = F.pmod(F.xxhash64("doc_id"), F.lit(arrivals))
     for i in range(arrivals):

@@ -14,8 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_PACKED = "dim int, ids binary, matrix binary"
-
 
 def _pack(df: DataFrame, keys: list[str], most: int) -> DataFrame:
     """Rows (keys, id, v array<long>) as matrices of at most ``most`` rows that share keys and length."""
@@ -27,12 +25,19 @@ def _pack(df: DataFrame, keys: list[str], most: int) -> DataFrame:
             vectors, ids = table.column("v").to_pylist(), table.column("id").to_pylist()
             for i, key in enumerate(zip(*(table.column(k).to_pylist() for k in keys), map(len, vectors), strict=True)):
                 groups.setdefault(key, []).append(i)
-            rows = [(*key, np.array([ids[i] for i in part], np.int64).tobytes(), np.array([vectors[i] for i in part], np.int64).tobytes()) for key, at in groups.items() for part in (at[j : j + most] for j in range(0, len(at), most))]
-            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in range(len(keys) + 3)]
-            types = [pa.int32()] * (len(keys) + 1) + [pa.binary()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [*keys, "dim", "ids", "matrix"])
+            rows = [(*key, *_narrow(np.array([vectors[i] for i in part], np.int64)), np.array([ids[i] for i in part], np.int64).tobytes()) for key, at in groups.items() for part in (at[j : j + most] for j in range(0, len(at), most))]
+            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in range(len(keys) + 4)]
+            types = [pa.int32()] * (len(keys) + 2) + [pa.binary()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [*keys, "dim", "width", "matrix", "ids"])
+
+    return df.select(*keys, "id", "v").mapInArrow(run, ", ".join([*(f"{k} int" for k in keys), "dim int, width int, matrix binary, ids binary"]))
+
 
-    return df.select(*keys, "id", "v").mapInArrow(run, ", ".join([*(f"{k} int" for k in keys), _PACKED]))
+def _narrow(matrix: np.ndarray) -> tuple[int, bytes]:
+    """Bytes per number, 2, 4 or 8 as the largest one needs, and the numbers."""
+    low, high = int(matrix.min(initial=0)), int(matrix.max(initial=0))
+    width = next(w for w in (2, 4, 8) if -(1 << (8 * w - 1)) <= low and high < 1 << (8 * w - 1))
+    return width, matrix.astype(f"<i{width}").tobytes()
 
 
 def products(q: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -62,17 +67,19 @@ def best(row: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[n
     return row[place < k], ids[place < k], score[place < k]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, tile_rows: int = 2048, block_rows: int = 1024, cell_tiles: int = 8) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, tile_rows: int = 2048, block_rows: int = 4096, cell_tiles: int = 8) -> DataFrame:
     """(query_id, rank, vec_id, score) for all ``queries(id, v)`` against all ``vectors(id, v)``, v: array<long>.
 
-    A query's own id is no candidate. Fewer candidates than ``k`` give fewer rows; vectors of another length than
-    the query's are no candidates; rows with a null id or vector take no part; of rows with one id the least
-    vector counts.
+    Every row is a candidate, also where ids repeat, but for those with the query's own id; of queries with one id the
+    least vector counts. Fewer candidates than ``k`` give fewer rows; vectors of another length than the query's are
+    no candidates; rows with a null id or vector take no part; no rows, no result. Ties go to the smaller id. Other
+    columns are ignored. A matrix is sent with as few bytes a number as it needs.
     """
-    vectors, queries = (d.where("id is not null and v is not null").groupBy("id").agg(F.min("v").alias("v")) for d in (vectors, queries))
+    vectors, queries = (d.where("id is not null and v is not null").select("id", "v") for d in (vectors, queries))
+    queries = queries.groupBy("id").agg(F.min("v").alias("v"))
     n_queries, n_vectors = queries.count(), vectors.count()
     blocks, groups = max(1, math.ceil(n_queries / block_rows)), max(1, math.ceil(n_vectors / (tile_rows * cell_tiles)))
-    block_of, group_of = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int")
+    block_of, group_of = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.floor(F.rand(7) * groups).cast("int")  # copies of one id spread too
     left = _pack(queries.withColumn("block", block_of).repartition(blocks, "block"), ["block"], block_rows)
     right = _pack(vectors.withColumn("cell", group_of).repartition(groups, "cell"), ["cell"], tile_rows)
     left = left.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("side", F.lit(0))
@@ -90,7 +97,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, tile_rows: int =
         for batch in batches:
             for r in batch.to_pylist():
                 key, ids = (r["block"], r["cell"], r["dim"]), np.frombuffer(r["ids"], np.int64)
-                matrix = np.frombuffer(r["matrix"], np.int64).reshape(len(ids), r["dim"])
+                matrix = np.frombuffer(r["matrix"], f"<i{r['width']}").reshape(len(ids), r["dim"]).astype(np.int64)
                 if key != at:
                     yield from out()
                     at, q_ids, q, lists = key, None, None, None

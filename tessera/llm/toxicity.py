@@ -77,12 +77,15 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 
 
 def decode(word: str, lm: np.ndarray) -> str:
-    """The likeliest letters behind a written word (Viterbi over the last two letters)."""
-    states = {(0, 0): (0.0, "")}
+    """The likeliest letters behind a written word, or behind a run of letters set apart by spaces, where words may end.
+
+    Viterbi over the last two letters; each state holds its letters as a chain, so time and memory grow with the length.
+    """
+    states = {(0, 0): (0.0, None)}
     for at, ch in enumerate(word):
         said = at and ch == word[at - 1] and any(word[i : i + 3] == 3 * ch for i in (at - 2, at - 1, at) if i >= 0)  # of a run of three or more
         options = [(ch, 0.0)] if ch.isalpha() else [(x, SWAP) for x in LOOKALIKES.get(ch, "")]
-        best: dict[tuple[int, int], tuple[float, str]] = {}
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {}
 
         def put(key, cost, text, best=best):
             if key not in best or cost < best[key][0]:
@@ -91,25 +94,34 @@ def decode(word: str, lm: np.ndarray) -> str:
         for (p, q), (cost, text) in states.items():
             for letter, charge in options:
                 c = int(_CODE[min(ord(letter), len(_CODE) - 1)])
-                put((q, c), cost + charge - float(lm[p, q, c]), text + letter)
-            if text and (said or text[-1] in LOOKALIKES.get(ch, "")):
+                put((q, c), cost + charge - float(lm[p, q, c]), (text, letter))
+            if text and (said or text[1] in LOOKALIKES.get(ch, "")):
                 put((p, q), cost + AGAIN, text)
+            if ch == " ":
+                put((q, 0), cost - float(lm[p, q, 0]), (text, " "))
             if not ch.isalnum():
                 put((p, q), cost + DROP, text)
             elif not options:
-                put((q, 63), cost - float(lm[p, q, 63]), text + ch)
+                put((q, 63), cost - float(lm[p, q, 63]), (text, ch))
         states = best
-    return min((cost - float(lm[p, q, 0]), text) for (p, q), (cost, text) in states.items())[1] if states else word
+    if not states:
+        return word
+    text, letters = min(((cost - float(lm[p, q, 0]), n, text) for n, ((p, q), (cost, text)) in enumerate(states.items())), key=lambda x: x[:2])[2], []
+    while text:
+        text, letter = text
+        letters.append(letter)
+    return "".join(reversed(letters))
 
 
 _DISGUISED = re.compile(r"[^\W\d_][\d@$!|+(€£¡]|[\d@$!|+(€£¡][^\W\d_]|(.)\1\1|[^\W_][.\-_*'][^\W_][.\-_*'][^\W_]")
-_APART = re.compile(r"(?<!\S)(?:[^\W_] ){2,}[^\W_](?!\S)")
+_APART = re.compile(r"(?<!\S)(?:[^\W_][\x20\t]+){2,}[^\W_](?!\S)")
+_GAP = re.compile(r"[\x20\t]+")
 
 
 class Restorer(dict):
-    """Restored forms of written words, decoded when first met."""
+    """Restored forms of written words, decoded when first met; long ones are decoded each time."""
 
-    MOST = 200_000
+    MOST, LONGEST = 200_000, 64
 
     def __init__(self, lm: np.ndarray):
         self.lm = lm
@@ -119,19 +131,27 @@ class Restorer(dict):
         out = bare
         if not bare.isalpha() or _DISGUISED.search(bare):
             core = word.rstrip(".,;:?\"')]}>").lstrip("\"'([{<")
-            if sum(map(str.isalpha, core)) >= 2 and len(core) <= 64 and _DISGUISED.search(core) and core.strip(_EDGE) != "":
+            letters = sum(map(str.isalpha, core))
+            if letters and letters + sum(c in LOOKALIKES for c in core) >= 2 and _DISGUISED.search(core) and core.strip(_EDGE) != "":
                 plain = bare if bare.isalpha() and not re.search(r"(.)\1\1", bare) else None
                 out = plain or decode(core, self.lm)
-        if len(self) < self.MOST:
+        if len(self) < self.MOST and len(word) <= self.LONGEST:
             self[word] = out
         return out
 
+    def run(self, spaced: str) -> str:
+        """Letters set apart: gaps wider than the least end a word, others may."""
+        gaps = _GAP.findall(spaced)
+        least = min(map(len, gaps))
+        parts = re.split(r"[\x20\t]{%d,}" % (least + 1), spaced) if max(map(len, gaps)) > least else [spaced]
+        return " ".join(decode(_GAP.sub(" ", part), self.lm) for part in parts)
+
 
 def restore(text: str, words: Restorer) -> list[str]:
     """The words of a text, lower case, with disguises undone."""
     text = text.lower()
     if _APART.search(text):
-        text = _APART.sub(lambda m: m[0].replace(" ", "."), text)
+        text = _APART.sub(lambda m: words.run(m[0]), text)
     return list(map(words.__getitem__, text.split()))
 
 
@@ -172,5 +192,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, lm: np.ndarray, folds: int
 
 
 def score_toxicity(docs: DataFrame, model: LinearModel, lm: np.ndarray) -> DataFrame:
-    """``docs`` and a column ``score``: 0 to 1, higher where label 1 is likelier; null and empty texts get the bias alone."""
+    """``docs`` and a column ``score``: 0 to 1, higher where label 1 is likelier; null and empty texts get the bias alone.
+
+    Texts are scored whole. Repeated rows get the same score, an empty table gives none, other columns stay, and a
+    column ``score`` is replaced. A model of one class scores every text alike.
+    """
     return score_texts(docs, model, toxicity_featurizer(lm))

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from tessera.llm.mixing import fit_rates, likeliest, mix_to_targets, rate_after
 from tessera.llm.packing import pack, two_fit_plan
 from tessera.llm.pii import as_text, find_personal_data, redact
 from tessera.llm.quality import fit_quality, score_quality
-from tessera.llm.sharding import ShardStore
+from tessera.llm.sharding import ShardStore, arrive_and_compact
 from tessera.llm.suffix_dedup import SuffixLevels, remove_repeats, repeated_windows
 from tessera.llm.tokens import Encoder
 from tessera.llm.toxicity import count_trigrams, decode, fit_toxicity, language_model, restore, Restorer, score_toxicity
@@ -75,9 +76,9 @@ def brute_components(texts):
     return {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize("direct", [32, 3])
-def test_jaccard_classes(spark, corpus, direct):
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_classes(table(spark, corpus), direct=direct, sample=60, common_least=3).collect()}
+@pytest.mark.parametrize(("direct", "pairwise"), [(32, None), (3, 0)])
+def test_jaccard_classes(spark, corpus, direct, pairwise):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_classes(table(spark, corpus), direct=direct, pairwise=pairwise, sample=60, common_least=3).collect()}
     assert got == brute_components(corpus)
 
 
@@ -103,7 +104,7 @@ def test_jaccard_large_buckets_of_several_mains(spark):
             if 100 * len(a & held[j]) >= 80 * len(a | held[j]):
                 x, y = sorted((expected[i], expected[j]))
                 expected = [x if e == y else e for e in expected]
-    got = jaccard_classes(table(spark, [" ".join(s) for s in sets]), words=1, common_least=10**6).collect()
+    got = jaccard_classes(table(spark, [" ".join(s) for s in sets]), words=1, common_least=10**6, pairwise=0).collect()
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(expected))
 
 
@@ -134,7 +135,8 @@ def brute_repeats(texts, length=50):
 @pytest.mark.parametrize("batches", [(1,), (1, 1, 2), (1, 1, 1, 1)])
 def test_remove_repeats(spark, corpus, batches):
     texts = [*corpus, "é" * 80, "a" * 300, "é" * 60 + "x" * 60, "a" * 120]
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(table(spark, texts), batches=batches).collect()}
+    crowded = 3 if len(batches) == 3 else 20_000  # anchors with more surroundings than that go window by window
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(table(spark, texts), batches=batches, crowded=crowded).collect()}
     assert got == brute_repeats(texts)
 
 
@@ -144,6 +146,7 @@ def test_remove_repeats_edges(spark):
     got = [(r.doc_id, r.n_removed) for r in remove_repeats(table(spark, [long, long, long], [None, 7, 7])).collect()]
     assert sorted(got, key=str) == [(7, 0), (7, 0), (None, 0)]
     assert repeated_windows(table(spark, ["short"])).count() == 0
+    assert [(r.doc_id, r.a, r.b) for r in repeated_windows(table(spark, [long[:80], long[:80]])).distinct().collect()] == [(1, 0, 30)]
     levels = SuffixLevels(50)
     for n in range(4):
         levels.add(spark.createDataFrame([(n, n, n, 0, 0)], "hi long, lo long, doc_id long, first int, last int"))
@@ -181,6 +184,35 @@ def test_personal_data(spark):
     assert find_personal_data(table(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_personal_data_written_otherwise(spark):
+    """Proposals beyond the base grammars, learned from the base matches of a corpus."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(900):
+        near = prose(rng, 6, ["time", "goes", "slowly", "now", "we", "meet", "here"]) + f". {rng.choice(['So', 'Then', 'Yet'])} we go on. "
+        number = [rng.randrange(10) for _ in range(15)]
+        number += [next(d for d in range(10) if luhn("".join(map(str, [*number, d]))))]
+        if i % 3 == 0:
+            number[-1] = (number[-1] + 1 + i % 8) % 10
+        rows.append(near + rng.choice([f"write to ann.{i}@mail{i % 9}.example.com please", f"paid with {''.join(map(str, number))} then", f"call +1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)} soon", f"host {i % 250}.{i % 300}.1.7 up"]))
+    cases = ["bill with 4111.1111.1111.1111 then", "bill with 4111.1111.1111.1112 then", "see you [at] home.now please", "write to ann.77 [at] mail3.example.com please", "version (555) 123-4567", None, ""]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(rows + cases)], "doc_id long, text string, base string, _row string")
+    got = {r.doc_id - len(rows): r for r in find_personal_data(docs).where(F.col("doc_id") >= len(rows)).select("doc_id", as_text(F.col("spans")).alias("s"), "_row").collect()}
+    assert [got[i].s for i in range(len(cases))] == ["card:10:29", "", "", "email:9:38", "", "", ""] and got[0]._row == "y"
+
+
+def test_query_of_personal_data(spark, tmp_path):
+    from tessera.llm.queries import op2_pii
+
+    texts = ["a@b.cd 1.2.3.4 4111111111111111 +1 (444) 555-4984", "none", None, "x@y.z, x@y.z"]
+    table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op2_pii(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        spans = brute_spans(t)
+        assert got[i].base_sha256 == hashlib.sha256(spans.encode()).hexdigest() and got[i].spans == spans
+        assert [got[i][f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [spans.count(k + ":") for k in ("email", "ip", "card", "phone")]
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(2)
@@ -225,6 +257,73 @@ def test_toxicity_sees_through_disguises(spark, labelled):
     assert min(got[:2]) > max(got[2:]) and all(0 <= x <= 1 for x in got)
 
 
+def test_descent_reaches_the_optimum():
+    """Dual coordinate descent against projected gradient steps on the whole dual."""
+    from tessera.llm.nbsvm import dual_coordinate_descent, log_count_ratio
+
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 12, 5)) for _ in range(30)]
+    labels = np.array([int((x < 6).mean() + rng.normal() * 0.2 > 0.5) for x in rows])
+    ratio = log_count_ratio(rows, labels, 12, 1.0)
+    w, bias = dual_coordinate_descent(rows, labels, ratio, np.ones(30), 4000)
+    x = np.zeros((30, 13))
+    for i, r in enumerate(rows):
+        x[i, r], x[i, 12] = ratio[r], 1.0
+    y = np.where(labels == 1, 1.0, -1.0)
+    q, alpha = (x * y[:, None]) @ (x * y[:, None]).T, np.zeros(30)
+    for _ in range(100_000):
+        alpha = np.clip(alpha - (q @ alpha - 1) / np.linalg.norm(q, 2), 0, 1)
+    best = (alpha * y) @ x
+    assert np.allclose([*w, bias], [*(best[:12] * ratio), best[12]], atol=1e-2)
+    counts = [sum((np.isin(f, r)) for r, t in zip(rows, labels) if t == one) + 1.0 for one in (1, 0) for f in range(12)]
+    p, n = np.array(counts[:12]), np.array(counts[12:])
+    assert np.allclose(ratio, np.log(p / p.sum()) - np.log(n / n.sum()))
+
+
+def test_decoder_finds_the_cheapest_path(spark, labelled):
+    from tessera.llm.toxicity import AGAIN, DROP, LOOKALIKES, SWAP, _CODE
+
+    lm = language_model(count_trigrams(labelled[0]))
+
+    def every(word, at, p, q, text):
+        if at == len(word):
+            yield -float(lm[p, q, 0]), text
+            return
+        ch, ways = word[at], []
+        for letter, cost in [(ch, 0.0)] if ch.isalpha() else [(x, SWAP) for x in LOOKALIKES.get(ch, "")]:
+            c = int(_CODE[ord(letter)])
+            ways.append((q, c, cost - float(lm[p, q, c]), text + letter))
+        run = at and ch == word[at - 1] and any(word[i : i + 3] == 3 * ch for i in range(max(0, at - 2), at + 1))
+        if text and (run or text[-1] in LOOKALIKES.get(ch, "")):
+            ways.append((p, q, AGAIN, text))
+        if ch == " ":
+            ways.append((q, 0, -float(lm[p, q, 0]), text + " "))
+        if not ch.isalnum():
+            ways.append((p, q, DROP, text))
+        for a, b, cost, t in ways:
+            for rest, out in every(word, at + 1, a, b, t):
+                yield cost + rest, out
+
+    for word in ["1d10t", "m0r0n", "iiidiot", "st.u.p1d", "a$$", "i d i o t", "s t u p i d m o r o n"]:
+        assert decode(word, lm) == min(every(word, 0, 0, 0, ""))[1], word
+
+
+def test_long_and_odd_disguises(spark, labelled):
+    lm = language_model(count_trigrams(labelled[0]))
+    words = Restorer(lm)
+    assert restore("1d10t" + "t" * 70, words) == ["idiot"]
+    assert restore("i  d  i  o  t", words) == ["idiot"] and restore("i d i o t   m o r o n", words) == ["idiot", "moron"]
+    assert restore("55 2023 10:30", words) == ["55", "2023", "10:30"]
+    assert len(decode("x1" * 20_000, lm)) > 1000
+    long = table(spark, ["w0rthless " * 20_000, None, "", "same", "same"], [1, 2, 3, 4, 4])
+    model = fit_toxicity(*labelled, lm)
+    got = [r.score for r in score_toxicity(long.withColumn("score", F.lit("x")), model, lm).orderBy("doc_id").collect()]
+    assert len(got) == 5 and got[3] == got[4] and all(0 <= x <= 1 for x in got)
+    assert score_toxicity(long.limit(0), model, lm).count() == 0
+    one = fit_toxicity(labelled[0], labelled[1].where("toxic = 0"), lm)
+    assert all(r.score < 0.5 for r in score_toxicity(long, one, lm).collect())
+
+
 def test_encoder_matches_the_tokenizer():
     t, e = Tokenizer.from_file(VOCABULARY), Encoder(VOCABULARY)
     rng = random.Random(1)
@@ -238,7 +337,9 @@ def test_packing(spark, corpus):
     t = Tokenizer.from_file(VOCABULARY)
     total = {i: len(t.encode(x or "", add_special_tokens=False).ids) + 1 for i, x in enumerate(corpus)}
     got, bins = collections.Counter(), collections.defaultdict(list)
+    ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, 2] for i, x in enumerate(corpus)}
     for r in rows:
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
         got[r.doc_id] += r.length
         bins[r.sequence_id].append((r.offset, r.length))
         assert r.length == 64 or r.piece == 0
@@ -307,6 +408,14 @@ def test_shards_round_trip(spark, corpus, tmp_path):
     assert sorted(map(str, store.read().drop("shard").collect())) == sorted(map(str, docs.collect()))
     store.append(docs.limit(0))
     assert store.read().count() == len(corpus)
+    with pytest.raises(ValueError, match="no columns"):
+        store.append(docs.withColumn("more", F.lit(1)))
+    held = store.read(store.manifest()["version"] - 1)  # of the version before
+    assert held.count() == len(corpus)
+    empty = arrive_and_compact(docs.withColumn("shard", F.lit("x")).limit(0), f"file://{tmp_path}/e")
+    assert empty.read().count() == 0 and dict(empty.read().dtypes)["shard"] == "bigint"
+    named = arrive_and_compact(docs.withColumns({"shard": F.lit("x"), "file_path": F.lit("y")}), f"file://{tmp_path}/n").read()
+    assert named.count() == len(corpus) and dict(named.dtypes)["shard"] == "bigint" and named.where("file_path = 'y'").count() == len(corpus)
     with pytest.raises(Exception):  # noqa: B017  another writer was first
         store.commit(store.manifest()["version"] - 1, [], "{}")
 

@@ -31,6 +31,9 @@ def test_top_k(spark):
         s = z @ z[q]
         want |= {(q, n + 1, int(i), int(s[i])) for n, i in enumerate([i for i in np.lexsort((np.arange(400), -s)) if i != q][:10])}
     assert got == want
+    twice = v.unionByName(spark.createDataFrame([(3, [9000] * 8), (3, [8000] * 8)], "id long, v array<long>"))
+    best = top_k(twice, v.where("id = 100"), 400).where("vec_id = 3").orderBy("rank").collect()
+    assert len(best) == 4 and sorted((int(z[100].sum()) * 9000, int(z[100].sum()) * 8000)) == sorted(r.score for r in best if r.score % 1000 == 0 and r.score in (int(z[100].sum()) * 9000, int(z[100].sum()) * 8000))
     assert top_k(v.limit(0), v.limit(0)).count() == 0
     big = np.array([[2**40, 1]])
     assert products(big, big)[0, 0] == 2**63 - 1
@@ -52,6 +55,14 @@ def test_near_vectors(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in (400, 401, 402, 403, 404, 406))
     assert all(r.kept == (r.vec_id == r.component_id) and r.component_id <= r.vec_id for r in got.values())
     assert near_duplicate_vectors(vectors(spark, rows).limit(0)).count() == 0
+    named = [(1, base[0], "a"), (2, base[0], "a"), (1, base[0], "b"), (3, base[0], "b"), (4, base[5], "b")]
+    df = spark.createDataFrame([(i, [float(z) for z in v], y, "x") for i, v, y in named], "vec_id long, embedding array<double>, label string, node string")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in near_duplicate_vectors(df).collect()) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)]
+    many = [(i, base[i % 60] + rng.normal(size=32) * 0.1, 0) for i in range(600)]
+    z = np.array([v for _, v, _ in many], np.float32).astype(float)
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    true = int((z @ z.T >= 0.98).sum()) - len(z)
+    assert sum(r.n_links for r in near_duplicate_vectors(vectors(spark, many)).collect()) >= 0.9 * true > 1000
 
 
 def test_components(spark):
