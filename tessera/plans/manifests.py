@@ -75,11 +75,7 @@ QUERIES = {
     "audit_cross_split": lambda s, d: au.crossing(assigned(s, d), ["seed", "payload"]),
     "audit_duplicates": lambda s, d: au.duplicates(v_manifest(s, d), "payload"),
     "audit_holdout": lambda s, d: au.shared_values(assigned(s, d).where("split = 'train'"), assigned(s, d).where("split = 'test'"), "client"),
-    "contract_violations": lambda s, d: au.violations(v_manifest(s, d), "id", rules()),
-    "contract_report": lambda s, d: au.report(au.violations(v_manifest(s, d), "id", rules())),
     "contract_referential": lambda s, d: au.orphans(v_child(s, d), v_manifest(s, d).where("doc_id % 3 <> 0"), "parent", "doc_id").select("parent", "turn"),
-    "contract_expected_count": lambda s, d: turns(s, d).where("n <> expected"),
-    "coverage_summary": lambda s, d: v_manifest(s, d).groupBy("carrier", "lang").agg(F.count("*").alias("n"), F.countDistinct("scenario").alias("scenarios"), (F.countDistinct("id") == F.count("*")).alias("unique_ids")),
     "readiness_bins": lambda s, d: turns(s, d).groupBy(bins(F.col("n")).alias("bin")).agg(F.count("*").alias("n")),
     "semi_by_ids": lambda s, d: v_manifest(s, d).join(table(s, d, "labels").where("quality = 1"), "doc_id", "left_semi").select("id", "label"),
     "dim_lookup": lambda s, d: v_manifest(s, d).join(F.broadcast(table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("long").alias("scenario"), "n_name", "r_name")), "scenario", "left").select("id", "n_name", "r_name"),
@@ -110,7 +106,6 @@ QUERIES = {
     "eval_pair_delta": lambda s, d: ev.pair_delta(v_score(s, d).withColumn("pair", F.col("doc_id") % 50), "pair", F.col("label") == 1, "doc_id"),
     "eval_pool_scores": lambda s, d: ev.pooled(v_score(s, d).withColumn("session", F.col("doc_id") % 40), "session"),
     "topk_lowest_scores": lambda s, d: v_score(s, d).orderBy("score", "doc_id").limit(50).select("doc_id", "score", (F.col("score") < 0.25).alias("below")),
-    "acceptance_gate": lambda s, d: ev.acceptance(ev.confusion(v_score(s, d).withColumn("part", F.col("doc_id") % 4), 0.05, by=["part"]), 0.8, 0.9, 1.0),
 }
 
 _ASSIGNED = "SELECT *, CASE WHEN role = 'external' THEN 'challenge' WHEN stage IN ('background', 'challenge') THEN 'challenge' WHEN client = 'client7' THEN 'challenge' WHEN carrier = 'src3' THEN 'test' WHEN contains(transform, 'split') THEN 'test' WHEN ('0x' || substr(sha256(id), 1, 8))::BIGINT % 100 < 85 THEN 'train' ELSE 'validation' END AS split FROM v_manifest"
@@ -141,11 +136,7 @@ ORACLES = {
     "audit_cross_split": sql("SELECT kind, value, string_agg(DISTINCT split, ',' ORDER BY split) AS splits, count(DISTINCT split) AS n_splits FROM (SELECT 'seed' AS kind, seed::VARCHAR AS value, split FROM x UNION ALL SELECT 'payload', payload, split FROM x) GROUP BY 1, 2 HAVING count(DISTINCT split) > 1", "v_manifest", x=_ASSIGNED),
     "audit_duplicates": sql("SELECT payload, count(*) AS n FROM v_manifest GROUP BY payload HAVING count(*) > 1", "v_manifest"),
     "audit_holdout": sql("SELECT DISTINCT client FROM x WHERE split = 'train' AND client IN (SELECT client FROM x WHERE split = 'test')", "v_manifest", x=_ASSIGNED),
-    "contract_violations": sql(_VIOLATIONS, "v_manifest"),
-    "contract_report": sql("SELECT rule, count(*) AS n, least(count(*), 200) AS shown FROM v GROUP BY rule", "v_manifest", v=_VIOLATIONS),
     "contract_referential": sql("SELECT parent, turn FROM v_child WHERE parent NOT IN (SELECT doc_id FROM v_manifest WHERE doc_id % 3 <> 0)", "v_manifest", "v_child"),
-    "contract_expected_count": sql("SELECT * FROM t WHERE n <> expected", "v_child", t=_TURNS),
-    "coverage_summary": sql("SELECT carrier, lang, count(*) AS n, count(DISTINCT scenario) AS scenarios, count(DISTINCT id) = count(*) AS unique_ids FROM v_manifest GROUP BY 1, 2", "v_manifest"),
     "readiness_bins": sql("SELECT CASE WHEN n <= 1 THEN '1' WHEN n <= 3 THEN '2-3' WHEN n <= 10 THEN '4-10' WHEN n <= 30 THEN '10-30' WHEN n <= 60 THEN '30-60' ELSE '60+' END AS bin, count(*) AS n FROM t GROUP BY 1", "v_child", t=_TURNS),
     "semi_by_ids": sql("SELECT id, label FROM v_manifest WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)", "v_manifest"),
     "dim_lookup": sql("SELECT id, n_name, r_name FROM v_manifest LEFT JOIN nation ON scenario = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey", "v_manifest"),
@@ -172,5 +163,4 @@ ORACLES = {
     "eval_pair_delta": sql("SELECT count(*) AS pairs, round(coalesce(avg(abs(a - b)), 999), 6) AS delta FROM (SELECT doc_id % 50 AS pair, arg_max(score, doc_id) FILTER (WHERE label = 1) AS a, arg_max(score, doc_id) FILTER (WHERE label <> 1) AS b FROM v_score GROUP BY 1) WHERE a IS NOT NULL AND b IS NOT NULL", "v_score"),
     "eval_pool_scores": sql("SELECT doc_id % 40 AS session, round(avg(score), 6) AS mean_score, max(score) AS max_score FROM v_score GROUP BY 1", "v_score"),
     "topk_lowest_scores": sql("SELECT doc_id, score, score < 0.25 AS below FROM v_score ORDER BY score, doc_id LIMIT 50", "v_score"),
-    "acceptance_gate": sql("SELECT count(*) AS groups, count_if(precision >= 0.8 AND recall >= 0.9 AND fpr <= 1.0)::BIGINT AS passed, bool_and(precision >= 0.8 AND recall >= 0.9 AND fpr <= 1.0) AS accepted FROM m WHERE tp + fn > 0", "v_score", m=_rates("v_score", 0.05, "doc_id % 4")),
 }

@@ -122,16 +122,10 @@ QUERIES = {
     "cast_decimal_comma": lambda s, d: comma_csv(s, d).select(F.col("key").cast("long").alias("key"), *decimal_comma(["price"])),
     "profile_dtypes": lambda s, d: s.createDataFrame(table(s, d, "part").dtypes, "name string, kind string"),
     "sink_parquet_roundtrip": lambda s, d: written(table(s, d, "supplier"), "supplier")[1],
-    "file_checksum_verify": checksum_report,
     "backfill_missing_shards": lambda s, d: rd.missing_shards(v_manifest(s, d), v_manifest(s, d).where("carrier NOT IN ('src1', 'src4')"), "carrier"),
-    "quality_gate": gate,
-    "reuse_decision": reuse,
-    "readiness_scan": lambda s, d: v_manifest(s, d).dropDuplicates(["scenario", "stage", "carrier"]).groupBy("stage").agg(F.count("*").alias("patterns"), (F.count("*") >= 10).alias("enough")),
     "evidence_sufficiency": lambda s, d: needed(s, d).join(evidence(s, d), "carrier", "left").select("carrier", F.coalesce("sessions", F.lit(0)).cast("long").alias("sessions"), F.coalesce("captures", F.lit(0)).cast("long").alias("captures"), ((F.coalesce("sessions", F.lit(0)) >= 45) & (F.coalesce("captures", F.lit(0)) >= 40)).alias("filled")),
     "evidence_interval_coverage": lambda s, d: v_manifest(s, d).groupBy("stage").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(F.col("label").cast("string"))), ",").alias("labels"), F.min("n_chars").alias("least"), (F.countDistinct("label") == 2).alias("ready")),
     "evidence_missing_modes": lambda s, d: needed(s, d).join(evidence(s, d), "carrier", "left_anti"),
-    "evidence_violations": lambda s, d: au.violations(evidence(s, d), "carrier", {"few_sessions": (F.col("sessions") < 50, F.col("sessions")), "no_positives": (F.col("positives") == 0, F.col("positives"))}),
-    "evidence_summary": lambda s, d: evidence(s, d).agg(F.count("*").alias("carriers"), F.sum("sessions").alias("sessions"), F.every(F.col("positives") > 0).alias("all_positive")),
 }
 
 _EVIDENCE = "SELECT carrier, count(*) AS sessions, count(DISTINCT payload) AS captures, sum(label)::BIGINT AS positives FROM v_manifest GROUP BY carrier"
@@ -167,12 +161,7 @@ ORACLES = {
     "cast_decimal_comma": "SELECT p_partkey AS key, p_retailprice AS price FROM part",
     "sink_parquet_roundtrip": "SELECT * FROM supplier",
     "backfill_missing_shards": sql("SELECT DISTINCT carrier FROM v_manifest WHERE carrier IN ('src1', 'src4')", "v_manifest"),
-    "quality_gate": sql("SELECT *, not_empty AND unique_ids AND labels_known AND all_split AND payloads AND splits AS passed FROM (SELECT count(*) > 0 AS not_empty, count(DISTINCT id) = count(*) AS unique_ids, bool_and(label IN (0, 1)) AS labels_known, bool_and(split IS NOT NULL) AS all_split, count_if(payload IS NULL) = 0 AS payloads, count(DISTINCT split) >= 3 AS splits FROM x)", "v_manifest", x=_ASSIGNED),
-    "reuse_decision": sql("SELECT scenario, min(carrier) AS carrier FROM (SELECT scenario, carrier FROM v_manifest GROUP BY 1, 2 HAVING count(*) >= 2 AND min(n_chars) >= 15 AND max(label) > 0) GROUP BY scenario", "v_manifest"),
-    "readiness_scan": sql("SELECT stage, count(*) AS patterns, count(*) >= 10 AS enough FROM (SELECT DISTINCT scenario, stage, carrier FROM v_manifest) GROUP BY stage", "v_manifest"),
     "evidence_sufficiency": sql("SELECT carrier, coalesce(sessions, 0) AS sessions, coalesce(captures, 0) AS captures, coalesce(sessions, 0) >= 45 AND coalesce(captures, 0) >= 40 AS filled FROM n LEFT JOIN e USING (carrier)", "v_manifest", e=_EVIDENCE, n=_NEEDED),
     "evidence_interval_coverage": sql("SELECT stage, count(*) AS n, string_agg(DISTINCT label::VARCHAR, ',' ORDER BY label::VARCHAR) AS labels, min(n_chars) AS least, count(DISTINCT label) = 2 AS ready FROM v_manifest GROUP BY stage", "v_manifest"),
     "evidence_missing_modes": sql("SELECT carrier FROM n WHERE carrier NOT IN (SELECT carrier FROM e)", "v_manifest", e=_EVIDENCE, n=_NEEDED),
-    "evidence_violations": sql("SELECT carrier AS entity_id, 'few_sessions' AS rule, sessions::VARCHAR AS detail FROM e WHERE sessions < 50 UNION ALL SELECT carrier, 'no_positives', positives::VARCHAR FROM e WHERE positives = 0", "v_manifest", e=_EVIDENCE),
-    "evidence_summary": sql("SELECT count(*) AS carriers, sum(sessions)::BIGINT AS sessions, bool_and(positives > 0) AS all_positive FROM e", "v_manifest", e=_EVIDENCE),
 }
