@@ -98,23 +98,23 @@ QUERIES = {
 }
 
 _SETS = """WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, chr(10))] ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i : i + 4], chr(10))) END) AS s FROM w)"""
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, chr(10))] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], chr(10))) END) AS s FROM w)"""
 _REACH = """e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 r AS (SELECT a AS x, a AS y FROM e UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a),
 c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)"""
-_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0"
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
 
 #: DuckDB SQL for those that SQL can express on whole tables in reasonable time.
 ORACLES: dict[str, str] = {
     "op6_ngram_jaccard_join": _SETS.replace("WITH w", "WITH RECURSIVE w", 1) + """,
 x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
-links AS (SELECT a, b FROM (SELECT p.doc_id AS a, q.doc_id AS b, any_value(p.n) + any_value(q.n) AS total, count(*) AS both FROM x p JOIN x q ON p.g = q.g AND p.doc_id < q.doc_id GROUP BY 1, 2) WHERE 100 * both >= 80 * (total - both)),
+links AS (SELECT a, b FROM (SELECT p.doc_id AS a, q.doc_id AS b, any_value(p.n) + any_value(q.n) AS total, count(*) AS common FROM x p JOIN x q ON p.g = q.g AND p.doc_id < q.doc_id GROUP BY 1, 2) WHERE 100 * common >= 80 * (total - common)),
 """ + _REACH + " SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM s LEFT JOIN c ON doc_id = x",
-    "op7_exact_topk": f"""WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(1024.0::DOUBLE * x::DOUBLE)) AS z FROM embeddings WHERE vec_id IS NOT NULL AND {_FINITE}),
+    "op7_exact_topk": f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024.0::DOUBLE * x::DOUBLE)) AS z FROM embeddings WHERE vec_id IS NOT NULL AND {_FINITE}),
 p AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.z, v.z)::BIGINT AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)
 SELECT query_id, rank, vec_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM p) WHERE rank <= 10""",
     "op9_size_tiered_shards": "SELECT doc_id, sha256(text) AS text_sha256, strlen(text)::BIGINT AS n_bytes FROM documents",
-    "op10_embedding_near_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS z FROM embeddings WHERE label IS NOT NULL AND {_FINITE} AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    "op10_embedding_near_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS z FROM embeddings WHERE label IS NOT NULL AND {_FINITE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.vec_id < q.vec_id WHERE list_cosine_similarity(p.z, q.z) >= 0.98),
 """ + _REACH + """, n AS (SELECT a AS x, count(*) AS n FROM e GROUP BY a)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept FROM embeddings LEFT JOIN c ON vec_id = c.x LEFT JOIN n ON vec_id = n.x""",

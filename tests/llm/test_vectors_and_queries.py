@@ -32,8 +32,8 @@ def test_top_k(spark):
         want |= {(q, n + 1, int(i), int(s[i])) for n, i in enumerate([i for i in np.lexsort((np.arange(400), -s)) if i != q][:10])}
     assert got == want
     twice = v.unionByName(spark.createDataFrame([(3, [9000] * 8), (3, [8000] * 8)], "id long, v array<long>"))
-    best = top_k(twice, v.where("id = 100"), 400).where("vec_id = 3").orderBy("rank").collect()
-    assert len(best) == 4 and sorted((int(z[100].sum()) * 9000, int(z[100].sum()) * 8000)) == sorted(r.score for r in best if r.score % 1000 == 0 and r.score in (int(z[100].sum()) * 9000, int(z[100].sum()) * 8000))
+    best = [r.score for r in top_k(twice, v.where("id = 100"), 500).where("vec_id = 3").collect()]
+    assert len(best) == 4 and {int(z[100].sum()) * 9000, int(z[100].sum()) * 8000} < set(best)
     assert top_k(v.limit(0), v.limit(0)).count() == 0
     big = np.array([[2**40, 1]])
     assert products(big, big)[0, 0] == 2**63 - 1
