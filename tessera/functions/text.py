@@ -2,44 +2,31 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def byte_entropy(value: Column) -> Column:
-    """Shannon entropy of the bytes in bits; 0 when empty. At most 256 distinct bytes bound the inner work."""
-    codes = F.regexp_extract_all(F.hex(F.encode(value, "UTF-8")), F.lit("(..)"), 1)
-    n = F.octet_length(value).cast("double")
+    """Shannon entropy of the bytes of a string or binary, in bits; 0 for none. One count of 256 cells per value, over Arrow batches."""
 
-    def term(code: Column) -> Column:
-        p = F.size(F.filter(codes, lambda x: x == code)) / n
-        return -p * F.log2(p)
+    @F.pandas_udf("double")
+    def entropy(values: pd.Series) -> pd.Series:
+        def one(v) -> float:
+            data = np.frombuffer(v.encode("utf-8", "replace") if isinstance(v, str) else bytes(v or b""), np.uint8)
+            p = np.bincount(data, minlength=256) / max(1, len(data))
+            p = p[p > 0]
+            return float(abs((p * np.log2(p)).sum()))
 
-    return F.when(F.coalesce(n, F.lit(0.0)) == 0, F.lit(0.0)).otherwise(F.aggregate(F.transform(F.array_distinct(codes), term), F.lit(0.0), lambda a, b: a + b))
+        return pd.Series([one(v) for v in values], dtype="float64")
 
-
-def long_byte_entropy(value: Column) -> Column:
-    """``byte_entropy`` for values of any length: the bytes are sorted once, and each distinct one is counted by where it begins."""
-    codes = F.sort_array(F.regexp_extract_all(F.hex(F.encode(value, "UTF-8")), F.lit("(..)"), 1))
-
-    def of_starts(starts: Column, n: Column) -> Column:
-        def term(at: Column, i: Column) -> Column:
-            p = (F.coalesce(F.get(starts, i + 1), n + 1) - at) / n
-            return -p * F.log2(p)
-
-        return F.aggregate(F.transform(starts, term), F.lit(0.0), lambda a, b: a + b)
-
-    def of_sorted(held: Column) -> Column:
-        starts = F.transform(F.array_distinct(held), lambda x: F.array_position(held, x))
-        return F.transform(F.array(starts), lambda x: of_starts(x, F.size(held)))[0]
-
-    # an array of one binds a value to a name, so it isn't computed again for each element
-    return F.when(F.coalesce(F.octet_length(value), F.lit(0)) == 0, F.lit(0.0)).otherwise(F.transform(F.array(codes), of_sorted)[0])
+    return entropy(value)
 
 
 def share_of(value: Column, char_class: str) -> Column:
     """Share of characters in a class of the regular-expression kind; 0 when empty."""
-    return F.char_length(F.regexp_replace(value, f"[^{char_class}]", "")) / F.greatest(F.lit(1), F.char_length(value))
+    return F.regexp_count(value, F.lit(f"[{char_class}]")) / F.greatest(F.lit(1), F.char_length(value))
 
 
 def unique_share(value: Column) -> Column:
@@ -63,6 +50,12 @@ def log_scale(value: Column, cap: float) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.log1p(F.greatest(value, F.lit(0.0))) / F.log1p(F.lit(cap))))
 
 
+def iso_micros(value: Column) -> Column:
+    """Microseconds since 1970 of ISO-8601 text; ``Z`` and offsets count, text without a zone is UTC, anything else is null."""
+    zoned = F.when(value.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), value).otherwise(F.concat(value, F.lit("Z")))
+    return F.unix_micros(F.try_to_timestamp(zoned))
+
+
 def decode_body(value: Column, most: int = 16_384) -> Column:
     """Base64 if it is, clipped to ``most`` bytes, as Latin-1; null for anything else."""
     return F.decode(F.substring(F.try_to_binary(value, F.lit("base64")), 1, most), "ISO-8859-1")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ranges import running_sums
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.round(F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0)), 6)
@@ -22,8 +24,7 @@ def confusion(df: DataFrame, threshold: float, label: str = "label", score: str
 def score_steps(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """For each distinct score, from the highest: rows and positives at it, and cumulative tp and fp. Sums of groups, so ties cost nothing."""
     steps = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.withColumns({"tp": F.sum("p").over(w), "fp": F.sum("n").over(w)})
+    return running_sums(steps, -F.col("s"), [], {"tp": F.col("p"), "fp": F.col("n")})
 
 
 def areas(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranges import running_sums
+
 TOLERANCE_US = 100_000
 
 
@@ -102,7 +104,6 @@ def tail_guard(intervals: DataFrame, probes: DataFrame, slack_us: int = 50_000)
 
 def rank_with_consent(df: DataFrame, key: str, score: str, consent: str, quota: int) -> DataFrame:
     """Position by score, consenting rows above, the rank among those who consent, and the risk against a quota."""
-    order = Window.orderBy(F.desc(score), key)
-    above = F.coalesce(F.sum(F.col(consent).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = df.select(key, consent, F.row_number().over(order).cast("long").alias("position"), above.alias("consents_above")).withColumn("consent_rank", F.col("consents_above") + 1)
+    held = running_sums(df.select(key, score, consent), -F.col(score), [key], {"position": F.lit(1), "_with": F.col(consent).cast("long")})
+    out = held.select(key, consent, F.col("position").cast("long").alias("position"), (F.col("_with") - F.col(consent).cast("long")).cast("long").alias("consents_above")).withColumn("consent_rank", F.col("consents_above") + 1)
     return out.withColumn("state", F.when(F.col("consent_rank") <= quota, "inside").when(F.col("consent_rank") <= 2 * quota, "near").otherwise("outside"))

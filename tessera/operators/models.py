@@ -69,17 +69,3 @@ def fuse(train: DataFrame, apply: DataFrame, scores: list[str], label: str = "la
     columns = [*scores, *(f"{s}_there" for s in scores)]
     stages = [VectorAssembler(inputCols=columns, outputCol="features"), LogisticRegression(labelCol=label, weightCol="weight", maxIter=30)]
     return scored(Pipeline(stages=stages).fit(balanced(ready(train), label)), ready(apply), "fused")
-
-
-def leave_one_out(df: DataFrame, features: list[str], family: str, families: list, threshold: float = 0.5) -> DataFrame:
-    """For each family: train without it, and the confusion on it."""
-    from tessera.operators.evaluation import confusion
-
-    out = None
-    for value in families:
-        train, test = df.where(F.col(family) != value), df.where(F.col(family) == value)
-        if status_of(train) != "ok":
-            continue
-        row = confusion(scored(tree_expert(train, features), test), threshold).withColumn("family", F.lit(value))
-        out = row if out is None else out.unionByName(row)
-    return out

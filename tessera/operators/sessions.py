@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranges import running_sums
+
 
 def _z(c: Column) -> Column:
     return F.coalesce(c, F.lit(0.0))
@@ -32,21 +34,38 @@ def lag_correlation(df: DataFrame, by: str, order: list[str], value: str, lag: i
     return pairs.groupBy(by).agg(F.round(F.when(F.count(y) >= 3, _z(raw)).otherwise(0.0), 4).alias(f"lag{lag}"))
 
 
-def temporal(df: DataFrame, by: str, order: list[str], time_us: str, categories: list[str]) -> DataFrame:
-    """Count, duration, gaps (mean, population deviation, cv, interpolated p95), burst and silence shares against the median gap, change rates."""
-    w = Window.partitionBy(by).orderBy(*order)
-    rows = df.withColumn("gap", (F.col(time_us) - F.lag(time_us).over(w)) / 1e6)
-    rows = rows.withColumns({f"_{c}": (F.col(c) != F.lag(c).over(w)).cast("double") for c in categories})
-    median = rows.groupBy(by).agg(F.percentile("gap", F.lit(0.5)).alias("median_gap"))
-    rows = rows.join(median, by)
-    out = rows.groupBy(by).agg(
-        F.count("*").alias("n"), F.round((F.max(time_us) - F.min(time_us)) / 1e6, 4).alias("duration"), F.round(_z(F.avg("gap")), 4).alias("gap_mean"), F.round(_z(F.stddev_pop("gap")), 4).alias("gap_std"),
-        F.round(_z(F.try_divide(F.stddev_pop("gap"), F.avg("gap"))), 4).alias("gap_cv"), F.round(_z(F.percentile("gap", F.lit(0.95))), 4).alias("gap_p95"),
-        F.round(_z(F.avg(F.when(F.col("gap").isNotNull(), (F.col("gap") <= F.col("median_gap") / 2).cast("double")))), 6).alias("burst_share"),
-        F.round(_z(F.avg(F.when(F.col("gap").isNotNull(), (F.col("gap") >= F.col("median_gap") * 2).cast("double")))), 6).alias("silence_share"),
-        *(F.round(_z(F.avg(f"_{c}")), 6).alias(f"{c}_change") for c in categories),
+def temporal_full(df: DataFrame, by: str, order: list[str], time_us: str, categories: list[str], size: str) -> DataFrame:
+    """18 columns per group: count, duration, gaps (mean, population deviation, cv, interpolated p95), burst and silence shares
+    against the median gap, entropies and change rates of categories, correlations of size and gap with one and two rows before.
+
+    All windows are over the group, so the rows move once.
+    """
+    whole = Window.partitionBy(by)
+    w = whole.orderBy(*order)
+    rows = df.withColumns({"_gap": (F.col(time_us) - F.lag(time_us).over(w)) / 1e6, "_size": F.col(size).cast("double")})
+    rows = rows.withColumns({f"_c_{c}": (F.col(c) != F.lag(c).over(w)).cast("double") for c in categories})
+    rows = rows.withColumns({f"{x}{n}": F.lag(x, n).over(w) for x in ("_size", "_gap") for n in (1, 2)})
+    rows = rows.withColumns({"_median": F.percentile("_gap", F.lit(0.5)).over(whole), **{f"_e_{c}": -F.log2(F.count("*").over(Window.partitionBy(by, c)) / F.count("*").over(whole)) for c in categories}})
+
+    def corr(x: str, y: str) -> Column:
+        both = F.col(x).isNotNull() & F.col(y).isNotNull()
+        a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
+        constant = (F.round(F.stddev_pop(a), 9) == 0) | (F.round(F.stddev_pop(b), 9) == 0)
+        return F.when((F.count(a) >= 3) & ~constant, F.round(F.covar_pop(a, b) / (F.stddev_pop(a) * F.stddev_pop(b)), 4)).otherwise(0.0)
+
+    known = F.col("_gap").isNotNull()
+    return rows.groupBy(by).agg(
+        F.count("*").alias("n"), F.round((F.max(time_us) - F.min(time_us)) / 1e6, 4).alias("duration"), F.round(_z(F.avg("_gap")), 4).alias("gap_mean"), F.round(_z(F.stddev_pop("_gap")), 4).alias("gap_std"),
+        F.round(_z(F.try_divide(F.stddev_pop("_gap"), F.avg("_gap"))), 4).alias("gap_cv"), F.round(_z(F.percentile("_gap", F.lit(0.95))), 4).alias("gap_p95"),
+        F.round(_z(F.avg(F.when(known, (F.col("_gap") <= F.col("_median") / 2).cast("double")))), 6).alias("burst_share"), F.round(_z(F.avg(F.when(known, (F.col("_gap") >= F.col("_median") * 2).cast("double")))), 6).alias("silence_share"),
+        *(F.round(F.avg(f"_e_{c}"), 6).alias(f"{c}_entropy") for c in categories), *(F.round(_z(F.avg(f"_c_{c}")), 6).alias(f"{c}_change") for c in categories),
+        *(corr(f"_{x}", f"_{x}{n}").alias(f"{x}_lag{n}") for x in ("size", "gap") for n in (1, 2)),
     )
-    return out
+
+
+def row_numbers(df: DataFrame, number: str) -> DataFrame:
+    """``df`` with ``place``, from 1 in ascending order of ``number``, over the whole table."""
+    return running_sums(df, F.col(number), [number], {"place": F.lit(1)})
 
 
 def numeric_matrix(df: DataFrame, identity: list[str], forbidden: list[str]) -> DataFrame:
@@ -59,6 +78,15 @@ def numeric_matrix(df: DataFrame, identity: list[str], forbidden: list[str]) ->
     return out
 
 
+def replay_matrix(df: DataFrame, identity: list[str], forbidden: list[str], columns: list[str]) -> DataFrame:
+    """The matrix of ``columns``, as a model was trained with them: an absent value is 0 and the flag of an absent column 1. A forbidden name is an error."""
+    if leaked := sorted(set(columns) & set(forbidden)):
+        raise ValueError(f"forbidden columns in a model's matrix: {leaked}")
+    have = numeric_matrix(df, identity, forbidden)
+    default = lambda n: F.lit(1) if n.endswith("__missing") else F.lit(0.0)
+    return have.select(*identity, *((F.col(n) if n in have.columns else default(n)).alias(n) for n in columns))
+
+
 def by_prefix(df: DataFrame, prefixes: tuple[str, ...], required: list[str]) -> DataFrame:
     return df.select(*required, *(c for c in df.columns if c.startswith(prefixes) and c not in required))
 

@@ -1,78 +1,162 @@
-"""Queries that fit models: rows and ranges are checked, not values."""
+"""Queries that fit models. Rows and ranges are checked, not values; statuses and roles have SQL."""
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.hashing import four_way_role
+from tessera.functions.hashing import hash_number
 from tessera.operators import models as mo
 from tessera.operators.evaluation import confusion
 from tessera.operators.sessions import sequences
-from tessera.plans.manifests import ROLES
-from tessera.plans.sessions import v_tx
-from tessera.plans.views import table
+from tessera.plans.features import compositions, visible_channels, visible_rows
+from tessera.plans.views import sql, table
+from tessera.sources import readers as rd
 
 FEATURES = ["n_chars", "n_upper", "n_marks", "n_lines"]
+#: Disjoint parts by hash: half trains, and calibration, threshold, fusion and report have an eighth each.
+PARTS = ["train", "train", "train", "train", "calibration", "tuning", "fusion", "report"]
 
 
-def rows(s, d):
-    """Text measures of documents with a quality label."""
-    docs = table(s, d, "documents").select("doc_id", "lang", F.char_length("text").cast("double").alias("n_chars"), F.char_length(F.regexp_replace("text", "[^A-Z]", "")).cast("double").alias("n_upper"), F.char_length(F.regexp_replace("text", "[^!$%&*#|]", "")).cast("double").alias("n_marks"), F.size(F.split("text", "\n")).cast("double").alias("n_lines"))
+def rows(s, d) -> DataFrame:
+    """Text measures of documents with a quality label, and the part that each belongs to."""
+    count = lambda p: F.regexp_count("text", F.lit(p)).cast("double")
+    docs = table(s, d, "documents").select("doc_id", "lang", "source", F.char_length("text").cast("double").alias("n_chars"), count("[A-Z]").alias("n_upper"), count("[!$%&*#|]").alias("n_marks"), (count("\n") + 1).alias("n_lines"))
     labels = table(s, d, "labels").where("quality is not null").select("doc_id", F.col("quality").cast("double").alias("label"))
-    return docs.join(labels, "doc_id").withColumn("id", F.concat(F.lit("a-"), "doc_id")).withColumn("role4", four_way_role(F.col("id"), ROLES))
+    part = F.element_at(F.array(*map(F.lit, PARTS)), (hash_number(F.concat(F.lit("part:"), F.col("doc_id").cast("string"))) % len(PARTS) + 1).cast("int"))
+    return docs.join(labels, "doc_id").withColumns({"id": F.concat(F.lit("a-"), "doc_id"), "part": part})
 
 
 def expert(s, d):
+    """A model of the training part alone, and all rows."""
     r = rows(s, d)
-    return mo.tree_expert(r.where("role4 <> 'report'"), FEATURES), r
+    return mo.tree_expert(r.where("part = 'train'"), FEATURES), r
 
 
-def tree_expert(s, d):
+def tree_expert(s, d) -> DataFrame:
+    """The 20 features with most gain, or one row that says why there is no model."""
+    r = rows(s, d)
+    status = mo.status_of(r.where("part = 'train'"))
+    if status != "ok":
+        return s.createDataFrame([("", 0.0, status)], "feature string, gain double, status string")
     model, _ = expert(s, d)
-    return mo.importances(model, FEATURES, s).limit(20)
+    return mo.importances(model, FEATURES, s).limit(20).withColumn("status", F.lit("ok"))
+
+
+def statuses(s, d) -> DataFrame:
+    """For each source: rows and classes of its training part, and whether a model can be trained on them."""
+    r = rows(s, d).where("part = 'train'").groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("label").alias("classes"))
+    every = table(s, d, "documents").select("source").distinct().unionByName(s.createDataFrame([("nowhere",)], "source string"))
+    joined = every.join(r, "source", "left").na.fill(0, ["n", "classes"])
+    return joined.withColumn("status", F.when(F.col("n") == 0, "empty").when(F.col("classes") < 2, "missing_split_or_label").when(F.col("n") < 20, "insufficient_train").otherwise("ok"))
 
 
-def calibrated(s, d):
+def calibrated(s, d) -> DataFrame:
+    """Calibrated on a part that the expert hasn't seen, applied to one that neither has."""
     model, r = expert(s, d)
-    p = mo.scored(model, r)
-    return mo.calibrate(p.where("role4 = 'calibration'"), p.where("role4 = 'report'")).select("doc_id", "label", "score", "calibrated")
+    p = mo.scored(model, r.where("part <> 'train'"))
+    return mo.calibrate(p.where("part = 'calibration'"), p.where("part = 'report'")).select("doc_id", "label", "score", "calibrated")
 
 
-def sequence_expert(s, d):
-    seq = sequences(v_tx(s, d), "session_id", "rec", {"req": F.log1p(F.col("req").cast("double")), "resp": F.log1p(F.col("resp").cast("double")), "status": F.col("status").cast("double")}, 96)
+def sequence_expert(s, d) -> DataFrame:
+    """Trees over the masked means of a session's 21 channels; the label is that of the session's record."""
+    channels = visible_channels()
+    seq = sequences(visible_rows(s, d), "session_id", "rec", channels, 96)
     total = F.aggregate("mask", F.lit(0.0), lambda a, b: a + b)
-    pooled = seq.select("session_id", *(_mean("seq", i, total).alias(f"c{i}") for i in range(3)), total.alias("steps"))
-    pooled = pooled.withColumn("label", (F.col("steps") > 1).cast("double"))
-    return mo.scored(mo.tree_expert(pooled, ["c0", "c1", "c2"]), pooled).select("session_id", "label", "score")
+    mean = lambda i: F.aggregate(F.transform("seq", lambda x: F.get(x, F.lit(i))), F.lit(0.0), lambda a, b: a + b) / total
+    pooled = seq.select("session_id", *(mean(i).alias(n) for i, n in enumerate(channels)))
+    labels = table(s, d, "labels").where("quality is not null").select(F.concat(F.lit("x-"), "doc_id").alias("session_id"), F.col("quality").cast("double").alias("label"))
+    held = pooled.join(labels, "session_id").withColumn("part", hash_number("session_id") % 4)
+    train = held.where("part < 3")
+    status = mo.status_of(train)
+    if status != "ok":
+        return held.select("session_id", "label", F.lit(None).cast("double").alias("score"), F.lit(status).alias("status"))
+    return mo.scored(mo.tree_expert(train, list(channels)), held.where("part = 3")).select("session_id", "label", "score", F.lit("ok").alias("status"))
+
+
+def fused(s, d) -> DataFrame:
+    """Fused on a part of its own and reported on another; a threshold comes from the tuning part."""
+    model, r = expert(s, d)
+    p = mo.scored(model, r.where("part <> 'train'")).withColumns({"content": F.when(F.col("lang") == "en", F.col("score")), "shape": F.col("n_marks") / F.greatest(F.col("n_chars"), F.lit(1.0))})
+    return mo.fuse(p.where("part = 'fusion'"), p.where("part in ('report', 'tuning')"), ["content", "shape"]).select("doc_id", "part", "label", "fused")
 
 
-def _mean(column, i, total):
-    return F.aggregate(F.transform(column, lambda x: x[i]), F.lit(0.0), lambda a, b: a + b) / total
+def frozen(s, d) -> DataFrame:
+    """A stored model is loaded again and scores a slice that is for evaluation only."""
+    model, r = expert(s, d)
+    path = rd.scratch(s, "model")
+    model.write().save(path)
+    c = confusion(mo.scored(PipelineModel.load(path), r.where("part = 'report'")), 0.5)
+    return c.withColumn("accepted", (F.col("recall") >= 0.95) & (F.col("fp_per_million") <= 50))
 
 
-def fused(s, d):
-    model, r = expert(s, d)
-    p = mo.scored(model, r).withColumns({"content": F.when(F.col("lang") == "en", F.col("score")), "shape": F.col("n_marks") / F.greatest(F.col("n_chars"), F.lit(1.0))})
-    return mo.fuse(p.where("role4 = 'fusion'"), p.where("role4 = 'report'"), ["content", "shape"]).select("doc_id", "label", "fused")
+def held_out(r: DataFrame, column: str, values: list, least: int = 20) -> DataFrame | None:
+    """For each value: the status, and where a model can be trained on the other rows, its confusion on those of the value."""
+    out = None
+    for value in values:
+        train, test = r.where(~F.col(column).eqNullSafe(F.lit(value))), r.where(F.col(column).eqNullSafe(F.lit(value)))
+        status = mo.status_of(train, least=least)
+        if status == "ok":
+            row = confusion(mo.scored(mo.tree_expert(train, FEATURES), test), 0.5)
+        else:
+            row = confusion(test.limit(0).withColumn("score", F.lit(0.0)), 0.5)
+        row = row.withColumns({"held_out": F.lit(str(value)), "status": F.lit(status)})
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
-def frozen(s, d):
-    model, r = expert(s, d)
-    c = confusion(mo.scored(model, r.where("role4 = 'report'")), 0.5)
-    return c.withColumn("accepted", (F.col("recall") >= 0.95) & (F.col("fp_per_million") <= 50))
+def families(r: DataFrame, column: str, most: int) -> list:
+    """Values of a small dimension, the commonest first; ``most`` bounds them."""
+    return [x[0] for x in r.groupBy(column).count().orderBy(F.desc("count"), column).limit(most).collect()]
 
 
-def house(s, d):
+def leave_one_out(s, d) -> DataFrame:
+    r = rows(s, d)
+    return held_out(r, "lang", families(r, "lang", 8))
+
+
+def compositional(s, d) -> DataFrame:
+    """Each of the commonest combinations of techniques (at most 8 with 20 rows or more) held out as a whole."""
+    keys = compositions(s, d).where(F.contains("composition_key", F.lit("+"))).select("doc_id", "composition_key")
+    r = rows(s, d).join(keys, "doc_id", "left")
+    common = r.where("composition_key is not null").groupBy("composition_key").count().where("count >= 20").orderBy(F.desc("count"), "composition_key").limit(8)
+    return held_out(r, "composition_key", [x[0] for x in common.collect()])
+
+
+def external(s, d) -> DataFrame:
+    """For each source: a base model (trained without any of them) on its rows, and one whose training rows have those of the other sources stacked on."""
+    r, out = rows(s, d), None
+    base, outside = r.where("part = 'train'"), r.where("part <> 'train'")
+    model = mo.tree_expert(base, FEATURES)
+    for value in families(outside, "source", 4):
+        test = outside.where(F.col("source") == value)
+        stacked = base.unionByName(outside.where(F.col("source") != value))
+        for name, m in (("base", model), ("stacked", mo.tree_expert(stacked, FEATURES))):
+            row = confusion(mo.scored(m, test), 0.5).withColumns({"source": F.lit(value), "trained": F.lit(name)})
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+def house(s, d) -> DataFrame:
     return table(s, d, "part").select("p_partkey", "p_brand", F.when(F.col("p_partkey") % 7 != 0, F.col("p_retailprice")).alias("price"), F.col("p_size").cast("double").alias("size"), (F.col("p_partkey") % 1000).cast("double").alias("place"))
 
 
 QUERIES = {
     "ml_impute_price": lambda s, d: mo.impute_by_tree(house(s, d).withColumn("district", F.substring("p_brand", -2, 1)), "price", ["size", "place"], "district", 6).select("p_partkey", "district", "filled", "imputed"),
     "ml_tree_expert": tree_expert,
+    "ml_expert_status": statuses,
+    "ml_parts": lambda s, d: rows(s, d).select("doc_id", "label", "part"),
     "ml_calibrate": calibrated,
     "ml_sequence_expert": sequence_expert,
     "ml_fusion": fused,
     "eval_frozen": frozen,
-    "eval_leave_one_out": lambda s, d: mo.leave_one_out(rows(s, d), FEATURES, "lang", ["de", "es", "fr"]),
+    "eval_leave_one_out": leave_one_out,
+    "ml_compositional_holdout": compositional,
+    "ml_external_generalization": external,
+}
+_ROWS = f"SELECT doc_id, source, quality::DOUBLE AS label, {PARTS}[('0x' || substr(sha256('part:' || doc_id), 1, 8))::BIGINT % {len(PARTS)} + 1] AS part FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL"
+ORACLES: dict[str, str] = {
+    "ml_parts": sql("SELECT doc_id, label, part FROM r", r=_ROWS),
+    "ml_expert_status": sql("SELECT source, coalesce(n, 0) AS n, coalesce(classes, 0) AS classes, CASE WHEN coalesce(n, 0) = 0 THEN 'empty' WHEN classes < 2 THEN 'missing_split_or_label' WHEN n < 20 THEN 'insufficient_train' ELSE 'ok' END AS status FROM (SELECT DISTINCT source FROM documents UNION ALL SELECT 'nowhere') LEFT JOIN (SELECT source, count(*) AS n, count(DISTINCT label) AS classes FROM r WHERE part = 'train' GROUP BY source) USING (source)", r=_ROWS),
 }
-ORACLES: dict[str, str] = {}

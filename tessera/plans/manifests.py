@@ -42,16 +42,11 @@ def turns(s, d):
 
 
 def fields(s, d):
-    return table(s, d, "documents").select("doc_id", F.col("source").alias("field_name"), F.expr("left(text, 2000)").alias("value"))
-
-
-def whole_fields(s, d):
-    """As ``fields``, with whole texts; the SQL of the queries on ``fields`` takes their first 2,000 characters."""
     return table(s, d, "documents").select("doc_id", F.col("source").alias("field_name"), F.col("text").alias("value"))
 
 
 def char_ratios(df):
-    return df.select("doc_id", *(F.round(tx.share_of(F.col("value"), c), 6).alias(n) for n, c in (("digits", "0-9"), ("upper", "A-Z"), ("lower", "a-z"), ("spaces", r"\x20"), ("printable", r"\x20-\x7E"))))
+    return df.select("doc_id", *(F.round(tx.share_of(F.col("value"), c), 6).alias(n) for n, c in (("digits", "0-9"), ("upper", "A-Z"), ("lower", "a-z"), ("spaces", r"\x20"), ("printable", r"\x20-\x7E"), ("delimiters", ":;,.|/_=+&?%-"))))
 
 
 def field_shape(df):
@@ -70,8 +65,6 @@ QUERIES = {
     "split_membership": lambda s, d: assigned(s, d).groupBy("split").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("n")),
     "split_calibration_alternate": lambda s, d: hs.alternate(v_manifest(s, d), "label", "id").select("id", "label", "part"),
     "shard_rows": lambda s, d: hs.shard(v_manifest(s, d), "doc_id", 4, 1).select("id"),
-    "factor_decode": lambda s, d: v_manifest(s, d).select("id", factor("timing", r"^a-(\d+)$", 1, ["steady", "burst", "jitter"]), factor("padding", r"^a-(\d+)$", 1, ["none", "low", "mid", "high"])),
-    "relabel_background": lambda s, d: v_manifest(s, d).select("id", F.when(F.col("stage") == "background", 0).otherwise(F.col("label")).alias("label"), F.when(F.col("stage") == "background", "benign").otherwise(F.col("intent")).alias("intent")),
     "audit_cross_split": lambda s, d: au.crossing(assigned(s, d), ["seed", "payload"]),
     "audit_duplicates": lambda s, d: au.duplicates(v_manifest(s, d), "payload"),
     "audit_holdout": lambda s, d: au.shared_values(assigned(s, d).where("split = 'train'"), assigned(s, d).where("split = 'test'"), "client"),
@@ -79,26 +72,17 @@ QUERIES = {
     "readiness_bins": lambda s, d: turns(s, d).groupBy(bins(F.col("n")).alias("bin")).agg(F.count("*").alias("n")),
     "semi_by_ids": lambda s, d: v_manifest(s, d).join(table(s, d, "labels").where("quality = 1"), "doc_id", "left_semi").select("id", "label"),
     "dim_lookup": lambda s, d: v_manifest(s, d).join(F.broadcast(table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("long").alias("scenario"), "n_name", "r_name")), "scenario", "left").select("id", "n_name", "r_name"),
-    "dim_stage_select": lambda s, d: table(s, d, "nation").where("n_regionkey IN (0, 2) AND n_nationkey % 2 = 1").select("n_nationkey", "n_name"),
     "union_manifests": lambda s, d: v_manifest(s, d).select("id", "label").unionByName(v_child(s, d).select(F.concat(F.lit("c-"), "parent").alias("id"), "role"), allowMissingColumns=True),
     "dedup_keep_last": lambda s, d: au.keep_last(v_manifest(s, d), ["payload"], "doc_id").select("payload", "doc_id"),
     "feat_bucket": lambda s, d: v_manifest(s, d).select("id", tx.bucket(F.col("transform"), ["split", "encode"]).alias("bucket")),
     "feat_onehot": lambda s, d: v_manifest(s, d).select("id", *((F.col("lang") == x).cast("int").alias(f"lang_{x}") for x in ("en", "de", "fr", "es"))),
-    "feat_composition_key": lambda s, d: v_manifest(s, d).select("id", F.when(F.col("transform") == "none", "other").otherwise(F.array_join(F.array_sort(F.split("transform", r"\+")), "+")).alias("composition")),
-    "feat_availability": lambda s, d: v_manifest(s, d).select("id", F.col("transform").rlike("^enc").cast("int").alias("encrypted"), F.col("stage").isin("mixed", "parser").cast("int").alias("bypass"), (F.col("lang") != "en").cast("int").alias("hidden"), (F.col("n_chars") > 500).cast("int").alias("any_rows")),
-    "topk_compositions": lambda s, d: v_manifest(s, d).where(F.contains("transform", F.lit("+"))).groupBy("transform", "carrier").agg(F.count("*").alias("n")).where("n >= 10").orderBy(F.desc("n"), "transform", "carrier").limit(8),
     "fn_entropy": lambda s, d: fields(s, d).select("doc_id", F.round(tx.byte_entropy(F.col("value")), 6).alias("entropy")),
     "fn_char_ratios": lambda s, d: char_ratios(fields(s, d)),
-    "fn_grammar": lambda s, d: table(s, d, "documents").withColumn("first_word", F.substring_index("text", " ", 1)).select("doc_id", *(c.alias(n) for n, c in tx.grammar_flags(F.col("first_word")).items())),
+    "fn_grammar": lambda s, d: fields(s, d).select("doc_id", *(c.alias(n) for n, c in tx.grammar_flags(F.col("value")).items())),
     "fn_field_shape": lambda s, d: field_shape(fields(s, d)),
-    "fn_entropy_whole": lambda s, d: whole_fields(s, d).select("doc_id", F.round(tx.long_byte_entropy(F.col("value")), 6).alias("entropy")),
-    "fn_char_ratios_whole": lambda s, d: char_ratios(whole_fields(s, d)),
-    "fn_grammar_whole": lambda s, d: whole_fields(s, d).select("doc_id", *(c.alias(n) for n, c in tx.grammar_flags(F.col("value")).items())),
-    "fn_field_shape_whole": lambda s, d: field_shape(whole_fields(s, d)),
     "fn_log_scale": lambda s, d: table(s, d, "events").select("event_id", F.round(tx.log_scale(F.col("value"), 100.0), 6).alias("scaled")),
-    "fn_epoch": lambda s, d: table(s, d, "events").select("event_id", F.expr(MICROS.format("ts")).alias("micros")),
-    "fn_body_decode": lambda s, d: table(s, d, "documents").select("doc_id", tx.decode_body(F.base64(F.encode("source", "UTF-8"))).alias("body")),
-    "feat_parser_session": lambda s, d: v_log(s, d).groupBy("src").agg(F.count("*").alias("rows"), F.count_if(F.col("stream") == "A").alias("a_rows"), F.count_if((F.col("stream") == "B") & (F.col("kind") == "click")).alias("b_clicks"), F.countDistinct("service").alias("services"), F.countDistinct("host").alias("hosts"), F.max((F.col("kind") == "purchase").cast("int")).alias("has_purchase")),
+    "fn_epoch": lambda s, d: table(s, d, "events").select("event_id", F.expr(MICROS.format("ts")).alias("micros"), tx.iso_micros(F.expr(f"concat(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\"), CASE event_id % 4 WHEN 0 THEN 'Z' WHEN 1 THEN '+02:00' WHEN 2 THEN '' ELSE ' x' END)")).alias("iso_micros")),
+    "fn_body_decode": lambda s, d: table(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 3, F.lit("?? no base64 ??")).otherwise(F.base64(F.encode("text", "UTF-8"))).alias("b")).select("doc_id", F.sha2(tx.decode_body(F.col("b")), 256).alias("body_sha256"), F.char_length(tx.decode_body(F.col("b"))).alias("body_length")),
     "eval_confusion": lambda s, d: ev.confusion(v_score(s, d), 0.5),
     "eval_auc": lambda s, d: ev.areas(v_score(s, d)),
     "eval_threshold_recall": lambda s, d: ev.threshold_for_recall(v_score(s, d), 0.9),
@@ -111,7 +95,7 @@ QUERIES = {
 _ASSIGNED = "SELECT *, CASE WHEN role = 'external' THEN 'challenge' WHEN stage IN ('background', 'challenge') THEN 'challenge' WHEN client = 'client7' THEN 'challenge' WHEN carrier = 'src3' THEN 'test' WHEN contains(transform, 'split') THEN 'test' WHEN ('0x' || substr(sha256(id), 1, 8))::BIGINT % 100 < 85 THEN 'train' ELSE 'validation' END AS split FROM v_manifest"
 _VIOLATIONS = "SELECT id AS entity_id, 'background_positive' AS rule, intent AS detail FROM v_manifest WHERE stage = 'background' AND label = 1 UNION ALL SELECT id, 'external_in_mixed', carrier FROM v_manifest WHERE role = 'external' AND stage = 'mixed' UNION ALL SELECT id, 'empty_payload', n_chars::VARCHAR FROM v_manifest WHERE n_chars <= 20 UNION ALL SELECT id, 'positive_benign', intent FROM v_manifest WHERE label = 1 AND intent = 'benign'"
 _TURNS = "SELECT parent, count(*) AS n, max(turn) + 1 AS expected FROM v_child GROUP BY parent"
-_FIELDS = "SELECT doc_id, source AS field_name, left(text, 2000) AS value FROM documents"
+_FIELDS = "SELECT doc_id, source AS field_name, text AS value FROM documents"
 _STEPS = "SELECT s, p, n, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM (SELECT score AS s, count_if(label = 1) AS p, count_if(label <> 1) AS n FROM v_score GROUP BY 1) WINDOW w AS (ORDER BY s DESC)"
 
 
@@ -131,8 +115,6 @@ ORACLES = {
     "split_membership": sql("SELECT split, min(id) AS first_id, max(id) AS last_id, count(*) AS n FROM x GROUP BY split", "v_manifest", x=_ASSIGNED),
     "split_calibration_alternate": sql("SELECT id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY sha256('calibration:' || id), id) % 2 = 1 THEN 'calibration' ELSE 'tuning' END AS part FROM v_manifest", "v_manifest"),
     "shard_rows": sql("SELECT id FROM v_manifest WHERE doc_id % 4 = 1", "v_manifest"),
-    "factor_decode": sql("SELECT id, ['steady', 'burst', 'jitter'][doc_id % 3 + 1] AS timing, ['none', 'low', 'mid', 'high'][doc_id % 4 + 1] AS padding FROM v_manifest", "v_manifest"),
-    "relabel_background": sql("SELECT id, CASE WHEN stage = 'background' THEN 0 ELSE label END AS label, CASE WHEN stage = 'background' THEN 'benign' ELSE intent END AS intent FROM v_manifest", "v_manifest"),
     "audit_cross_split": sql("SELECT kind, value, string_agg(DISTINCT split, ',' ORDER BY split) AS splits, count(DISTINCT split) AS n_splits FROM (SELECT 'seed' AS kind, seed::VARCHAR AS value, split FROM x UNION ALL SELECT 'payload', payload, split FROM x) GROUP BY 1, 2 HAVING count(DISTINCT split) > 1", "v_manifest", x=_ASSIGNED),
     "audit_duplicates": sql("SELECT payload, count(*) AS n FROM v_manifest GROUP BY payload HAVING count(*) > 1", "v_manifest"),
     "audit_holdout": sql("SELECT DISTINCT client FROM x WHERE split = 'train' AND client IN (SELECT client FROM x WHERE split = 'test')", "v_manifest", x=_ASSIGNED),
@@ -140,22 +122,17 @@ ORACLES = {
     "readiness_bins": sql("SELECT CASE WHEN n <= 1 THEN '1' WHEN n <= 3 THEN '2-3' WHEN n <= 10 THEN '4-10' WHEN n <= 30 THEN '10-30' WHEN n <= 60 THEN '30-60' ELSE '60+' END AS bin, count(*) AS n FROM t GROUP BY 1", "v_child", t=_TURNS),
     "semi_by_ids": sql("SELECT id, label FROM v_manifest WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)", "v_manifest"),
     "dim_lookup": sql("SELECT id, n_name, r_name FROM v_manifest LEFT JOIN nation ON scenario = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey", "v_manifest"),
-    "dim_stage_select": "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey IN (0, 2) AND n_nationkey % 2 = 1",
     "union_manifests": sql("SELECT id, label, NULL::VARCHAR AS role FROM v_manifest UNION ALL SELECT 'c-' || parent, NULL, role FROM v_child", "v_manifest", "v_child"),
     "dedup_keep_last": sql("SELECT payload, max(doc_id) AS doc_id FROM v_manifest GROUP BY payload", "v_manifest"),
     "feat_bucket": sql("SELECT id, CASE WHEN contains(transform, 'split') THEN 'split' WHEN contains(transform, 'encode') THEN 'encode' ELSE 'other' END AS bucket FROM v_manifest", "v_manifest"),
     "feat_onehot": sql("SELECT id, " + ", ".join(f"(lang = '{x}')::INTEGER AS lang_{x}" for x in ("en", "de", "fr", "es")) + " FROM v_manifest", "v_manifest"),
-    "feat_composition_key": sql("SELECT id, CASE WHEN transform = 'none' THEN 'other' ELSE array_to_string(list_sort(string_split(transform, '+')), '+') END AS composition FROM v_manifest", "v_manifest"),
-    "feat_availability": sql("SELECT id, (transform LIKE 'enc%')::INTEGER AS encrypted, (stage IN ('mixed', 'parser'))::INTEGER AS bypass, (lang <> 'en')::INTEGER AS hidden, (n_chars > 500)::INTEGER AS any_rows FROM v_manifest", "v_manifest"),
-    "topk_compositions": sql("SELECT transform, carrier, count(*) AS n FROM v_manifest WHERE contains(transform, '+') GROUP BY 1, 2 HAVING count(*) >= 10 ORDER BY n DESC, transform, carrier LIMIT 8", "v_manifest"),
     "fn_entropy": sql("SELECT doc_id, round(coalesce(-sum(c / t * log2(c / t)), 0), 6) AS entropy FROM (SELECT doc_id, b, count(*)::DOUBLE AS c, (sum(count(*)) OVER (PARTITION BY doc_id))::DOUBLE AS t FROM (SELECT doc_id, unnest(regexp_extract_all(hex(encode(value)), '..')) AS b FROM f) GROUP BY 1, 2) GROUP BY doc_id", f=_FIELDS),
-    "fn_char_ratios": sql("SELECT doc_id, " + ", ".join(f"round(length(regexp_replace(value, '[^{c}]', '', 'g')) / greatest(1, length(value))::DOUBLE, 6) AS {n}" for n, c in (("digits", "0-9"), ("upper", "A-Z"), ("lower", "a-z"), ("spaces", r"\x20"), ("printable", r"\x20-\x7E"))) + " FROM f", f=_FIELDS),
-    "fn_grammar": "SELECT doc_id, " + ", ".join(f"regexp_matches(w, '{p}')::INTEGER AS {n}" for n, p in tx.GRAMMARS.items()) + " FROM (SELECT doc_id, string_split(text, ' ')[1] AS w FROM documents)",
+    "fn_char_ratios": sql("SELECT doc_id, " + ", ".join(f"round(length(regexp_replace(value, '[^{c}]', '', 'g')) / greatest(1, length(value))::DOUBLE, 6) AS {n}" for n, c in (("digits", "0-9"), ("upper", "A-Z"), ("lower", "a-z"), ("spaces", r"\x20"), ("printable", r"\x20-\x7E"), ("delimiters", ":;,.|/_=+&?%-"))) + " FROM f", f=_FIELDS),
+    "fn_grammar": "SELECT doc_id, " + ", ".join(f"regexp_matches(text, '{p}')::INTEGER AS {n}" for n, p in tx.GRAMMARS.items()) + " FROM documents",
     "fn_field_shape": sql("SELECT doc_id, length(value)::INTEGER AS n_chars, strlen(value)::INTEGER AS n_bytes, round(len(list_distinct(string_split(value, ''))) / greatest(1, length(value))::DOUBLE, 6) AS unique_share, substr(sha256(left(value, 8)), 1, 12) AS prefix_hash FROM f", f=_FIELDS),
     "fn_log_scale": "SELECT event_id, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, ln(1 + greatest(value, 0.0::DOUBLE)) / ln(101.0::DOUBLE))), 6) AS scaled FROM events",
-    "fn_epoch": "SELECT event_id, epoch_us(ts) AS micros FROM events",
-    "fn_body_decode": "SELECT doc_id, source AS body FROM documents",
-    "feat_parser_session": sql("SELECT src, count(*) AS rows, count_if(stream = 'A')::BIGINT AS a_rows, count_if(stream = 'B' AND kind = 'click')::BIGINT AS b_clicks, count(DISTINCT service) AS services, count(DISTINCT host) AS hosts, max((kind = 'purchase')::INTEGER) AS has_purchase FROM v_log GROUP BY src", "v_log"),
+    "fn_epoch": "SELECT event_id, epoch_us(ts) AS micros, CASE event_id % 4 WHEN 1 THEN epoch_us(ts) - 7200000000 WHEN 3 THEN NULL ELSE epoch_us(ts) END AS iso_micros FROM events",
+    "fn_body_decode": "SELECT doc_id, CASE WHEN doc_id % 5 <> 3 AND text IS NOT NULL THEN sha256(array_to_string(list_transform(regexp_extract_all(substr(hex(encode(text)), 1, 32768), '..'), lambda x: chr(('0x' || x)::INTEGER)), '')) END AS body_sha256, CASE WHEN doc_id % 5 <> 3 THEN least(strlen(text), 16384)::INTEGER END AS body_length FROM documents",
     "eval_confusion": sql(_rates("v_score", 0.5), "v_score"),
     "eval_auc": sql("SELECT round(sum(n * (2 * tp - p)) / (2.0::DOUBLE * sum(p) * sum(n)), 6) AS roc_auc, round(sum(p * tp / (tp + fp)::DOUBLE) / sum(p), 6) AS pr_auc FROM st", "v_score", st=_STEPS),
     "eval_threshold_recall": sql("SELECT s AS threshold, round(tp / (tp + fp)::DOUBLE, 6) AS precision FROM st, (SELECT sum(p) AS n1 FROM st) WHERE tp >= 0.9::DOUBLE * n1 ORDER BY tp / (tp + fp)::DOUBLE DESC, s DESC LIMIT 1", "v_score", st=_STEPS),

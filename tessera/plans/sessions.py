@@ -97,30 +97,21 @@ def field_rows(s, d):
 
 
 QUERIES = {
-    "tx_features": lambda s, d: v_tx(s, d).select("rec", "session_id", F.signum(F.col("req") - F.col("resp")).alias("direction"), F.round(log_scale(F.col("req").cast("double"), 1000.0), 6).alias("req_scaled"), (F.col("status") >= 202).cast("int").alias("is_error")),
-    "tx_enrich_fields": lambda s, d: v_tx(s, d).join(table(s, d, "events").select(F.col("event_id").alias("rec"), "user_id"), "rec", "left").select("rec", "session_id", "user_id"),
     "tx_label_join": lambda s, d: v_tx(s, d).join(v_manifest(s, d).select((F.col("doc_id") * 5).alias("rec"), "label").dropDuplicates(["rec"]), "rec").select("rec", "session_id", "label"),
     "feat_tx_agg": lambda s, d: se.aggregate_all(v_tx(s, d), ["session_id"], ["req", "resp", "status"], KINDS),
-    "feat_temporal": lambda s, d: se.temporal(v_tx(s, d), "session_id", ["rec"], "ts_us", ["method", "kind", "status"]),
     "agg_entropy": lambda s, d: se.entropy(v_tx(s, d), "session_id", "method"),
     "agg_lag_corr": lambda s, d: se.lag_correlation(v_tx(s, d), "session_id", ["rec"], "req", 1),
     "agg_medians": lambda s, d: v_tx(s, d).agg(*(F.round(F.coalesce(F.percentile(c, F.lit(0.5)), F.lit(0.0)), 6).alias(c) for c in ("req", "resp", "status"))),
-    "session_assemble": lambda s, d: v_manifest(s, d).select("doc_id", "id", "label").join(v_score(s, d).select("doc_id", "score"), "doc_id", "left").join(assigned(s, d).where("role <> 'external'").select("doc_id", "split"), "doc_id", "left").select("id", "label", F.coalesce("split", F.lit("challenge")).alias("split"), F.col("score").isNotNull().cast("int").alias("scored"), F.coalesce("score", F.lit(0.0)).alias("score")),
     "field_explode": lambda s, d: field_rows(s, d),
-    "feat_field_agg": lambda s, d: field_rows(s, d).groupBy("page_id").agg(F.count("*").alias("n_fields"), F.round(F.avg(F.char_length("value")), 6).alias("mean_length"), F.max(F.char_length("value").cast("long")).alias("max_length"), F.max(F.startswith("name", F.lit(":")).cast("int")).alias("has_pseudo")),
     "feat_numeric_matrix": lambda s, d: se.numeric_matrix(v_manifest(s, d).join(v_score(s, d).select("doc_id", "score"), "doc_id", "left").select("id", "doc_id", "label", "seed", "score", "n_chars"), ["id"], ["doc_id", "label"]),
     "feat_prefix_allowlist": lambda s, d: se.by_prefix(table(s, d, "part"), ("p_r", "p_s"), ["p_partkey"]),
-    "feat_missing_reason": lambda s, d: v_manifest(s, d).select("id", F.col("transform").rlike("^enc").cast("int").alias("encrypted"), (F.col("lang") == "fr").cast("int").alias("unsupported"), (F.col("n_chars") > 5000).cast("int").alias("truncated"), (~F.col("transform").rlike("^enc") & (F.col("lang") != "fr") & (F.col("n_chars") <= 5000)).cast("int").alias("absent")),
     "feat_visibility_mask": lambda s, d: se.visible_only(v_manifest(s, d), v_manifest(s, d), "id", F.col("transform") == "none").select("id", "label"),
-    "frames_experts": lambda s, d: v_manifest(s, d).select("id", (F.col("transform") == "none").alias("visible")).groupBy("visible").agg(F.count("*").alias("rows")),
-    "fusion_table": lambda s, d: v_manifest(s, d).join(v_score(s, d).select("doc_id", "score"), "doc_id", "left").select("id", F.when(F.col("transform") == "none", F.col("score")).alias("content_score"), "score", F.col("score").isNotNull().cast("int").alias("available")),
     "seq_encode": lambda s, d: se.sequences(v_tx(s, d), "session_id", "rec", {"req": F.round(log_scale(F.col("req").cast("double"), 1000.0), 6), "sign": F.signum((F.col("req") - F.col("resp")).cast("double"))}, 8).select("session_id", F.posexplode("seq").alias("step", "x"), "mask").select("session_id", "step", F.col("x")[0].alias("req"), F.col("x")[1].alias("sign"), F.element_at("mask", F.col("step") + 1).alias("mask")),
     "src_jsonl_tolerant": jsonl,
     "src_flatten_json": lambda s, d: rd.flatten(nested(s, d), "_"),
     "src_multi_shard_union": shards,
     "src_csv_positional": lambda s, d: comma_csv(s, d).select("key", "price"),
     "cast_decimal_comma": lambda s, d: comma_csv(s, d).select(F.col("key").cast("long").alias("key"), *decimal_comma(["price"])),
-    "profile_dtypes": lambda s, d: s.createDataFrame(table(s, d, "part").dtypes, "name string, kind string"),
     "sink_parquet_roundtrip": lambda s, d: written(table(s, d, "supplier"), "supplier")[1],
     "backfill_missing_shards": lambda s, d: rd.missing_shards(v_manifest(s, d), v_manifest(s, d).where("carrier NOT IN ('src1', 'src4')"), "carrier"),
     "evidence_sufficiency": lambda s, d: needed(s, d).join(evidence(s, d), "carrier", "left").select("carrier", F.coalesce("sessions", F.lit(0)).cast("long").alias("sessions"), F.coalesce("captures", F.lit(0)).cast("long").alias("captures"), ((F.coalesce("sessions", F.lit(0)) >= 45) & (F.coalesce("captures", F.lit(0)) >= 40)).alias("filled")),
@@ -136,23 +127,15 @@ _T = {**_ASOF, "tx": _TX}
 _CSV = "SELECT p_partkey::VARCHAR AS key, replace(p_retailprice::VARCHAR, '.', ',') AS price FROM part"
 _TEMPORAL = "SELECT session_id, count(*) AS n, round((max(ts_us) - min(ts_us)) / 1000000.0::DOUBLE, 4) AS duration, round(coalesce(avg(gap), 0), 4) AS gap_mean, round(coalesce(stddev_pop(gap), 0), 4) AS gap_std, round(coalesce(CASE WHEN avg(gap) <> 0 THEN stddev_pop(gap) / avg(gap) END, 0), 4) AS gap_cv, round(coalesce(quantile_cont(gap, 0.95), 0), 4) AS gap_p95, round(coalesce(avg((gap <= mg / 2)::INT::DOUBLE) FILTER (WHERE gap IS NOT NULL), 0), 6) AS burst_share, round(coalesce(avg((gap >= mg * 2)::INT::DOUBLE) FILTER (WHERE gap IS NOT NULL), 0), 6) AS silence_share, round(coalesce(avg(cm::INT::DOUBLE), 0), 6) AS method_change, round(coalesce(avg(ck::INT::DOUBLE), 0), 6) AS kind_change, round(coalesce(avg(cs::INT::DOUBLE), 0), 6) AS status_change FROM g JOIN m USING (session_id) GROUP BY session_id"
 ORACLES = {
-    "tx_features": sql(f"SELECT rec, session_id, sign(req - resp)::DOUBLE AS direction, {_LOG} AS req_scaled, (status >= 202)::INTEGER AS is_error FROM tx", *_IV, **_T),
-    "tx_enrich_fields": sql("SELECT rec, session_id, user_id FROM tx LEFT JOIN events ON rec = event_id", *_IV, **_T),
     "tx_label_join": sql("SELECT rec, session_id, label FROM tx JOIN (SELECT doc_id * 5 AS rec, label FROM v_manifest) USING (rec)", *_IV, "v_manifest", **_T),
     "feat_tx_agg": sql("SELECT session_id, " + ", ".join(f"round({f}({c}), 6) AS {c}_{k}" if k in ("mean", "std") else f"{f}({c}) AS {c}_{k}" for c in ("req", "resp", "status") for k, f in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max"))) + " FROM tx GROUP BY session_id", *_IV, **_T),
-    "feat_temporal": sql(_TEMPORAL, *_IV, **_T, g="SELECT *, (ts_us - lag(ts_us) OVER w) / 1000000.0::DOUBLE AS gap, method <> lag(method) OVER w AS cm, kind <> lag(kind) OVER w AS ck, status <> lag(status) OVER w AS cs FROM tx WINDOW w AS (PARTITION BY session_id ORDER BY rec)", m="SELECT session_id, quantile_cont(gap, 0.5) AS mg FROM g GROUP BY session_id"),
     "agg_entropy": sql("SELECT session_id, round(sum(-p * log2(p)), 6) AS entropy FROM (SELECT session_id, count(*) / (sum(count(*)) OVER (PARTITION BY session_id))::DOUBLE AS p FROM tx GROUP BY session_id, method) GROUP BY session_id", *_IV, **_T),
     "agg_lag_corr": sql("SELECT session_id, round(CASE WHEN count(b) >= 3 THEN coalesce(CASE WHEN stddev_pop(x) * stddev_pop(b) <> 0 THEN covar_pop(x, b) / (stddev_pop(x) * stddev_pop(b)) END, 0) ELSE 0 END, 4) AS lag1 FROM (SELECT session_id, b, CASE WHEN b IS NOT NULL THEN req END AS x FROM (SELECT session_id, req, lag(req) OVER (PARTITION BY session_id ORDER BY rec) AS b FROM tx)) GROUP BY session_id", *_IV, **_T),
     "agg_medians": sql("SELECT " + ", ".join(f"round(coalesce(quantile_cont({c}::DOUBLE, 0.5), 0), 6) AS {c}" for c in ("req", "resp", "status")) + " FROM tx", *_IV, **_T),
-    "session_assemble": sql("SELECT m.id, m.label, coalesce(x.split, 'challenge') AS split, (score IS NOT NULL)::INTEGER AS scored, coalesce(score, 0.0::DOUBLE) AS score FROM v_manifest m LEFT JOIN v_score s ON m.doc_id = s.doc_id LEFT JOIN x ON x.doc_id = m.doc_id AND x.role <> 'external'", "v_manifest", "v_score", x=_ASSIGNED),
     "field_explode": sql("SELECT * FROM f", f=_FIELD_ROWS),
-    "feat_field_agg": sql("SELECT page_id, count(*) AS n_fields, round(avg(length(value)), 6) AS mean_length, max(length(value)) AS max_length, 1 AS has_pseudo FROM f GROUP BY page_id", f=_FIELD_ROWS),
     "feat_numeric_matrix": sql("SELECT id, coalesce(n_chars, 0)::DOUBLE AS n_chars, (n_chars IS NULL)::INTEGER AS n_chars__missing, coalesce(score, 0)::DOUBLE AS score, (score IS NULL)::INTEGER AS score__missing, coalesce(seed, 0)::DOUBLE AS seed, (seed IS NULL)::INTEGER AS seed__missing FROM v_manifest LEFT JOIN v_score USING (doc_id)", "v_manifest", "v_score"),
     "feat_prefix_allowlist": "SELECT p_partkey, p_size, p_retailprice FROM part",
-    "feat_missing_reason": sql("SELECT id, (transform LIKE 'enc%')::INTEGER AS encrypted, (lang = 'fr')::INTEGER AS unsupported, (n_chars > 5000)::INTEGER AS truncated, (transform NOT LIKE 'enc%' AND lang <> 'fr' AND n_chars <= 5000)::INTEGER AS absent FROM v_manifest", "v_manifest"),
     "feat_visibility_mask": sql("SELECT id, label FROM v_manifest WHERE transform = 'none'", "v_manifest"),
-    "frames_experts": sql("SELECT transform = 'none' AS visible, count(*) AS rows FROM v_manifest GROUP BY 1", "v_manifest"),
-    "fusion_table": sql("SELECT id, CASE WHEN transform = 'none' THEN score END AS content_score, score, (score IS NOT NULL)::INTEGER AS available FROM v_manifest LEFT JOIN v_score USING (doc_id)", "v_manifest", "v_score"),
     "seq_encode": sql(f"SELECT session_id, step::INTEGER AS step, coalesce(r, 0)::DOUBLE AS req, coalesce(sg, 0)::DOUBLE AS sign, (r IS NOT NULL)::INTEGER AS mask FROM (SELECT DISTINCT session_id FROM k) CROSS JOIN range(8) t(step) LEFT JOIN k USING (session_id, step)", *_IV, **_T, p="SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY rec) AS place, count(*) OVER (PARTITION BY session_id) AS n FROM tx", k=f"SELECT session_id, {_LOG} AS r, sign((req - resp)::DOUBLE) AS sg, row_number() OVER (PARTITION BY session_id ORDER BY place) - 1 AS step FROM p WHERE n <= 8 OR place <= 4 OR place > n - 4"),
     "src_jsonl_tolerant": "SELECT event_id, user_id, event_type, value FROM events",
     "src_flatten_json": "SELECT event_id, user_id AS body_user_id, event_type AS body_what_event_type, value AS body_what_value FROM events",
