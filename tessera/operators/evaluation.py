@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.ranges import running_sums
+from tessera.operators.ranges import percentiles, running_sums
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -47,7 +47,9 @@ def threshold_for_recall(df: DataFrame, recall: float, label: str = "label", sco
 
 
 def score_summary(df: DataFrame, threshold: float, score: str = "score") -> DataFrame:
-    return df.agg(F.count("*").alias("n"), F.min(score).alias("min"), F.round(F.percentile(score, F.lit(0.5)), 6).alias("median"), F.round(F.percentile(score, F.lit(0.95)), 6).alias("p95"), F.round(F.avg((F.col(score) < threshold).cast("double")), 6).alias("share_below"))
+    """Count, least, median, interpolated p95 and the share below a threshold."""
+    rest = df.agg(F.count("*").alias("n"), F.min(score).alias("min"), F.round(F.avg((F.col(score) < threshold).cast("double")), 6).alias("share_below"))
+    return rest.join(F.broadcast(percentiles(df, score, {"median": 0.5, "p95": 0.95}))).select("n", "min", F.round("median", 6).alias("median"), F.round("p95", 6).alias("p95"), "share_below")
 
 
 def pair_delta(df: DataFrame, pair: str, on: Column, order: str, score: str = "score") -> DataFrame:

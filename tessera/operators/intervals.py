@@ -30,11 +30,17 @@ def attribute(probes: DataFrame, intervals: DataFrame, tolerance: int = TOLERANC
     return placed.select("row.*", F.when(fits(F.col("before")), F.col("before.session_id")).when(fits(F.col("after")), F.col("after.session_id")).alias("session_id"))
 
 
-def all_containing(probes: DataFrame, intervals: DataFrame, tolerance: int = TOLERANCE_US) -> DataFrame:
-    """Every pair of a row and an interval of its key that holds it: a superset of ``attribute``."""
-    p, i = probes.alias("p"), intervals.alias("i")
-    held = (F.col("p.ts_us") >= F.col("i.start_us") - tolerance) & (F.col("p.ts_us") <= F.col("i.end_us") + tolerance)
-    return p.join(i, (F.col("p.src") == F.col("i.src")) & held).select("p.*", "i.session_id")
+def all_containing(probes: DataFrame, intervals: DataFrame, tolerance: int = TOLERANCE_US, width_us: int = 6 * 3600 * 1_000_000) -> DataFrame:
+    """Every pair of a row and an interval of its key that holds it: a superset of ``attribute``.
+
+    Time is cut into buckets of ``width_us``. An interval stands in each that it touches and a row in one, so a row meets
+    only intervals near it, however many its key has.
+    """
+    bucket = lambda x: F.floor(x / width_us)
+    low, high = F.col("start_us") - tolerance, F.col("end_us") + tolerance
+    i = intervals.select("src", "session_id", low.alias("_low"), high.alias("_high"), F.explode(F.sequence(bucket(low), bucket(high))).alias("_bucket"))
+    joined = probes.withColumn("_bucket", bucket(F.col("ts_us"))).join(i, ["src", "_bucket"])
+    return joined.where(F.col("ts_us").between(F.col("_low"), F.col("_high"))).select(*probes.columns, "session_id")
 
 
 def mapping_coverage(attributed: DataFrame) -> DataFrame:

@@ -22,3 +22,18 @@ def running_sums(df: DataFrame, key: Column, order: list, sums: dict[str, Column
     own = Window.partitionBy("_range").orderBy("_k", *order).rowsBetween(Window.unboundedPreceding, 0)
     out = keyed.join(F.broadcast(offsets), "_range").withColumns({n: F.sum(e).over(own) + F.col(f"_o_{n}") for n, e in sums.items()})
     return out.drop("_k", "_range", *(f"_o_{n}" for n in sums))
+
+
+def percentiles(df: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
+    """One row: the exact interpolated percentiles of a column's values, nulls left out; null without values.
+
+    Counts of distinct values and their running sums, so no task holds the values of the table.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("all"))
+    held = running_sums(counts, F.col("v"), ["v"], {"upto": F.col("n")}).join(F.broadcast(total))
+
+    low = {n: F.min(F.when(F.col("upto") > F.floor(share * (F.col("all") - 1)), F.col("v"))) for n, share in shares.items()}
+    high = {n: F.min(F.when(F.col("upto") > F.ceil(share * (F.col("all") - 1)), F.col("v"))) for n, share in shares.items()}
+    part = {n: share * (F.max("all") - 1) - F.floor(share * (F.max("all") - 1)) for n, share in shares.items()}
+    return held.agg(*((low[n] + (high[n] - low[n]) * part[n]).alias(n) for n in shares))

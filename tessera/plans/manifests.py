@@ -20,16 +20,6 @@ def assigned(s, d):
     return m.withColumn("split", hs.first_match(rules, hs.hash_split(F.col("id"))))
 
 
-def rules():
-    c = F.col
-    return {
-        "background_positive": ((c("stage") == "background") & (c("label") == 1), c("intent")),
-        "external_in_mixed": ((c("role") == "external") & (c("stage") == "mixed"), c("carrier")),
-        "empty_payload": (c("n_chars") <= 20, c("n_chars")),
-        "positive_benign": ((c("label") == 1) & (c("intent") == "benign"), c("intent")),
-    }
-
-
 def bins(n):
     out = None
     for most, name in BINS:
@@ -53,10 +43,6 @@ def field_shape(df):
     return df.select("doc_id", F.char_length("value").alias("n_chars"), F.octet_length("value").alias("n_bytes"), F.round(tx.unique_share(F.col("value")), 6).alias("unique_share"), F.substring(F.sha2(F.expr("left(value, 8)"), 256), 1, 12).alias("prefix_hash"))
 
 
-def factor(name, grammar, group, values):
-    return F.element_at(F.array(*map(F.lit, values)), (F.regexp_extract("id", grammar, group).cast("int") % len(values) + 1)).alias(name)
-
-
 QUERIES = {
     "split_hash": lambda s, d: v_manifest(s, d).select("id", hs.hash_split(F.col("id")).alias("split")),
     "split_validation_role": lambda s, d: v_manifest(s, d).select("id", hs.four_way_role(F.col("id"), ROLES).alias("role4")),
@@ -93,7 +79,6 @@ QUERIES = {
 }
 
 _ASSIGNED = "SELECT *, CASE WHEN role = 'external' THEN 'challenge' WHEN stage IN ('background', 'challenge') THEN 'challenge' WHEN client = 'client7' THEN 'challenge' WHEN carrier = 'src3' THEN 'test' WHEN contains(transform, 'split') THEN 'test' WHEN ('0x' || substr(sha256(id), 1, 8))::BIGINT % 100 < 85 THEN 'train' ELSE 'validation' END AS split FROM v_manifest"
-_VIOLATIONS = "SELECT id AS entity_id, 'background_positive' AS rule, intent AS detail FROM v_manifest WHERE stage = 'background' AND label = 1 UNION ALL SELECT id, 'external_in_mixed', carrier FROM v_manifest WHERE role = 'external' AND stage = 'mixed' UNION ALL SELECT id, 'empty_payload', n_chars::VARCHAR FROM v_manifest WHERE n_chars <= 20 UNION ALL SELECT id, 'positive_benign', intent FROM v_manifest WHERE label = 1 AND intent = 'benign'"
 _TURNS = "SELECT parent, count(*) AS n, max(turn) + 1 AS expected FROM v_child GROUP BY parent"
 _FIELDS = "SELECT doc_id, source AS field_name, text AS value FROM documents"
 _STEPS = "SELECT s, p, n, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM (SELECT score AS s, count_if(label = 1) AS p, count_if(label <> 1) AS n FROM v_score GROUP BY 1) WINDOW w AS (ORDER BY s DESC)"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import decimal_comma, log_scale
 from tessera.operators import audits as au
 from tessera.operators import sessions as se
+from tessera.operators.ranges import percentiles
 from tessera.plans.manifests import _ASSIGNED, assigned
 from tessera.plans.tabular import _ASOF, _IV, attributed
 from tessera.plans.views import sql, table, v_manifest, v_score
@@ -55,26 +56,13 @@ def comma_csv(s, d):
     return rd.read_positional_csv(s, path, ["key", "price"])
 
 
-def checksum_report(s, d):
-    path, _ = written(table(s, d, "nation").coalesce(1), "nation")
-    found = rd.checksums(s, path).where("file LIKE '%.parquet'")
-    return rd.verify_checksums(found, found).groupBy("state").agg(F.count("*").alias("n"))
-
-
-def gate(s, d):
-    m = assigned(s, d)
-    checks = m.agg(
-        (F.count("*") > 0).alias("not_empty"), (F.countDistinct("id") == F.count("*")).alias("unique_ids"), F.every(F.col("label").isin(0, 1)).alias("labels_known"),
-        F.every(F.col("split").isNotNull()).alias("all_split"), (F.count_if(F.col("payload").isNull()) == 0).alias("payloads"), (F.countDistinct("split") >= 3).alias("splits"),
-    )
-    return checks.withColumn("passed", F.forall(F.array(*checks.columns), lambda x: x))
-
-
-def reuse(s, d):
-    m = v_manifest(s, d).groupBy("scenario", "carrier").agg(F.count("*").alias("n"), F.max("label").alias("positive"), F.min("n_chars").alias("least"))
-    reason = F.when(F.col("n") < 2, "too_few").when(F.col("least") < 15, "short_rows").when(F.col("positive") == 0, "no_positive").otherwise("ok")
-    best = F.row_number().over(_w("scenario", "carrier"))
-    return m.withColumn("reason", reason).where("reason = 'ok'").withColumn("r", best).where("r = 1").select("scenario", "carrier")
+def medians(df, columns):
+    """One row: the exact median of each column, 0 where there is none."""
+    out = None
+    for c in columns:
+        one = percentiles(df, c, {c: 0.5}).select(F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c))
+        out = one if out is None else out.join(F.broadcast(one))
+    return out
 
 
 def _w(by, *order):
@@ -101,7 +89,7 @@ QUERIES = {
     "feat_tx_agg": lambda s, d: se.aggregate_all(v_tx(s, d), ["session_id"], ["req", "resp", "status"], KINDS),
     "agg_entropy": lambda s, d: se.entropy(v_tx(s, d), "session_id", "method"),
     "agg_lag_corr": lambda s, d: se.lag_correlation(v_tx(s, d), "session_id", ["rec"], "req", 1),
-    "agg_medians": lambda s, d: v_tx(s, d).agg(*(F.round(F.coalesce(F.percentile(c, F.lit(0.5)), F.lit(0.0)), 6).alias(c) for c in ("req", "resp", "status"))),
+    "agg_medians": lambda s, d: medians(v_tx(s, d), ["req", "resp", "status"]),
     "field_explode": lambda s, d: field_rows(s, d),
     "feat_numeric_matrix": lambda s, d: se.numeric_matrix(v_manifest(s, d).join(v_score(s, d).select("doc_id", "score"), "doc_id", "left").select("id", "doc_id", "label", "seed", "score", "n_chars"), ["id"], ["doc_id", "label"]),
     "feat_prefix_allowlist": lambda s, d: se.by_prefix(table(s, d, "part"), ("p_r", "p_s"), ["p_partkey"]),

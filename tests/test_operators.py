@@ -139,7 +139,7 @@ def test_field_queries_take_whole_texts(spark, tmp_path):
     def rows(name):
         return {r.doc_id: r for r in QUERIES[name](spark, f"file://{tmp_path}").collect()}
 
-    e, c, g, f = (rows(f"fn_{n}_whole") for n in ("entropy", "char_ratios", "grammar", "field_shape"))
+    e, c, g, f = (rows(f"fn_{n}") for n in ("entropy", "char_ratios", "grammar", "field_shape"))
     assert e[2].entropy == 0 and f[2].n_chars is None
     for i, t in enumerate(texts):
         if t is not None:
@@ -150,3 +150,53 @@ def test_field_queries_take_whole_texts(spark, tmp_path):
             assert abs(f[i].unique_share - len(set(t)) / max(1, len(t))) < 2e-6
             assert f[i].prefix_hash == hashlib.sha256(t[:8].encode()).hexdigest()[:12]
             assert {n: g[i][n] for n in tx.GRAMMARS} == {n: int(bool(re.search(p, t))) for n, p in tx.GRAMMARS.items()}
+
+
+def test_running_sums_and_percentiles(spark):
+    from tessera.operators.ranges import percentiles, running_sums
+
+    rng = random.Random(4)
+    values = [rng.choice([0.5, 1.0, rng.random() * 9]) for _ in range(500)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(values)] + [(900, None, 1)], "id int, v double, n int")
+    got = {r.id: r.upto for r in running_sums(df, F.col("v"), ["id"], {"upto": F.col("n")}, parts=7).collect()}
+    order = [900] + sorted(range(500), key=lambda i: (values[i], i))
+    assert got == {i: n + 1 for n, i in enumerate(order)}
+    held = sorted(values)
+    r = percentiles(df, "v", {"a": 0.5, "b": 0.95, "c": 0.0}).first()
+    assert abs(r.a - (held[249] + held[250]) / 2) < 1e-12 and abs(r.b - (held[474] + 0.05 * (held[475] - held[474]))) < 1e-12 and r.c == held[0]
+    assert percentiles(df.limit(0), "v", {"a": 0.5}).first().a is None
+
+
+def test_captures(spark):
+    import struct
+
+    from tessera.sources.captures import decode_captures
+
+    def record(order, ticks, frame, size=None):
+        return struct.pack(order + "4I", 1000, ticks, len(frame), size or len(frame)) + frame
+
+    v4 = bytes(12) + b"\x08\x00" + bytes([0x45, 0]) + (20 + 20 + 5).to_bytes(2) + bytes(5) + bytes([6, 0, 0, 10, 0, 0, 1, 10, 0, 0, 2]) + struct.pack(">HHII", 1024, 443, 77, 0) + bytes([0x50, 0x12]) + bytes(6) + b"hello"
+    v6 = bytes(12) + b"\x86\xdd" + bytes([0x60, 0, 0, 0]) + (8 + 3).to_bytes(2) + bytes([17, 64]) + bytes(15) + b"\x01" + bytes(15) + b"\x02" + struct.pack(">HHHH", 53, 5353, 11, 0) + b"abc"
+    other = bytes(12) + b"\x08\x06" + bytes(28)
+    little = b"\xd4\xc3\xb2\xa1" + bytes(20) + record("<", 250_000, v4) + record("<", 1, other) + record("<", 500_000, v6) + b"\x01\x02"
+    nano = b"\xa1\xb2\x3c\x4d" + bytes(20) + record(">", 250_000_000, v4, 99)
+    files = spark.createDataFrame([("a", little), ("b", nano), ("c", b"no capture"), ("d", b"")], "capture string, content binary")
+    got = [tuple(r) for r in decode_captures(files).orderBy("capture", "number").collect()]
+    assert got[0] == ("a", 0, 1_000_250_000, len(v4), "10.0.0.1", "10.0.0.2", "tcp", 1024, 443, 0x12, 77, 5)
+    assert got[1] == ("a", 1, 1_000_500_000, len(v6), "0:0:0:0:0:0:0:1", "0:0:0:0:0:0:0:2", "udp", 53, 5353, 0, 0, 3)
+    assert got[2][:4] == ("b", 0, 1_000_250_000, 99) and len(got) == 3
+
+
+def test_channels_stages_and_stored_columns(spark):
+    from tessera.plans.features import packet_channels, select_stage, visible_channels
+
+    assert (len(packet_channels()), len(visible_channels())) == (12, 21)
+    catalogue = spark.createDataFrame([(i, "uri" if i % 2 else "rest") for i in range(200)], "scenario long, family string")
+    assert [r.scenario for r in select_stage(catalogue, "parser", 1, 3).orderBy("scenario").collect()] == list(range(1, 60, 3))
+    assert [r.scenario for r in select_stage(catalogue, "core", 0, 2).orderBy("scenario").limit(3).collect()] == [1, 5, 9]
+    with pytest.raises(ValueError, match="unknown stage"):
+        select_stage(catalogue, "none")
+    df = spark.createDataFrame([("a", 1, None), ("b", 2, 3.0)], "id string, seed long, x double")
+    assert se.replay_matrix(df, ["id"], ["seed"], ["x", "x__missing", "y", "y__missing"]).orderBy("id").collect() == [("a", 0.0, 1, 0.0, 1), ("b", 3.0, 0, 0.0, 1)]
+    with pytest.raises(ValueError, match="forbidden"):
+        se.replay_matrix(df, ["id"], ["seed"], ["seed"])
