@@ -7,6 +7,8 @@ a document but its posterior, so the driver sees one sum per domain and step.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -46,23 +48,30 @@ def memberships(docs: DataFrame, models: list[LinearModel]) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _after(steps: list[np.ndarray], least: Column | None = None) -> Column:
-    """(rate, ahead) of a document after projected steps: each lowers the rate by posterior . step from ``ahead``, stops it at ``least`` (0 by default), and looks ahead along the change."""
-    start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
-    if not steps:
-        return start
-    table = F.array(*(F.struct(F.array(*(F.lit(float(x)) for x in step)).alias("step"), F.lit(n / (n + 3.0)).alias("reach")) for n, step in enumerate(steps)))
+#: What a step does: by how much it lowers a rate for each unit of posterior, and the gradient where it was taken.
+Step = tuple[np.ndarray, np.ndarray]
 
-    def move(now: Column, s: Column) -> Column:
-        dot = F.aggregate(F.zip_with("posterior", s["step"], lambda p, x: p * x), F.lit(0.0), lambda a, b: a + b)
-        rate = F.greatest(F.lit(0.0) if least is None else least, now["ahead"] - dot)
-        return F.struct(rate.alias("rate"), (rate + s["reach"] * (rate - now["rate"])).alias("ahead"))
 
-    return F.aggregate(table, start, move)
+def _dot(values: Column) -> Column:
+    return F.aggregate(F.zip_with("posterior", values, lambda p, x: p * x), F.lit(0.0), lambda a, b: a + b)
 
 
-def rate_after(steps: list[np.ndarray], least: Column | None = None) -> Column:
-    return _after(steps, least)["rate"]
+def _bound(least: Column | None) -> Column:
+    return F.lit(0.0) if least is None else least
+
+
+def rate_after(steps: list[Step], least: Column | None = None) -> Column:
+    """A document's rate after projected steps from 1: each lowers it by posterior . step and stops it at ``least`` (0 by default), where it stays while the gradient pushes it down."""
+    if not steps:
+        return F.lit(1.0)
+    numbers = lambda x: F.array(*(F.lit(float(v)) for v in x))
+    table = F.array(*(F.struct(numbers(step).alias("step"), numbers(slope).alias("slope")) for step, slope in steps))
+
+    def move(now: Column, s: Column) -> Column:
+        stays = (now <= _bound(least)) & (_dot(s["slope"]) >= 0)
+        return F.when(stays, now).otherwise(F.greatest(_bound(least), now - _dot(s["step"])))
+
+    return F.aggregate(table, F.lit(1.0), move)
 
 
 def likeliest() -> Column:
@@ -70,32 +79,46 @@ def likeliest() -> Column:
     return F.array_position("posterior", F.array_max("posterior")).cast("int")
 
 
-def fit_rates(soft: DataFrame, targets: np.ndarray, tolerance: float = 1e-3, most_steps: int = 40, least: Column | None = None) -> list[np.ndarray]:
+def fit_rates(soft: DataFrame, targets: np.ndarray, tolerance: float = 1e-3, most_steps: int = 40, least: Column | None = None) -> list[Step]:
     """Steps of projected gradient descent on sum_d (sum_i rate_i tokens_i posterior_id - target_d)^2 / target_d.
 
-    The gradient is taken in the metric that weighs a document by its tokens, so a step moves a rate by its posterior
-    alone. Steps are accelerated. ``least`` (0 or 1) is the lowest rate of a document. Stops when every total is within ``tolerance`` of its target, or after ``most_steps``.
+    The gradient is taken in a metric that weighs a document by its tokens, so a step moves a rate by its posterior alone,
+    and that is scaled by what the documents that may move (not at ``least``, 0 or 1, and pushed down) can change: one sum
+    per domain and pair of domains. A step that lowers nothing is tried shorter. Stops when every total is within
+    ``tolerance`` of its target; when ``most_steps`` don't do or none helps, a warning names the totals.
     """
     k = len(targets)
-    weight = 1.0 / np.maximum(targets, 1.0)
     p = [F.element_at("posterior", d + 1) for d in range(k)]
-    first = soft.agg(*(F.sum(F.col("n_tokens") * p[a] * p[b]).alias(f"m{a}_{b}") for a in range(k) for b in range(a, k))).first()
-    gram = np.zeros((k, k))
-    for a in range(k):
-        for b in range(a, k):
-            gram[a, b] = gram[b, a] = first[f"m{a}_{b}"] or 0.0
-    scale = np.sqrt(weight)
-    steepest = float(np.linalg.eigvalsh(gram * scale[:, None] * scale[None, :])[-1])
-    steps: list[np.ndarray] = []
-    if steepest <= 0:
-        return steps
-    for _ in range(most_steps):
-        placed = soft.withColumn("_s", _after(steps, least))
-        sums = [F.sum(F.col("_s")[kind] * F.col("n_tokens") * p[d]) for kind in ("rate", "ahead") for d in range(k)]
-        totals = np.array([t or 0.0 for t in placed.agg(*(c.alias(f"t{i}") for i, c in enumerate(sums))).first()])
-        if (np.abs(totals[:k] - targets) <= tolerance * np.maximum(targets, 1.0)).all():
-            break
-        steps.append((totals[k:] - targets) * weight / steepest)
+    weight = 1.0 / np.maximum(targets, 1.0)
+    loss = lambda t: float((weight * (t - targets) ** 2).sum())
+
+    def totals_after(steps: list[Step]) -> np.ndarray:
+        row = soft.withColumn("_r", rate_after(steps, least)).agg(*(F.sum(F.col("_r") * F.col("n_tokens") * p[d]).alias(f"t{d}") for d in range(k))).first()
+        return np.array([x or 0.0 for x in row])
+
+    steps: list[Step] = []
+    totals = totals_after(steps)
+    while (np.abs(totals - targets) > tolerance * np.maximum(targets, 1.0)).any():
+        slope = weight * (totals - targets)
+        moves = soft.withColumn("_r", rate_after(steps, least)).where((F.col("_r") > _bound(least)) | (sum((p[d] * float(slope[d]) for d in range(k)), F.lit(0.0)) < 0))
+        row = moves.agg(*(F.sum(F.col("n_tokens") * p[a] * p[b]).alias(f"m{a}_{b}") for a in range(k) for b in range(a, k))).first()
+        gram = np.zeros((k, k))
+        for a in range(k):
+            for b in range(a, k):
+                gram[a, b] = gram[b, a] = row[f"m{a}_{b}"] or 0.0
+        better = None
+        if gram.any() and len(steps) < most_steps:
+            way = np.linalg.lstsq(gram + 1e-9 * np.trace(gram) * np.eye(k), totals - targets, rcond=None)[0]
+            for halves in range(8):
+                tried = [*steps, (way / 2**halves, slope)]
+                found = totals_after(tried)
+                if loss(found) < (1 - 1e-4) * loss(totals):
+                    better = tried, found
+                    break
+        if better is None:
+            warnings.warn(f"rates miss their targets: totals {totals.round(1).tolist()}, targets {np.round(targets, 1).tolist()}", stacklevel=2)
+            return steps
+        steps, totals = better
     return steps
 
 
@@ -106,8 +129,10 @@ def mix_to_targets(docs: DataFrame, labelled: DataFrame, weights: dict[str, floa
     times the tokens it has. ``copies`` is the rate, rounded down or up by a hash of the id so that its mean is the rate.
     With ``keep_anchor`` no document whose likeliest domain is ``anchor`` has a rate below 1; the other rates meet the
     targets as closely as that allows. Domains without labelled rows get weight none; without any, every rate is 1. Empty and null texts have 0 tokens.
-    Every row has a rate of its own, also where rows repeat; a null id rounds like any other.
+    Every row has a rate of its own, also where rows repeat; a null id rounds like any other; no rows, none. Columns of
+    ``docs`` with the names of the five new ones are replaced.
     """
+    docs = docs.drop("n_tokens", "domain", "posterior", "rate", "copies")
     seen = {r.domain for r in labelled.select("domain").distinct().collect() if r.domain in weights}
     domains = sorted(seen)
     if len(domains) < 2:

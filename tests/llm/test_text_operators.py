@@ -369,6 +369,17 @@ def test_mixing_reaches_targets(spark):
     steps = fit_rates(soft, targets)
     got = soft.withColumn("r", rate_after(steps)).agg(*(F.sum(F.col("r") * F.col("n_tokens") * F.element_at("posterior", d + 1)) for d in range(3)), F.min("r")).first()
     assert np.allclose(got[:3], targets, rtol=5e-3) and got[3] >= 0
+    # plain projected gradient steps of the whole problem agree on the totals, and the rates are a solution of least squares
+    rows = soft.withColumn("r", rate_after(steps)).collect()
+    n, x = np.array([r.n_tokens for r in rows], float), np.array([r.posterior for r in rows])
+    w, rate = 1 / targets, np.ones(len(n))
+    for _ in range(20_000):
+        rate = np.maximum(0, rate - 2e-4 * x @ (w * ((n * rate) @ x - targets)))
+    mine = np.array([r.r for r in rows])
+    loss = lambda r: float((w * ((n * r) @ x - targets) ** 2).sum())
+    assert loss(mine) <= loss(rate) + 1e-2
+    with pytest.warns(UserWarning, match="miss their targets"):
+        fit_rates(soft, np.array([1e9, 0.0, 0.0]), most_steps=3, least=F.lit(1.0))
 
 
 def test_mixing_keeps_likely_good_documents(spark, labelled):

@@ -92,3 +92,42 @@ def test_pipeline_stages(spark):
 @pytest.mark.parametrize("name", ["op1_mixing_to_targets", "op9_size_tiered_shards"])
 def test_queries_keep_every_document(spark, name):
     assert QUERIES[name](spark, DATA).count() == spark.read.parquet(f"{DATA}/documents.parquet").count()
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and repeated rows, personal data and near copies through each stage, held against plain Python."""
+    import random
+
+    import corpus_pipeline as cp
+    from test_text_operators import brute_components, brute_spans
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(60)]
+    texts = [" ".join(word() for _ in range(30)) + f" mail ann{i}@ex.com ip 1.2.3.{i}" for i in range(60)]
+    texts += [" ".join([*base[:k], word(), *base[k + 1 :]]) for k in range(8)] + [None, "", "  ", "one two", "!!!! #### " * 30]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, schema)
+    labels = [(i, 1, int(i % 6 == 0)) for i in range(60)] + [(len(texts) - 1, 0, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in cp.near_duplicate_stage(spark, docs, str(tmp_path)).collect()}
+    assert kept == {i for i, (_, c) in brute_components(texts).items() if c == i}
+    clean = {r.doc_id: r for r in cp.personal_data_stage(spark, docs, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        out, at = "", 0
+        for kind, a, b in sorted((s.split(":") for s in brute_spans(t).split(",") if s), key=lambda x: int(x[1])):
+            if int(a) >= at:
+                out += t[at : int(a)] + f"[{kind.upper()}]"
+            at = max(at, int(b))
+        want = None if t is None else out + t[at:]
+        assert clean[i].text == want and clean[i].n_chars == (None if t is None else len(want))
+    odd = docs.unionByName(spark.createDataFrame([(None, "a b c d e f", "en", "s", 11), (3, texts[3], "en", "s", 5)], schema))
+    for name, stage in cp.STAGES:
+        out = stage(spark, odd, str(tmp_path))
+        assert name == "packing" or out.columns == cp.COLUMNS
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        if name in ("personal_data", "packing"):
+            assert out.select("doc_id").distinct().count() == len(texts) + 1, name
+    mixed = {r.doc_id for r in cp.mixing_stage(spark, odd, str(tmp_path)).collect()}
+    assert {i for i in range(60) if i % 6} <= mixed
