@@ -111,9 +111,12 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
     docs = spark.createDataFrame(rows, schema)
     labels = [(i, 1, int(i % 6 == 0)) for i in range(60)] + [(len(texts) - 1, 0, 0)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    kept = {r.doc_id for r in cp.near_duplicate_stage(spark, docs, str(tmp_path)).collect()}
-    assert kept == {i for i, (_, c) in brute_components(texts).items() if c == i}
-    clean = {r.doc_id: r for r in cp.personal_data_stage(spark, docs, str(tmp_path)).collect()}
+    odd = docs.unionByName(spark.createDataFrame([(None, "a b c d e f", "en", "s", 11), (3, texts[3], "en", "s", 5)], schema))
+    outs = {name: stage(spark, odd, str(tmp_path)) for name, stage in cp.STAGES}
+    assert all(out.columns == cp.COLUMNS for name, out in outs.items() if name != "packing")
+    kept = [r.doc_id for r in outs["near_duplicates"].collect()]
+    assert sorted(x for x in kept if x is not None) == sorted([3] + [i for i, (_, c) in brute_components(texts).items() if c == i]) and kept.count(None) == 1
+    clean = {r.doc_id: r for r in outs["personal_data"].collect()}
     for i, t in enumerate(texts):
         out, at = "", 0
         for kind, a, b in sorted((s.split(":") for s in brute_spans(t).split(",") if s), key=lambda x: int(x[1])):
@@ -122,12 +125,11 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
             at = max(at, int(b))
         want = None if t is None else out + t[at:]
         assert clean[i].text == want and clean[i].n_chars == (None if t is None else len(want))
-    odd = docs.unionByName(spark.createDataFrame([(None, "a b c d e f", "en", "s", 11), (3, texts[3], "en", "s", 5)], schema))
+    for name in ("personal_data", "packing"):
+        assert {r.doc_id for r in outs[name].select("doc_id").distinct().collect()} == {None, *range(len(texts))}
+    mixed = {r.doc_id for r in outs["mixing"].select("doc_id").distinct().collect()}
+    assert {i for i in range(60) if i % 6} <= mixed
+    good = {r.doc_id for r in outs["quality"].collect()}
+    assert set(range(60)) <= good and len(texts) - 1 not in good
     for name, stage in cp.STAGES:
-        out = stage(spark, odd, str(tmp_path))
-        assert name == "packing" or out.columns == cp.COLUMNS
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
-        if name in ("personal_data", "packing"):
-            assert out.select("doc_id").distinct().count() == len(texts) + 1, name
-    mixed = {r.doc_id for r in cp.mixing_stage(spark, odd, str(tmp_path)).collect()}
-    assert {i for i in range(60) if i % 6} <= mixed
