@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next
-stage's ``docs``. All but the last return the columns of ``documents``.
+stage's ``docs``. All but the last return the columns of ``documents``; other columns are left out. Every stage takes null
+and empty texts (the quality model scores them by its bias), repeated rows (each counts, but near_duplicates treats rows
+with one id as one document), rows with a null id (never a near copy of anything) and empty tables (no rows come back).
 """
 
 from __future__ import annotations
