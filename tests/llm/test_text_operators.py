@@ -76,7 +76,7 @@ def brute_components(texts):
     return {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize(("direct", "pairwise"), [(32, None), (3, 0)])
+@pytest.mark.parametrize(("direct", "pairwise"), [(32, None), (3, 0), (3, 10**9)])
 def test_jaccard_classes(spark, corpus, direct, pairwise):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_classes(table(spark, corpus), direct=direct, pairwise=pairwise, sample=60, common_least=3).collect()}
     assert got == brute_components(corpus)
