@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.alignment import align_documents
 from tessera.llm.common import crc_bucket, new_path, read_table
 from tessera.llm.itq_dedup import near_duplicate_vectors
 from tessera.llm.jaccard_join import jaccard_classes
@@ -13,8 +14,10 @@ from tessera.llm.mixing import mix_to_targets
 from tessera.llm.packing import pack
 from tessera.llm.pii import KINDS, as_text, count_of, find_personal_data
 from tessera.llm.quality import fit_quality, score_quality
+from tessera.llm.resampling import importance_resample
 from tessera.llm.sharding import arrive_and_compact
 from tessera.llm.suffix_dedup import remove_repeats
+from tessera.llm.token_files import write_token_files
 from tessera.llm.topk_search import scaled_integers, top_k
 from tessera.llm.toxicity import count_trigrams, fit_toxicity, language_model, score_toxicity
 
@@ -84,6 +87,21 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = write_token_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return store.read().select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    aligned = align_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = {
     "op1_mixing_to_targets": op1_mixing_to_targets,
     "op2_pii": op2_pii,
@@ -95,6 +113,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_size_tiered_shards": op9_size_tiered_shards,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_token_files": op12_token_files,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 _SETS = """WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
@@ -102,6 +123,11 @@ s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5
 _REACH = """e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 r AS (SELECT a AS x, a AS y FROM e UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a),
 c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)"""
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+#: crc32 of each distinct word: a table of 256 remainders by its rule, then one step per byte.
+_CRC = """words AS (SELECT DISTINCT w, hex(encode(w)) AS h FROM (SELECT w FROM d UNION ALL SELECT w FROM b)),
+steps AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t),
+crc AS (SELECT w, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, len(h) + 1, 2), lambda k: ('0x' || substr(h, k, 2))::BIGINT)), lambda c, x: xor(c // 256, t[1 + xor(c % 256, x)]))) % 10000 AS bucket FROM words, steps)"""
 _FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
 
 #: DuckDB SQL for those that SQL can express on whole tables in reasonable time.
@@ -118,4 +144,11 @@ SELECT query_id, rank, vec_id, score FROM (SELECT *, (row_number() OVER (PARTITI
 links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.vec_id < q.vec_id WHERE list_cosine_similarity(p.z, q.z) >= 0.98),
 """ + _REACH + """, n AS (SELECT a AS x, count(*) AS n FROM e GROUP BY a)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept FROM embeddings LEFT JOIN c ON vec_id = c.x LEFT JOIN n ON vec_id = n.x""",
+    "op11_importance_resampling": f"""WITH d AS (SELECT doc_id, unnest({_WORDS}) AS w FROM documents), b AS (SELECT unnest({_WORDS}) AS w FROM benchmark), {_CRC},
+s AS (SELECT bucket, count(*) AS s FROM d JOIN crc USING (w) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM b JOIN crc USING (w) GROUP BY 1),
+g AS (SELECT s.bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+f AS (SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM d JOIN crc USING (w) JOIN g USING (bucket) GROUP BY 1),
+x AS (SELECT documents.doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || documents.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM documents LEFT JOIN f USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id)::BIGINT AS rank, count(*) OVER () AS n FROM x WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, rank FROM x LEFT JOIN (SELECT doc_id, rank FROM r WHERE rank <= 10 * n // 100) USING (doc_id)""",
 }

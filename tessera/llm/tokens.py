@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import tiktoken
@@ -24,6 +26,11 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+def uneven(text: str) -> bool:
+    """Is there a space with white space or an end beside it? If not, the words between spaces can be encoded one by one."""
+    return _UNEVEN.search(text) is not None
+
+
 class Encoder(dict):
     """Text to little-endian 32-bit ids, the same as ``Tokenizer.encode(text, add_special_tokens=False)`` of the file.
 
@@ -69,3 +76,19 @@ class Encoder(dict):
                 return self.whole(text.encode("utf-8", "replace").decode())
         first, *words = text.split(" ")
         return self.whole(first) + b"".join(map(self.__getitem__, words))
+
+
+@lru_cache(maxsize=1)
+def shared_encoder(vocabulary: str) -> Encoder:
+    """One encoder for all tasks of a Python worker, so its words outlive a task."""
+    return Encoder(vocabulary)
+
+
+def unkept_encoder(vocabulary: str) -> tuple[Callable[[str], list[int]], list[int]]:
+    """Text to ids, with special tokens' strings as plain text, and the number of bytes of each id."""
+    own = Encoder(vocabulary)
+    letters, model = byte_letters(), json.loads(own.tokenizer.to_str())["model"]
+    lengths = [0] * own.tokenizer.get_vocab_size()
+    for token, i in model["vocab"].items():
+        lengths[i] = len(token) if all(c in letters for c in token) else 0
+    return own.encode, lengths
