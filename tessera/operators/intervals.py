@@ -4,32 +4,86 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tessera.operators.ranges import running_sums
 
 TOLERANCE_US = 100_000
 
 
-def attribute(probes: DataFrame, intervals: DataFrame, tolerance: int = TOLERANCE_US) -> DataFrame:
+def hot_key_pieces(points: DataFrame, parts: int) -> DataFrame | None:
+    """(src, bounds) of the keys with more than a ``parts``-th of all rows of ``points(src, t)``: fewer than ``parts`` keys, with fewer than twice ``parts`` times to cut them at in all.
+
+    None where no key is that large. A key is cut at quantiles of its own times, into as many pieces as its share of the rows asks for.
+    """
+    per = points.groupBy("src").agg(F.count("*").alias("n"))
+    total = per.agg(F.sum("n")).first()[0] or 0
+    hot = {r.src: -(-r.n * parts // total) for r in per.where(F.col("n") * parts > total).collect()}  # fewer than `parts` rows
+    if not hot:
+        return None
+    spark, kind = points.sparkSession, points.schema["src"].dataType
+    wanted = F.broadcast(spark.createDataFrame([(k, n) for k, n in hot.items()], StructType([StructField("_hot", kind), StructField("_n", LongType())])))
+    rows = points.join(wanted, F.col("src").eqNullSafe(F.col("_hot"))).where("t is not null")
+    sketch = F.percentile_approx("t", [n / parts for n in range(1, parts)], 20 * parts)
+    cuts = {r._hot: (r._n, r.at) for r in rows.groupBy("_hot", "_n").agg(sketch.alias("at")).collect()}
+    chosen = [(k, sorted({at[i * parts // n - 1] for i in range(1, n) if i * parts // n})) for k, (n, at) in cuts.items()]
+    return spark.createDataFrame(chosen, StructType([StructField("src", kind), StructField("bounds", ArrayType(LongType()))]))
+
+
+def attribute(probes: DataFrame, intervals: DataFrame, tolerance: int = TOLERANCE_US, parts: int | None = None) -> DataFrame:
     """``probes`` with ``session_id``: the interval with the latest start at or before the row, else the next one, if it holds the row within ``tolerance``.
 
     ``probes(src, ts_us, ...)``, ``intervals(src, session_id, start_us, end_us, ordinal)``. Of equal starts the later
-    ordinal counts. Both sides are sorted together once per key; no pair of a row and an interval is ever formed.
+    ordinal counts. Rows with a null key meet intervals with a null key.
+
+    Rows and intervals are dealt once by key and sorted once; no pair of a row and an interval is ever formed. A key with
+    more than a ``parts``-th of all rows (default: the shuffle partitions) is cut into ranges of its time. What a range
+    needs of its neighbours, the last interval before it and the first one after, is carried over a table of one row per
+    key and range, and stands in the range as its first and last row. Only rows of one key and instant stay together.
     """
-    found = F.struct("session_id", "start_us", "end_us")
-    left = intervals.select("src", F.col("start_us").alias("t"), F.lit(0).alias("kind"), "ordinal", found.alias("held"), F.lit(None).cast(probes.select(F.struct(*probes.columns)).schema[0].dataType).alias("row"))
-    right = probes.select("src", F.col("ts_us").alias("t"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("ordinal"), F.lit(None).cast(left.schema["held"].dataType).alias("held"), F.struct(*probes.columns).alias("row"))
-    order = Window.partitionBy("src").orderBy("t", "kind", "ordinal")
-    both = left.unionByName(right)
+    spark = probes.sparkSession
+    parts = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    probes_at, intervals_at = probes.withColumn("t", F.col("ts_us").cast("long")), intervals.withColumn("t", F.col("start_us").cast("long"))
+    cut = hot_key_pieces(probes_at.select("src", "t").unionByName(intervals_at.select("src", "t")), parts)
+    if cut is None:
+        ranged = lambda df: df.withColumn("_range", F.lit(0))
+    else:
+        small = F.broadcast(cut.withColumnRenamed("src", "_hot"))
+        place = F.coalesce(F.size(F.filter("bounds", lambda x: x < F.col("t"))), F.lit(0))
+        ranged = lambda df: df.join(small, F.col("src").eqNullSafe(F.col("_hot")), "left").withColumn("_range", F.when(F.col("bounds").isNull(), 0).otherwise(place)).drop("_hot", "bounds")
+    held = F.struct("session_id", "start_us", "end_us")
+    empty_row, empty_held = F.lit(None).cast(probes.select(F.struct(*probes.columns)).schema[0].dataType), F.lit(None).cast(intervals.select(held).schema[0].dataType)
+    starts = ranged(intervals_at).select("src", "_range", "t", F.lit(0).alias("kind"), F.col("ordinal").cast("long").alias("ordinal"), held.alias("held"), empty_row.alias("row"))
+    points = ranged(probes_at).select("src", "_range", "t", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("ordinal"), empty_held.alias("held"), F.struct(*probes.columns).alias("row"))
+    every = starts.unionByName(points)
+    if cut is not None:
+        every = every.unionByName(_carried(starts, points, cut))
+    order = Window.partitionBy("src", "_range").orderBy("t", "kind", "ordinal")
     before = F.last("held", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    # the next interval is the last one seen when the order is turned round, with the earlier ordinal last
-    back = Window.partitionBy("src").orderBy(F.desc("t"), F.desc("kind"), F.desc("ordinal")).rowsBetween(Window.unboundedPreceding, 0)
-    after = F.last("held", ignorenulls=True).over(back)
+    after = F.expr("lead(held, 1) IGNORE NULLS OVER (PARTITION BY src, _range ORDER BY t, kind, ordinal)")
     fits = lambda h: (F.col("t") >= h["start_us"] - tolerance) & (F.col("t") <= h["end_us"] + tolerance)
-    placed = both.withColumns({"before": before, "after": after}).where("kind = 1")
+    placed = every.withColumns({"before": before, "after": after}).where("kind = 1")
     return placed.select("row.*", F.when(fits(F.col("before")), F.col("before.session_id")).when(fits(F.col("after")), F.col("after.session_id")).alias("session_id"))
 
 
+def _carried(starts: DataFrame, points: DataFrame, cut: DataFrame) -> DataFrame:
+    """For each range of a cut key a row before all others with the last interval of earlier ranges, and one behind with the first of later ranges."""
+    key = F.struct("t", "ordinal")
+    ends = starts.where("t is not null").groupBy("src", "_range").agg(F.min_by("held", key).alias("first"), F.max_by("held", key).alias("last"))
+    used = points.select("src", "_range").distinct()
+    cut_only = used.join(F.broadcast(cut.select(F.col("src").alias("_hot"))), F.col("src").eqNullSafe(F.col("_hot")), "left_semi")
+    none = F.lit(None).cast(starts.schema["held"].dataType)
+    grid = ends.withColumn("asked", F.lit(0)).unionByName(cut_only.select("src", "_range", none.alias("first"), none.alias("last"), F.lit(1).alias("asked")))
+    per = grid.groupBy("src", "_range").agg(F.max("first").alias("first"), F.max("last").alias("last"), F.max("asked").alias("asked"))
+    earlier = Window.partitionBy("src").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("src").orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = per.withColumns({"b": F.last("last", ignorenulls=True).over(earlier), "a": F.last("first", ignorenulls=True).over(later)}).where("asked = 1")
+    far = 2**63 - 1
+    two = F.array(F.struct(F.lit(-far - 1).alias("t"), F.lit(-1).alias("kind"), F.col("b").alias("held")), F.struct(F.lit(far).alias("t"), F.lit(2).alias("kind"), F.col("a").alias("held")))
+    long = carried.select("src", "_range", F.explode(two).alias("x")).where("x.held is not null")
+    return long.select("src", "_range", F.col("x.t").alias("t"), F.col("x.kind").alias("kind"), F.lit(0).cast("long").alias("ordinal"), F.col("x.held").alias("held"), F.lit(None).cast(points.schema["row"].dataType).alias("row"))
+
+
 def all_containing(probes: DataFrame, intervals: DataFrame, tolerance: int = TOLERANCE_US, width_us: int = 6 * 3600 * 1_000_000) -> DataFrame:
     """Every pair of a row and an interval of its key that holds it: a superset of ``attribute``.
 

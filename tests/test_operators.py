@@ -42,6 +42,45 @@ def test_interval_attribution_matches_bisect(spark):
     assert set(expected.items()) <= wider
 
 
+def as_of_by_bisect(spans, probes, tolerance=100_000):
+    """rec: session of each probe, by a binary search for each."""
+    found = {}
+    for src, t, rec in probes:
+        own = sorted((s[2], s[4], s) for s in spans if s[0] == src)
+        at = bisect.bisect_right([o[0] for o in own], t)
+        fits = [x[2][1] for x in ([own[at - 1]] if at else []) + own[at : at + 1] if x[2][2] - tolerance <= t <= x[2][3] + tolerance]
+        found[rec] = fits[0] if fits else None
+    return found
+
+
+@pytest.mark.parametrize("busy, spans_of, instants", [(1.0, 150, 60_000_000), (0.6, 3, 60_000_000), (0.9, 40, 400_000), (0.5, 0, 60_000_000)])
+def test_interval_attribution_over_a_hot_key(spark, busy, spans_of, instants):
+    """A key with most or all rows is cut into ranges; intervals before, after and across them still count."""
+    rng = random.Random(busy * 100 + spans_of)
+    spans = [("hot", f"h{i}", t := rng.randrange(0, instants, 10_000), t + rng.choice([0, 100_000, 30_000_000]), i) for i in range(spans_of)]
+    spans += [(f"k{i % 5}", f"s{i}", i * 1_000_000, i * 1_000_000 + 5_000_000, i) for i in range(20)]
+    probes = [("hot" if rng.random() < busy else rng.choice(["k0", "k1", "k7", None]), rng.randrange(-300_000, instants, 10_000), i) for i in range(900)]
+    i = spark.createDataFrame(spans, "src string, session_id string, start_us long, end_us long, ordinal long")
+    p = spark.createDataFrame(probes, "src string, ts_us long, rec long")
+    out = iv.attribute(p, i, parts=8)
+    assert {r.rec: r.session_id for r in out.collect()} == as_of_by_bisect(spans, probes)
+
+
+def test_hot_key_spreads_and_is_sorted_once(spark):
+    rows = [("hot" if i % 10 else f"k{i}", i * 7 % 5_000, i) for i in range(5_000)]
+    p = spark.createDataFrame(rows, "src string, t long, rec long")
+    pieces = {r.src: r.bounds for r in iv.hot_key_pieces(p, 16).collect()}
+    assert list(pieces) == ["hot"] and 12 <= len(pieces["hot"]) <= 15
+    sizes = [sum(1 for s, t, _ in rows if s == "hot" and low < t <= high) for low, high in zip([-1, *pieces["hot"]], [*pieces["hot"], 9_999])]
+    assert max(sizes) < 2.2 * min(sizes)
+    assert iv.hot_key_pieces(p.where("src <> 'hot'"), 16) is None
+    i = spark.createDataFrame([("hot", "s", 5, 9, 1)], "src string, session_id string, start_us long, end_us long, ordinal long")
+    plan = iv.attribute(p.withColumnRenamed("t", "ts_us"), i, parts=16)._jdf.queryExecution().executedPlan().toString().split("Window [")
+    # above the union: one window over one sort of what one exchange deals out
+    top = plan[1].split("Union")[0]
+    assert top.count("Sort [") == 1 and top.count("Exchange hashpartitioning(src") == 1 and "lead(held" in plan[1] and "last(held" in plan[1]
+
+
 def test_four_packets_two_sessions(spark):
     i = spark.createDataFrame([("a", "s1", 1_000_000_000, 1_000_500_000, 1), ("b", "s2", 1_001_000_000, 1_001_500_000, 2)], "src string, session_id string, start_us long, end_us long, ordinal long")
     rows = [("a", 1_000_100_000, 10.0, 1, "click", 1, 1), ("a", 1_000_200_000, 20.0, -1, "view", 2, 2), ("b", 1_001_100_000, 30.0, 1, "click", 3, 3), ("b", 1_001_200_000, 40.0, -1, "error", 4, 4)]
