@@ -1,8 +1,9 @@
 """Soft-membership mixing: documents get rates so that expected domain token totals match targets.
 
 A classifier learned from a labelled table gives each document its posterior over domains. Rates are nonnegative and
-least-squares optimal: projected gradient steps from rate 1, distributed over the documents. A step needs nothing of
-a document but its posterior, so the driver sees one sum per domain and step.
+least-squares optimal: projected gradient steps from rate 1, distributed over the documents. Steps are added up before the
+projection, so all that they leave behind is one number per domain: a rate is 1 less the posterior times that sum, or its
+bound where that is lower. The driver sees one sum per domain and pair of domains in each step.
 """
 
 from __future__ import annotations
@@ -48,30 +49,18 @@ def memberships(docs: DataFrame, models: list[LinearModel]) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-#: What a step does: by how much it lowers a rate for each unit of posterior, and the gradient where it was taken.
-Step = tuple[np.ndarray, np.ndarray]
-
-
-def _dot(values: Column) -> Column:
-    return F.aggregate(F.zip_with("posterior", values, lambda p, x: p * x), F.lit(0.0), lambda a, b: a + b)
+def _dot(values: np.ndarray) -> Column:
+    """The posterior times ``values``."""
+    return sum((F.element_at("posterior", d + 1) * float(v) for d, v in enumerate(values)), F.lit(0.0))
 
 
 def _bound(least: Column | None) -> Column:
     return F.lit(0.0) if least is None else least
 
 
-def rate_after(steps: list[Step], least: Column | None = None) -> Column:
-    """A document's rate after projected steps from 1: each lowers it by posterior . step and stops it at ``least`` (0 by default), where it stays while the gradient pushes it down."""
-    if not steps:
-        return F.lit(1.0)
-    numbers = lambda x: F.array(*(F.lit(float(v)) for v in x))
-    table = F.array(*(F.struct(numbers(step).alias("step"), numbers(slope).alias("slope")) for step, slope in steps))
-
-    def move(now: Column, s: Column) -> Column:
-        stays = (now <= _bound(least)) & (_dot(s["slope"]) >= 0)
-        return F.when(stays, now).otherwise(F.greatest(_bound(least), now - _dot(s["step"])))
-
-    return F.aggregate(table, F.lit(1.0), move)
+def rate_after(steps: np.ndarray, least: Column | None = None) -> Column:
+    """A document's rate after steps that add up to ``steps``: 1 less its share of them, but not below ``least`` (0 by default)."""
+    return F.greatest(_bound(least), 1.0 - _dot(steps))
 
 
 def likeliest() -> Column:
@@ -79,47 +68,58 @@ def likeliest() -> Column:
     return F.array_position("posterior", F.array_max("posterior")).cast("int")
 
 
-def fit_rates(soft: DataFrame, targets: np.ndarray, tolerance: float = 1e-3, most_steps: int = 40, least: Column | None = None) -> list[Step]:
-    """Steps of projected gradient descent on sum_d (sum_i rate_i tokens_i posterior_id - target_d)^2 / target_d.
+def fit_rates(soft: DataFrame, targets: np.ndarray, tolerance: float = 1e-3, most_steps: int = 500, least: Column | None = None) -> np.ndarray:
+    """The sum of projected gradient steps that minimises sum_d (sum_i rate_i tokens_i posterior_id - target_d)^2 / target_d.
 
-    The gradient is taken in a metric that weighs a document by its tokens, so a step moves a rate by its posterior alone,
-    and that is scaled by what the documents that may move (not at ``least``, 0 or 1, and pushed down) can change: one sum
-    per domain and pair of domains. A step that lowers nothing is tried shorter. Stops when every total is within
-    ``tolerance`` of its target; when ``most_steps`` don't do or none helps, a warning names the totals.
+    Of the rates that reach the minimum it leads to those nearest 1, documents weighing by their tokens: the distance to 1 has
+    a weight that goes down to 1e-7, each time from where the last one ended. A gradient is scaled by what documents that
+    aren't at their bound can change (at first by the Gram matrix of all), and a step that lowers too little is tried at half
+    its length; with the weight above 0 the scaled gradient always descends. A weight is done when its gradient is gone, all
+    when every total is within ``tolerance`` of its target. If the least squares themselves miss a target, a warning names the
+    totals; the rates are optimal all the same. ``most_steps`` is a guard that a warning names too.
     """
     k = len(targets)
+    scale = np.maximum(targets, 1.0)  # 1 over the weight of a domain
     p = [F.element_at("posterior", d + 1) for d in range(k)]
-    weight = 1.0 / np.maximum(targets, 1.0)
-    loss = lambda t: float((weight * (t - targets) ** 2).sum())
-
-    def totals_after(steps: list[Step]) -> np.ndarray:
-        row = soft.withColumn("_r", rate_after(steps, least)).agg(*(F.sum(F.col("_r") * F.col("n_tokens") * p[d]).alias(f"t{d}") for d in range(k))).first()
-        return np.array([x or 0.0 for x in row])
-
-    steps: list[Step] = []
-    totals = totals_after(steps)
-    while (np.abs(totals - targets) > tolerance * np.maximum(targets, 1.0)).any():
-        slope = weight * (totals - targets)
-        moves = soft.withColumn("_r", rate_after(steps, least)).where((F.col("_r") > _bound(least)) | (sum((p[d] * float(slope[d]) for d in range(k)), F.lit(0.0)) < 0))
-        row = moves.agg(*(F.sum(F.col("n_tokens") * p[a] * p[b]).alias(f"m{a}_{b}") for a in range(k) for b in range(a, k))).first()
+
+    def look(at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """At a sum of steps: what the gradient below is the slope of, the totals, and the Gram matrix of documents above their bound."""
+        z, low = _dot(at), _bound(least)
+        free = 1.0 - z > low
+        n = F.col("n_tokens")
+        held = soft.select("n_tokens", "posterior", z.alias("z"), low.alias("low"), free.alias("free"), F.greatest(low, 1.0 - z).alias("r"))
+        z, low, free = F.col("z"), F.col("low"), F.col("free")
+        value = F.when(free, z * z / 2 - z).otherwise((low * low - 1) / 2 - low * (z - 1 + low))
+        pairs = [(a, b) for a in range(k) for b in range(a, k)]
+        row = held.agg(F.sum(n * value), *(F.sum(n * F.col("r") * x) for x in p), *(F.sum(F.when(free, n * p[a] * p[b])) for a, b in pairs)).first()
+        got = np.array([x or 0.0 for x in row])
         gram = np.zeros((k, k))
-        for a in range(k):
-            for b in range(a, k):
-                gram[a, b] = gram[b, a] = row[f"m{a}_{b}"] or 0.0
-        better = None
-        if gram.any() and len(steps) < most_steps:
-            way = np.linalg.lstsq(gram + 1e-9 * np.trace(gram) * np.eye(k), totals - targets, rcond=None)[0]
-            for halves in range(8):
-                tried = [*steps, (way / 2**halves, slope)]
-                found = totals_after(tried)
-                if loss(found) < (1 - 1e-4) * loss(totals):
-                    better = tried, found
+        for (a, b), x in zip(pairs, got[1 + k :], strict=True):
+            gram[a, b] = gram[b, a] = x
+        return float(got[0] + targets @ at), got[1 : 1 + k], gram
+
+    close = lambda t: bool((np.abs(t - targets) <= tolerance * scale).all())
+    at, taken = np.zeros(k), 0
+    value, totals, gram = look(at)
+    for weight in (1e-1, 1e-3, 1e-5, 1e-7):
+        slope = weight * scale * at + targets - totals
+        while not close(totals) and (np.abs(slope) > 1e-6 * scale).any() and taken < most_steps:
+            way = -np.linalg.solve(gram + weight * np.diag(scale), slope)
+            now, length = value + weight * (scale * at * at).sum() / 2, 1.0
+            while taken < most_steps:
+                taken += 1
+                new = at + length * way
+                found = look(new)
+                if found[0] + weight * (scale * new * new).sum() / 2 <= now + 1e-4 * length * (slope @ way) + 1e-12 * abs(now):
                     break
-        if better is None:
-            warnings.warn(f"rates miss their targets: totals {totals.round(1).tolist()}, targets {np.round(targets, 1).tolist()}", stacklevel=2)
-            return steps
-        steps, totals = better
-    return steps
+                length /= 2
+            at, (value, totals, gram) = new, found
+            slope = weight * scale * at + targets - totals
+            if length < 1e-9:
+                break
+    if not close(totals):
+        warnings.warn(f"rates miss their targets{' after most_steps' if taken >= most_steps else ''}: totals {totals.round(1).tolist()}, targets {np.round(targets, 1).tolist()}", stacklevel=2)
+    return at
 
 
 def mix_to_targets(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], anchor: str, anchor_scale: float = 1.0, most_rows: int = 6_000, keep_anchor: bool = False) -> DataFrame:

@@ -1,5 +1,6 @@
 """Vector operators against brute force; queries and the pipeline on the smallest tables."""
 
+import collections
 from pathlib import Path
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.llm.itq_dedup import near_duplicate_vectors
+from tessera.llm.itq_dedup import _tiled_links, near_duplicate_vectors
 from tessera.llm.queries import QUERIES
 from tessera.llm.topk_search import products, scaled_integers, top_k
 
@@ -65,6 +66,74 @@ def test_near_vectors(spark):
     assert sum(r.n_links for r in near_duplicate_vectors(vectors(spark, many)).collect()) >= 0.9 * true > 1000
 
 
+def links_by_hand(x, labels, cosine=0.98):
+    """Number of links and least reachable row of each vector."""
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= cosine) & (np.array(labels)[:, None] == np.array(labels)[None, :])
+    np.fill_diagonal(near, False)
+    low = np.arange(len(x))
+    while True:
+        new = np.minimum(low, np.where(near, low[None, :], len(x)).min(1))
+        if (new == low).all():
+            return near.sum(1), low
+        low = new
+
+
+def _vectors_like(kind, rng):
+    n, dim = 900, 64
+    labels = [i % 3 for i in range(n)]
+    if kind == "centred":
+        base = rng.normal(size=(n // 3, dim))
+        x = np.concatenate([base + rng.normal(size=base.shape) * s for s in (0, 0.08, 0.14)])
+    elif kind == "common mean":
+        x = 1 + 0.14 * rng.normal(size=(n, dim))
+    elif kind == "common mean, few links":
+        base = 1 + 0.35 * rng.normal(size=(n // 3, dim))
+        x = np.concatenate([base, base + 0.12 * rng.normal(size=base.shape), base + 0.16 * rng.normal(size=base.shape)])
+    elif kind == "low rank":
+        x = rng.normal(size=(n, 4)) @ rng.normal(size=(4, dim)) + 0.01 * rng.normal(size=(n, dim))
+    elif kind == "one hot label":
+        base = rng.normal(size=(30, dim))
+        x = base[rng.integers(0, 30, n)] + rng.normal(size=(n, dim)) * rng.choice([0.05, 0.2, 0.6], (n, 1))
+        labels = [7] * (n - 5) + [1, 1, 2, 3, 3]
+    else:  # labels with means of their own
+        x = np.repeat(3 * rng.normal(size=(30, dim)), n // 30, axis=0) + 0.5 * rng.normal(size=(n, dim))
+        labels = [i // 30 for i in range(n)]
+    return x, labels
+
+
+@pytest.mark.parametrize("kind", ["centred", "common mean", "common mean, few links", "low rank", "one hot label", "means by label"])
+def test_recall_of_near_vectors(spark, kind):
+    """At least nine in ten links, no pair that isn't one, whatever mean, rank or label sizes."""
+    x, labels = _vectors_like(kind, np.random.default_rng(3))
+    true, low = links_by_hand(x, labels)
+    got = {r.vec_id: r for r in near_duplicate_vectors(vectors(spark, [(i, v.tolist(), n) for i, (v, n) in enumerate(zip(x, labels, strict=True))]), tile=100).collect()}
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert (found <= true).all() and true.sum() > 200
+    assert found.sum() >= 0.95 * true.sum()
+    if (found == true).all():
+        assert [got[i].component_id for i in range(len(x))] == low.tolist()
+
+
+@pytest.mark.parametrize("tile", [7, 1_000])
+def test_tiles_against_brute_force(spark, tile):
+    """Labels too small to measure are compared whole: every link, copies and single rows included."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(12, 8))
+    x = np.concatenate([base[rng.integers(0, 12, 60)] + 0.08 * rng.normal(size=(60, 8)), base[:3], base[:3]])
+    labels = [i % 2 for i in range(60)] + [0] * 6
+    classes = vectors(spark, [(i, v.tolist(), n) for i, (v, n) in enumerate(zip(x, labels, strict=True))]).groupBy(F.col("label").cast("string").alias("label"), F.col("embedding").alias("v")).agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
+    classes = classes.withColumn("node", F.struct("label", "rep", F.xxhash64("v").alias("h")))
+    out = _tiled_links(classes, 0.98, tile).collect()
+    true, _ = links_by_hand(x, labels)
+    got = collections.Counter()
+    for r in out:
+        got[r.node.rep] += r.n
+    sizes = {r.rep: r["size"] for r in classes.collect()}
+    assert {i: got[i] + sizes[i] - 1 for i in sizes} == {i: true[i] for i in sizes}
+    assert all(r.node != r.other for r in out)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(10, 40)] + [(50, 51), (51, 50), (60, 60), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
