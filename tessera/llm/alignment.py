@@ -3,7 +3,7 @@
 Both tokenizers cut the same bytes. Where tokens of both end there is a shared cut; groups lie between neighbouring cuts.
 
 * Two lists of ends are aligned by divide and conquer: the common end nearest the middle is found by bisection, both
-  halves are done likewise, and an interval without a common end inside is a group.
+  halves are done likewise, and an interval without a common end inside is a group. All intervals are divided together.
 * Both tokenizers always cut before a single space between two other signs (checked when the vocabularies are loaded), so
   texts are divided there first, and what lies between, a word as a rule, is aligned once and looked up from then on.
 * Documents are handled in blocks. A block knows each distinct pair of ids once, so what is counted and looked up over all
@@ -15,8 +15,8 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from bisect import bisect_left
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,104 +32,112 @@ from tessera.llm.tokens import uneven, unkept_encoder
 BLOCK_BYTES = 4 << 20
 
 
-def shared_groups(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
-    """For ascending ends of tokens over the same bytes: (first, end) in ``a`` and (first, end) in ``b`` of each group, in order."""
-    groups, todo = [], [(0, len(a), 0, len(b))] if a else []
-    while todo:
-        a0, a1, b0, b1 = todo.pop()
-        cut = None
-        if a1 - a0 > 1 and b1 - b0 > 1:
-            middle, last = (a0 + a1 - 1) // 2, b1 - 1
-            for away in range(a1 - a0):  # nearest the middle first, to either side
-                for i in {middle - away, middle + away}:
-                    if a0 <= i < a1 - 1:
-                        j = bisect_left(b, a[i], b0, last)
-                        if j < last and b[j] == a[i]:
-                            cut = i + 1, j + 1
-                            break
-                if cut:
-                    break
-        if cut:
-            todo += [(cut[0], a1, cut[1], b1), (a0, cut[0], b0, cut[1])]
-        else:
-            groups.append((a0, a1, b0, b1))
-    return groups
-
-
-def links_of(a: list[int], b: list[int], group: tuple[int, int, int, int]) -> list[tuple[int, int]]:
-    """(i, j) of all tokens of a group whose bytes overlap."""
-    i, end, j, _ = group
-    out = [(i, j)]
-    while a[i] != b[j] or i + 1 < end:
-        if a[i] < b[j]:
-            i += 1
-        else:
-            j += 1
-        out.append((i, j))
-    return out
-
+def shared_groups(a: np.ndarray, b: np.ndarray, intervals: np.ndarray | None = None) -> np.ndarray:
+    """Rows of (first, end) in ``a`` and (first, end) in ``b``: the tokens of each group, in order, for ascending ends of tokens.
 
-class Aligner(dict):
+    ``intervals`` has such rows too, each with tokens of both over the same bytes; by default all tokens are one. All
+    intervals of a level are divided at once: the ends of A nearest each middle are looked up in B by bisection, then the
+    next ones to either side, until a common end is found or an interval has none and is a group.
+    """
+    todo, groups = np.array([[0, len(a), 0, len(b)]]) if intervals is None else intervals, []
+    while len(todo):
+        a0, a1, b0, b1 = todo.T
+        cut, away = np.full(len(todo), -1), 0
+        open_ = np.flatnonzero((a1 - a0 > 1) & (b1 - b0 > 1))
+        while len(open_):
+            low, last = a0[open_], a1[open_] - 1
+            for side in (0, 1):
+                i = (low + last) // 2 + (away if side else -away)
+                inside = (cut[open_] < 0) & (i >= low) & (i < last)
+                at = np.searchsorted(b, a[i[inside]])
+                which = open_[inside]
+                hit = (b[np.minimum(at, len(b) - 1)] == a[i[inside]]) & (at < b1[which] - 1)
+                cut[which[hit]] = i[inside][hit]
+            away += 1
+            open_ = open_[(cut[open_] < 0) & (away <= (last - low + 1) // 2)]
+        done = cut < 0
+        groups.append(todo[done])
+        i = cut[~done] + 1
+        j = np.searchsorted(b, a[i - 1]) + 1
+        x0, x1, y0, y1 = todo[~done].T
+        todo = np.concatenate((np.stack((x0, i, y0, j), 1), np.stack((i, x1, j, y1), 1)))
+    out = np.concatenate(groups) if groups else np.zeros((0, 4), np.int64)
+    return out[np.argsort(out[:, 0], kind="stable")]
+
+
+def links_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, end) of all pairs of tokens whose bytes overlap: every stretch without an end inside lies in one of each."""
+    ends = np.union1d(a, b)
+    return np.searchsorted(a, ends), np.searchsorted(b, ends), ends
+
+
+class Aligner:
     """Aligns pieces of text by two vocabularies; the number of a piece stands for what was found.
 
-    ``numbers[k]`` columns: tokens of A, tokens of B, groups, links, 1 if bytes differ. ``pairs`` holds A id * 2^32 + B id
-    of each link, from ``bounds[k]`` to ``bounds[k + 1]``; ``groups[k]`` the ids of each group as text.
+    ``numbers`` has five for each: tokens of A, tokens of B, groups, links, 1 if bytes differ. ``pairs`` holds A id * 2^32
+    + B id of each link, from ``bounds[k]`` to ``bounds[k + 1]``; ``groups[k]`` the ids of each group as text.
     """
 
-    MOST, LONGEST = 300_000, 40
+    MOST, LONGEST = 800_000, 40
 
     def __init__(self, byte_vocabulary: str, piece_model: str):
         self.encode_a, lengths = unkept_encoder(byte_vocabulary)
-        self.length_a = lengths
         self.model = sentencepiece.SentencePieceProcessor(model_file=piece_model)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         if any(re.search("[^▁]▁", p) for p in pieces):
             raise ValueError("a piece crosses the start of a word")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else b"" if self.model.is_control(i) or self.model.is_unknown(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.length_a, self.length_b = np.array(lengths), np.array([*map(len, self.bytes_b)])
+        self.names = [*map(str, range(max(len(lengths), len(pieces))))]
         self.start()
 
     def start(self) -> None:
-        self.clear()
+        self.known: dict[str, int] = {}
         self.numbers, self.bounds, self.pairs, self.groups = array("q"), array("q", [0]), array("Q"), []
 
     def full(self) -> bool:
         return len(self.groups) > self.MOST or len(self.pairs) > 10 * self.MOST
 
-    def __missing__(self, text: str) -> int:
-        """The number of a text that follows a space."""
-        k = len(self.groups)
-        ids_a, ids_b = self.encode_a(" " + text), self.model.encode(text)
-        parts_b = [self.bytes_b[i] for i in ids_b]
-        if b"".join(parts_b) != (" " + text).encode():
-            self.numbers.extend((0, 0, 0, 0, 1))
-            self.groups.append(b"")
-        else:
-            a, b = _ends(self.length_a[i] for i in ids_a), _ends(map(len, parts_b))
-            found, shown, before = shared_groups(a, b), [], len(self.pairs)
-            for g in found:
-                self.pairs.extend((ids_a[i] << 32) | ids_b[j] for i, j in links_of(a, b, g))
-                shown.append(b"%s|%s" % (",".join(map(str, ids_a[g[0] : g[1]])).encode(), ",".join(map(str, ids_b[g[2] : g[3]])).encode()))
-            self.numbers.extend((len(ids_a), len(ids_b), len(found), len(self.pairs) - before, 0))
-            self.groups.append(b";".join(shown))
-        self.bounds.append(len(self.pairs))
-        if len(text) <= self.LONGEST:
-            self[text] = k
-        return k
-
-    def pieces(self, text: str | None) -> list[int]:
-        """Numbers of the pieces of a text; none where it has no tokens."""
-        if not text:
-            return []
-        found = [self.__missing__(text)] if uneven(text) else [*map(self.__getitem__, text.split(" "))]
-        return [] if any(self.numbers[5 * k + 4] for k in found) else found
-
-
-def _ends(lengths) -> list[int]:
-    out, total = [], 0
-    for n in lengths:
-        total += n
-        out.append(total)
-    return out
+    def add(self, texts: list[str]) -> None:
+        """Numbers for texts that each follow a space."""
+        for k, text in enumerate(texts, len(self.groups)):
+            self.known[text] = k
+        spaced = [" " + t for t in texts]
+        ids_b = self.model.encode(texts, num_threads=1)
+        same = [b"".join(map(self.bytes_b.__getitem__, x)) == t.encode() for x, t in zip(ids_b, spaced, strict=True)]
+        ids_a = [self.encode_a(t) if ok else [] for t, ok in zip(spaced, same, strict=True)]
+        ids_b = [x if ok else [] for x, ok in zip(ids_b, same, strict=True)]
+        per = [np.array([*map(len, x)], np.int64) for x in (ids_a, ids_b)]
+        flat = [np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in zip((ids_a, ids_b), per, strict=True)]
+        a, b = np.cumsum(self.length_a[flat[0]]), np.cumsum(self.length_b[flat[1]])
+        ends_a, ends_b = (np.cumsum(n) for n in per)
+        whole = np.stack((ends_a - per[0], ends_a, ends_b - per[1], ends_b), 1)
+        groups = shared_groups(a, b, whole[per[0] > 0])
+        i, j, ends = links_of(a, b)
+        stops = np.concatenate(([0], a))[ends_a]  # bytes before the end of each text
+        links = np.diff(np.searchsorted(ends, stops, side="right"), prepend=0)
+        upto = np.searchsorted(groups[:, 1], ends_a, side="right")
+        self.numbers.frombytes(np.stack((*per, np.diff(upto, prepend=0), links, ~np.array(same, bool)), 1).astype(np.int64).tobytes())
+        self.bounds.frombytes((len(self.pairs) + np.cumsum(links)).astype(np.int64).tobytes())
+        self.pairs.frombytes(((flat[0][i] << 32) | flat[1][j]).astype(np.uint64).tobytes())
+        named_a, named_b = ([*map(self.names.__getitem__, x.tolist())] for x in flat)
+        shown = [f"{named_a[p]}|{named_b[r]}" if q - p == t - r == 1 else f"{','.join(named_a[p:q])}|{','.join(named_b[r:t])}" for p, q, r, t in groups.tolist()]
+        self.groups += [";".join(shown[p:q]).encode() for p, q in zip([0, *upto.tolist()], upto.tolist())]
+
+    def pieces(self, texts: list[str | None]) -> list[list[int]]:
+        """Numbers of the pieces of each text; none where it has no tokens."""
+        split = [[] if not t else [t] if uneven(t) else t.split(" ") for t in texts]
+        fresh: set[str] = set()
+        for words in split:
+            fresh |= set(words).difference(self.known)
+        if fresh:
+            self.add(sorted(fresh))
+        found = [[*map(self.known.__getitem__, words)] for words in split]
+        for text in fresh:
+            if len(text) > self.LONGEST:
+                del self.known[text]
+        differ = set(np.flatnonzero(np.frombuffer(self.numbers, np.int64)[4::5]).tolist())
+        return [[] if differ and not differ.isdisjoint(x) else x for x in found]
 
 
 @lru_cache(maxsize=1)
@@ -163,7 +171,7 @@ def _aligned_block(aligner: Aligner, block: int, doc_ids: list, texts: list, dig
     """Rows of a block: one per document (with the numbers of its pairs in the block and how often it has each), one per pair."""
     if aligner.full():
         aligner.start()
-    pieces = [aligner.pieces(t) for t in texts]
+    pieces = aligner.pieces(texts)
     shown = []
     for found in pieces:
         text = b";".join([aligner.groups[k] for k in found])

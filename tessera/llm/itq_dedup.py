@@ -199,9 +199,11 @@ def _tiled_links(classes: DataFrame, cosine: float, tile: int) -> DataFrame:
     left = dealt.select(*columns, F.col("own").alias("i"), F.explode(F.sequence("own", F.col("tiles") - 1)).alias("j"))
     right = dealt.select(*(F.col(c).alias(f"{c}_") for c in columns), F.explode(F.sequence(F.lit(0), "own")).alias("i_"), F.col("own").alias("j_"))
 
+    kind = pa.struct([("label", pa.string()), ("rep", pa.int64()), ("h", pa.int64())])
+
     def product(key, a: pa.Table, b: pa.Table):
         if not (a.num_rows and b.num_rows):
-            return pa.table({"node": a.column("node").slice(0, 0), "other": a.column("node").slice(0, 0), "n": pa.array([], pa.int64())})
+            return pa.table({"node": pa.array([], kind), "other": pa.array([], kind), "n": pa.array([], pa.int64())})
         x, y = (_unit(np.array(t.column(c).to_pylist())) for t, c in ((a, "v"), (b, "v_")))
         same = key[2].as_py() == key[3].as_py()
         near = x @ y.T >= cosine
@@ -223,7 +225,6 @@ def _tiled_links(classes: DataFrame, cosine: float, tile: int) -> DataFrame:
                 break
             low = new
         counted, joined = np.flatnonzero(n), np.flatnonzero(low != np.arange(len(nodes)))
-        kind = a.schema.field("node").type
         return pa.table({
             "node": pa.array([nodes[k] for k in (*counted, *joined)], kind), "other": pa.array([*[None] * len(counted), *(nodes[low[k]] for k in joined)], kind),
             "n": pa.array([*n[counted].tolist(), *[0] * len(joined)], pa.int64()),

@@ -162,12 +162,17 @@ _RISING = st.lists(st.integers(1, 60), min_size=1, max_size=25, unique=True).map
 @given(_RISING, _RISING)
 @settings(max_examples=200, deadline=None)
 def test_groups_and_links_against_sets(a, b):
-    a, b = sorted({*a, 61}), sorted({*b, 61})
-    found = shared_groups(a, b)
-    assert [(a[g[1] - 1], b[g[3] - 1]) for g in found] == [(x, x) for x in sorted({*a} & {*b})]
+    a, b = np.array(sorted({*a, 61})), np.array(sorted({*b, 61}))
+    found = shared_groups(a, b).tolist()
+    assert [(a[q - 1], b[t - 1]) for _, q, _, t in found] == [(x, x) for x in sorted({*a} & {*b})]
+    assert [f[::2] for f in found] == [[0, 0], *(f[1::2] for f in found[:-1])]
     spans = lambda ends: list(zip([0, *ends], ends))
     want = sorted((i, j) for i, (s, e) in enumerate(spans(a)) for j, (t, f) in enumerate(spans(b)) if s < f and t < e)
-    assert sorted(x for g in found for x in links_of(a, b, g)) == want
+    i, j, _ = links_of(a, b)
+    assert sorted(zip(i.tolist(), j.tolist())) == want
+    # the same for several intervals at once
+    twice = shared_groups(np.concatenate((a, a + 61)), np.concatenate((b, b + 61)), np.array([[0, len(a), 0, len(b)], [len(a), 2 * len(a), len(b), 2 * len(b)]])).tolist()
+    assert twice == found + [[p + len(a), q + len(a), r + len(b), t + len(b)] for p, q, r, t in found]
 
 
 def align_by_hand(rows):
