@@ -102,8 +102,8 @@ def mapping_coverage(attributed: DataFrame) -> DataFrame:
     return attributed.agg(F.count("session_id").alias("mapped"), F.count("*").alias("total"), F.round(F.coalesce(F.avg(F.col("session_id").isNotNull().cast("double")), F.lit(0.0)), 6).alias("coverage"))
 
 
-def packet_features(intervals: DataFrame, attributed: DataFrame) -> DataFrame:
-    """18 columns per session; sessions without rows have zeros. Population deviation, nearest-rank p95."""
+def packet_aggregates(attributed: DataFrame) -> DataFrame:
+    """18 columns for each session that has rows, dealt by ``session_id``. Population deviation, nearest-rank p95."""
     order = Window.partitionBy("session_id").orderBy("ts_us", "rec")
     rows = attributed.where("session_id is not null").withColumn("gap", (F.col("ts_us") - F.lag("ts_us").over(order)) / 1e6)
     up, down = F.col("direction") > 0, F.col("direction") < 0
@@ -117,10 +117,21 @@ def packet_features(intervals: DataFrame, attributed: DataFrame) -> DataFrame:
         F.count_if(F.col("flow") == "click").alias("tcp_packets"), F.count_if(F.col("flow") == "view").alias("udp_packets"),
         F.count_if(F.col("flow") == "signup").alias("syn_packets"), F.count_if(F.col("flow") == "error").alias("rst_packets"),
     )
-    per = per.withColumns({"gap_cv": zero(F.try_divide("gap_std", "gap_mean")), "up_down_ratio": F.col("up_bytes") / F.greatest(F.col("down_bytes"), F.lit(1.0))})
-    joined = intervals.select("session_id").join(per, "session_id", "left")
-    whole = {"packet_count", "up_packets", "down_packets", "tcp_packets", "udp_packets", "syn_packets", "rst_packets"}
-    return joined.select("session_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) if c in whole else F.round(F.coalesce(c, F.lit(0.0)), 4).alias(c) for c in per.columns[1:]))
+    return per.withColumns({"gap_cv": zero(F.try_divide("gap_std", "gap_mean")), "up_down_ratio": F.col("up_bytes") / F.greatest(F.col("down_bytes"), F.lit(1.0))})
+
+
+PACKET_COUNTS = {"packet_count", "up_packets", "down_packets", "tcp_packets", "udp_packets", "syn_packets", "rst_packets"}
+
+
+def packet_filled(columns: list[str]) -> list:
+    """Columns of ``packet_aggregates`` with 0 where a session has no rows."""
+    return [F.coalesce(c, F.lit(0)).cast("long").alias(c) if c in PACKET_COUNTS else F.round(F.coalesce(c, F.lit(0.0)), 4).alias(c) for c in columns]
+
+
+def packet_features(intervals: DataFrame, attributed: DataFrame) -> DataFrame:
+    """``packet_aggregates`` of every session; those without rows have zeros."""
+    per = packet_aggregates(attributed)
+    return intervals.select("session_id").join(per, "session_id", "left").select("session_id", *packet_filled(per.columns[1:]))
 
 
 def delta_t(attributed: DataFrame) -> DataFrame:

@@ -135,7 +135,8 @@ def _leaves(schema, prefix: str = "") -> list[str]:
     return out
 
 
-def parser_features(s, d) -> DataFrame:
+def parser_aggregates(s, d) -> DataFrame:
+    """26 columns for each session that has log rows."""
     rows = parser_rows(s, d)
     keys = {f: [x for x in _leaves(rows.schema) if x.lower() == f or x.lower().endswith("." + f)] for f in FAMILIES}
     held = iv.attribute(rows.select("src", "ts_us", *(x for x in rows.columns if x not in ("src", "ts_us"))), v_interval(s, d)).where("session_id is not null")
@@ -143,11 +144,15 @@ def parser_features(s, d) -> DataFrame:
     said = lambda x: F.when(c(x) != "", c(x))
     marks = {f: F.get(F.filter(F.array(*map(F.col, k)), lambda x: x.isNotNull() & ~x.isin("", "-")), F.lit(0)) for f, k in keys.items()}
     log = lambda *names: F.count_if(c("log").isin(*names))
-    per = held.groupBy("session_id").agg(
+    return held.groupBy("session_id").agg(
         F.count_if(first).alias("first_events"), F.count_if(second).alias("second_events"), F.count_if(first & (c("log") == "alert")).alias("alerts"), log("http").alias("http_events"), log("tls").alias("tls_events"), log("dns").alias("dns_events"), log("quic").alias("quic_events"),
         F.count_if(second & (c("log") == "websocket")).alias("websocket_events"), log("flow").alias("flow_events"), F.countDistinct(F.when(first, said("proto"))).alias("proto_unique"), F.countDistinct(F.when(second, said("service_name"))).alias("service_unique"), F.countDistinct(said("sni")).alias("sni_unique"), F.countDistinct(said("hostname")).alias("host_unique"),
         F.countDistinct("status").alias("status_unique"), F.countDistinct(F.when(first, c("flow_id"))).alias("flow_id_unique"), F.countDistinct(F.when(second, said("uid"))).alias("uid_unique"), *(F.countDistinct(m).alias(f"{f}_unique") for f, m in marks.items()), *(F.max(m.isNotNull().cast("int")).alias(f"{f}_present") for f, m in marks.items()),
     )
+
+
+def parser_features(s, d) -> DataFrame:
+    per = parser_aggregates(s, d)
     joined = v_interval(s, d).select("session_id").join(per, "session_id", "left")
     return joined.select("session_id", *(F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in per.columns[1:]))
 
@@ -345,74 +350,6 @@ def compositions(s, d) -> DataFrame:
 
 _COMPOSITIONS = "SELECT doc_id, " + ", ".join(f"coalesce({e}, FALSE)::INTEGER AS holdout_{g}" for g, e in GROUPS.items()) + ", CASE WHEN k = '' THEN 'other' ELSE k END AS composition_key FROM (SELECT *, concat_ws('+', " + ", ".join(f"CASE WHEN {e} THEN '{g}' END" for g, e in GROUPS.items()) + f") AS k FROM ({_COMPOSED}))"
 
-# --- sessions -------------------------------------------------------------------------------
-
-_STATUS = {"visibility": "CASE WHEN doc_id % 5 = 0 THEN 'Opaque' WHEN doc_id % 5 = 1 THEN 'encrypted' ELSE 'clear' END", "inspection": "CASE WHEN doc_id % 7 = 0 THEN 'bypass' ELSE 'full' END", "sni": "CASE WHEN doc_id % 6 = 0 THEN 'hidden' ELSE 'Clear' END", "protocol": "CASE doc_id % 4 WHEN 0 THEN 'quic' WHEN 1 THEN 'h3' ELSE 'https' END",
-           "first_events": "doc_id % 3", "second_events": "doc_id % 2", "packets": "n_chars", "expected_packets": "CASE WHEN doc_id % 10 = 0 THEN n_chars + 100 ELSE n_chars END", "tail_ok": "CASE WHEN doc_id % 29 = 0 THEN 0 ELSE 1 END", "first_exit": "CASE WHEN doc_id % 41 = 0 THEN 2 ELSE 0 END", "second_exit": "CASE WHEN doc_id % 43 = 0 THEN -1 ELSE 0 END", "exported": "CASE WHEN doc_id % 47 = 0 THEN 0 ELSE 1 END"}
-
-
-def session_frame(s, d) -> DataFrame:
-    """Manifest with features, scores and splits joined on, and status columns."""
-    m = v_manifest(s, d).selectExpr("id", "doc_id", "label", "n_chars", *(f"{e} AS {k}" for k, e in _STATUS.items()))
-    parts = assigned(s, d).where("role <> 'external'").select("doc_id", "split")
-    scores = v_score(s, d).select("doc_id", "score")
-    joined = m.join(scores, "doc_id", "left").join(parts, "doc_id", "left")
-    return joined.select(
-        "id", "label", F.coalesce("split", F.lit("challenge")).alias("split"), "packets", "first_events", "second_events", c("score").isNotNull().cast("int").alias("scored"), F.coalesce("score", F.lit(0.0)).alias("score"),
-        (c("first_exit") == 0).cast("int").alias("first_parser_ok"), (c("second_exit") == 0).cast("int").alias("second_parser_ok"), F.lit(1).alias("exported"), F.lit(1).alias("tail_pass"), (c("packets") > 0).cast("int").alias("sequence_available"),
-        "visibility", "inspection", "sni", "protocol", "expected_packets", c("tail_ok").alias("tail_ok"), c("exported").alias("sent"),
-    )
-
-
-_SESSION = "SELECT m.id, m.label, coalesce(x.split, 'challenge') AS split, packets, first_events, second_events, (score IS NOT NULL)::INTEGER AS scored, coalesce(score, 0.0::DOUBLE) AS score, (first_exit = 0)::INTEGER AS first_parser_ok, (second_exit = 0)::INTEGER AS second_parser_ok, 1 AS exported, 1 AS tail_pass, (packets > 0)::INTEGER AS sequence_available, visibility, inspection, sni, protocol, expected_packets, tail_ok, sent FROM (SELECT *, " + ", ".join(f"{e} AS {k if k != 'exported' else 'sent'}" for k, e in _STATUS.items()) + " FROM v_manifest) m LEFT JOIN v_score s ON m.doc_id = s.doc_id LEFT JOIN x ON x.doc_id = m.doc_id AND x.role <> 'external'"
-REASONS = ["encrypted", "parser_unsupported", "parser_failed", "packet_loss", "truncated", "not_exported"]
-
-
-def missing_reasons(s, d) -> DataFrame:
-    any_rows = c("first_events") + c("second_events") > 0
-    found = {
-        "encrypted": F.lower("visibility").rlike("opaque|encrypted") | (c("inspection") == "bypass"), "parser_unsupported": ~any_rows & c("protocol").isin("h3", "http3", "quic"), "parser_failed": (c("first_parser_ok") == 0) | (c("second_parser_ok") == 0),
-        "packet_loss": (c("expected_packets") > 0) & (c("packets") < c("expected_packets") * 0.98), "truncated": c("tail_ok") == 0, "not_exported": c("sent") == 0,
-    }
-    absent = F.lit(True)
-    for x in found.values():
-        absent = absent & ~x
-    return session_frame(s, d).select("id", *(x.cast("int").alias(f"missing_{n}") for n, x in found.items()), absent.cast("int").alias("missing_genuinely_absent"))
-
-
-_REASONS = {"encrypted": "regexp_matches(lower(visibility), 'opaque|encrypted') OR inspection = 'bypass'", "parser_unsupported": "first_events + second_events = 0 AND protocol IN ('h3', 'http3', 'quic')", "parser_failed": "first_parser_ok = 0 OR second_parser_ok = 0", "packet_loss": "expected_packets > 0 AND packets < expected_packets * 0.98::DOUBLE", "truncated": "tail_ok = 0", "not_exported": "sent = 0"}
-_MISSING = "SELECT id, " + ", ".join(f"({e})::INTEGER AS missing_{n}" for n, e in _REASONS.items()) + ", (NOT (" + " OR ".join(f"({e})" for e in _REASONS.values()) + "))::INTEGER AS missing_genuinely_absent FROM f"
-
-
-def availability(s, d) -> DataFrame:
-    return session_frame(s, d).select("id", F.lower("visibility").rlike("opaque|encrypted").cast("int").alias("encrypted"), (c("inspection") == "bypass").cast("int").alias("bypassed"), (~F.lower("sni").isin("clear", "visible")).cast("int").alias("sni_hidden"), (c("first_events") + c("second_events") > 0).cast("int").alias("parser_any"))
-
-
-_VISIBLE_SESSION = "NOT (regexp_matches(lower(visibility), 'opaque|encrypted') OR inspection = 'bypass')"
-
-
-def expert_frames(s, d) -> DataFrame:
-    """Rows of the three experts in one table: content rows and session rows of visible sessions, opaque rows of all, each with the columns it may use."""
-    f = session_frame(s, d)
-    visible = ~(F.lower("visibility").rlike("opaque|encrypted") | (c("inspection") == "bypass"))
-    content = f.where(visible & (c("scored") == 1)).select(F.lit("content").alias("frame"), "id", "label", "split", c("score").alias("value"))
-    session = f.where(visible).select(F.lit("session").alias("frame"), "id", "label", "split", c("packets").cast("double").alias("value"))
-    opaque = f.select(F.lit("opaque").alias("frame"), "id", "label", "split", (c("first_events") + c("second_events")).cast("double").alias("value"))
-    return content.unionByName(session).unionByName(opaque)
-
-
-_FRAMES = f"SELECT 'content' AS frame, id, label, split, score AS value FROM f WHERE {_VISIBLE_SESSION} AND scored = 1 UNION ALL SELECT 'session', id, label, split, packets::DOUBLE FROM f WHERE {_VISIBLE_SESSION} UNION ALL SELECT 'opaque', id, label, split, (first_events + second_events)::DOUBLE FROM f"
-
-
-def fusion_table(s, d) -> DataFrame:
-    """Probabilities of three experts, hidden where their input is, with availability flags."""
-    visible = ~(F.lower("visibility").rlike("opaque|encrypted") | (c("inspection") == "bypass"))
-    f = session_frame(s, d).withColumns({"p_content": F.when(visible & (c("scored") == 1), c("score")), "p_session": F.when(visible, F.round(c("packets") / (c("packets") + 1000.0), 6)), "p_opaque": F.when(c("sequence_available") == 1, F.round((c("first_events") + c("second_events")) / 5.0, 6))})
-    return f.select("id", "label", "split", "p_content", "p_session", "p_opaque", *(c(x).isNotNull().cast("int").alias(f"has_{x[2:]}") for x in ("p_content", "p_session", "p_opaque")))
-
-
-_FUSION = f"SELECT id, label, split, p_content, p_session, p_opaque, (p_content IS NOT NULL)::INTEGER AS has_content, (p_session IS NOT NULL)::INTEGER AS has_session, (p_opaque IS NOT NULL)::INTEGER AS has_opaque FROM (SELECT *, CASE WHEN {_VISIBLE_SESSION} AND scored = 1 THEN score END AS p_content, CASE WHEN {_VISIBLE_SESSION} THEN round(packets / (packets + 1000.0::DOUBLE), 6) END AS p_session, CASE WHEN sequence_available = 1 THEN round((first_events + second_events) / 5.0::DOUBLE, 6) END AS p_opaque FROM f)"
-
 QUERIES = {
     "tx_features": tx_features,
     "field_features": field_features,
@@ -425,16 +362,10 @@ QUERIES = {
     "relabel_background": relabelled,
     "dim_stage_select": stages,
     "feat_composition_key": compositions,
-    "session_assemble": session_frame,
-    "feat_missing_reason": missing_reasons,
-    "feat_availability": availability,
-    "frames_experts": expert_frames,
-    "fusion_table": fusion_table,
     "tx_enrich_fields": lambda s, d: v_tx(s, d).join(attributed(s, d).where("session_id is not null").groupBy("session_id", "ts_us").agg(F.count("*").alias("n_rows"), F.round(F.sum("size"), 4).alias("size_sum"), F.max("direction").alias("direction")), ["session_id", "ts_us"], "left").select("rec", "session_id", "ts_us", "n_rows", "size_sum", "direction"),
     "topk_compositions": lambda s, d: compositions(s, d).where(F.contains("composition_key", F.lit("+"))).groupBy("composition_key").agg(F.count("*").alias("n")).where("n >= 20").orderBy(F.desc("n"), "composition_key").limit(8),
 }
 
-_S = dict(x=_ASSIGNED, f=_SESSION)
 ORACLES = {
     "tx_features": sql(_TX_SQL, tr=_TRACE, he=_entropy_sql(f"(SELECT page_id, hex(encode({_BLOB})) AS raw FROM tr)", "page_id", "raw"), be=_entropy_sql("tr", "page_id", "body")),
     "field_features": sql(_FIELD_SQL, **_FIELDS),
@@ -447,11 +378,6 @@ ORACLES = {
     "relabel_background": sql(_RELABELLED, r=_SQL_RECORD),
     "dim_stage_select": sql(_STAGES, cat=_CATALOGUE),
     "feat_composition_key": _COMPOSITIONS,
-    "session_assemble": sql("SELECT * FROM f", "v_manifest", "v_score", **_S),
-    "feat_missing_reason": sql(_MISSING, "v_manifest", "v_score", **_S),
-    "feat_availability": sql("SELECT id, regexp_matches(lower(visibility), 'opaque|encrypted')::INTEGER AS encrypted, (inspection = 'bypass')::INTEGER AS bypassed, (lower(sni) NOT IN ('clear', 'visible'))::INTEGER AS sni_hidden, (first_events + second_events > 0)::INTEGER AS parser_any FROM f", "v_manifest", "v_score", **_S),
-    "frames_experts": sql(_FRAMES, "v_manifest", "v_score", **_S),
-    "fusion_table": sql(_FUSION, "v_manifest", "v_score", **_S),
     "tx_enrich_fields": sql("SELECT rec, session_id, ts_us, n_rows, size_sum, direction FROM tx LEFT JOIN (SELECT session_id, ts_us, count(*) AS n_rows, round(sum(size), 4) AS size_sum, max(direction) AS direction FROM att WHERE session_id IS NOT NULL GROUP BY 1, 2) USING (session_id, ts_us)", *_IV, **_T),
     "topk_compositions": f"SELECT composition_key, count(*) AS n FROM ({_COMPOSITIONS}) WHERE contains(composition_key, '+') GROUP BY 1 HAVING count(*) >= 20 ORDER BY n DESC, composition_key LIMIT 8",
 }

@@ -117,6 +117,20 @@ def capture_files(s, d) -> DataFrame:
     return files.select(F.concat_ws("-", "user_id", "day").alias("capture"), F.unhex(F.concat(magic, F.lit("00" * 20), "records")).alias("content"))
 
 
+def written_captures(s, d) -> str:
+    """Folder of the capture files; every seventh user's are followed by a record of another protocol and the head of a cut one."""
+    path, odd = rd.scratch(s, "captures"), F.split("capture", "-")[0].cast("long") % 7 == 0
+    word = lambda n: F.when(F.split("capture", "-")[0].cast("long") % 2 == 0, F.lit(n.to_bytes(4, "little"))).otherwise(F.lit(n.to_bytes(4, "big")))
+    foreign = F.concat(word(1), word(1), word(42), word(42), F.lit(bytes(12) + b"\x08\x06" + bytes(28)))
+    more = F.concat(foreign, word(1), word(1), word(90), word(90), F.lit(b"cut"))
+    cp.write_captures(capture_files(s, d).withColumn("content", F.when(odd, F.concat("content", more)).otherwise(c("content"))), path)
+    return path
+
+
+def capture_counts(s, d) -> DataFrame:
+    return cp.capture_report(cp.capture_ranges(s, written_captures(s, d), 1 << 12))
+
+
 _CAPTURES = f"SELECT user_id || '-' || ts::DATE AS capture, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY event_id) - 1 AS number, epoch_us(ts) AS ts_us, (14 + 20 + CASE WHEN event_id % 2 = 0 THEN 20 ELSE 8 END + event_id % 20)::INTEGER AS size, '10.0.' || (user_id % 65536 // 256) || '.' || (user_id % 256) AS src, '10.1.0.1' AS dst, CASE WHEN event_id % 2 = 0 THEN 'tcp' ELSE 'udp' END AS transport, ({_PORT})::INTEGER AS sport, CASE WHEN event_id % 2 = 0 THEN 443 ELSE 53 END AS dport, CASE WHEN event_id % 2 = 0 THEN event_id % 64 ELSE 0 END::INTEGER AS flags, CASE WHEN event_id % 2 = 0 THEN event_id ELSE 0 END AS seq, (event_id % 20)::INTEGER AS payload FROM events"
 
 QUERIES = {
@@ -127,6 +141,8 @@ QUERIES = {
     "backfill_build": backfilled,
     "src_exit_code": exit_codes,
     "src_capture_packets": lambda s, d: cp.decode_captures(capture_files(s, d)),
+    "src_capture_splits": lambda s, d: cp.read_captures(s, written_captures(s, d), 1 << 12),
+    "src_capture_rejects": capture_counts,
     "profile_dtypes": profile,
     "feat_matrix_replay": replayed,
 }
@@ -138,6 +154,8 @@ ORACLES = {
     "backfill_build": sql("SELECT carrier, count(*)::BIGINT AS n, CASE WHEN carrier IN ('src1', 'src4') THEN 'built' ELSE 'skipped' END AS state FROM v_manifest GROUP BY carrier", "v_manifest"),
     "src_exit_code": "SELECT file, code, (SELECT count(*) FROM region) AS regions FROM (VALUES (0, 0), (1, 3), (2, -1), (3, -1)) t(file, code)",
     "src_capture_packets": _CAPTURES,
+    "src_capture_splits": _CAPTURES,
+    "src_capture_rejects": "SELECT user_id || '-' || ts::DATE AS capture, count(*) AS n_packets, (user_id % 7 = 0)::BIGINT AS n_foreign, (user_id % 7 = 0)::BIGINT AS n_cut FROM events GROUP BY user_id, ts::DATE",
     "profile_dtypes": _PROFILE,
     "feat_matrix_replay": sql("SELECT id, coalesce(n_chars, 0)::DOUBLE AS n_chars, (n_chars IS NULL)::INTEGER AS n_chars__missing, coalesce(score, 0)::DOUBLE AS score, (score IS NULL)::INTEGER AS score__missing, 0.0::DOUBLE AS speed, 1 AS speed__missing FROM v_manifest LEFT JOIN v_score USING (doc_id)", "v_manifest", "v_score"),
 }

@@ -1,12 +1,24 @@
-"""Classic packet capture files as rows: one file is one row of bytes, decoded where Spark has put it."""
+"""Classic packet capture files as rows: small files as cells of bytes, files of any size by ranges.
+
+A range of a large file starts in the middle of a record, and nothing marks where the next one begins. So a task looks for
+a place from which several records in a row make sense, and walks to the first record that begins behind its range.
+Where it began is then held against where the range before it ended; ranges that don't fit are walked again from there,
+until all do. The first range begins behind the file's header, so the records are exactly those of the whole file.
+"""
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.sources.readers import scratch
 
 #: The first four bytes of a file, byte order and ticks a second of its times.
 MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 10**6), b"\xa1\xb2\xc3\xd4": (">", 10**6), b"\x4d\x3c\xb2\xa1": ("<", 10**9), b"\xa1\xb2\x3c\x4d": (">", 10**9)}
@@ -18,31 +30,81 @@ def _address(raw: bytes) -> str:
     return ".".join(map(str, raw)) if len(raw) == 4 else ":".join(f"{raw[i] << 8 | raw[i + 1]:x}" for i in range(0, 16, 2))
 
 
+def _decoded(frame: bytes) -> tuple | None:
+    """(src, dst, transport, sport, dport, flags, seq, payload) of an IPv4 or IPv6 packet, None for anything else."""
+    kind, ip = frame[12:14], frame[_ETHERNET:]
+    if kind == b"\x08\x00" and len(ip) >= 20:
+        start, protocol, total, src, dst = (ip[0] & 15) * 4, ip[9], int.from_bytes(ip[2:4]), ip[12:16], ip[16:20]
+    elif kind == b"\x86\xdd" and len(ip) >= 40:
+        start, protocol, total, src, dst = 40, ip[6], 40 + int.from_bytes(ip[4:6]), ip[8:24], ip[24:40]
+    else:
+        return None
+    body, transport, sport, dport, flags, seq, payload = ip[start:], "other", 0, 0, 0, 0, max(0, total - start)
+    if protocol == 6 and len(body) >= 20:
+        sport, dport, seq = struct.unpack_from(">HHI", body)
+        transport, flags, payload = "tcp", body[13], max(0, total - start - (body[12] >> 4) * 4)
+    elif protocol == 17 and len(body) >= 8:
+        sport, dport = struct.unpack_from(">HH", body)
+        transport, payload = "udp", max(0, total - start - 8)
+    return _address(src), _address(dst), transport, sport, dport, flags, seq, payload
+
+
+class _Records:
+    """The records of one file, read forward from any place of it, a block of bytes at a time."""
+
+    LARGEST, CHAIN = 1 << 18, 4  # bytes of a record that makes sense, and records in a row that must
+
+    def __init__(self, source, size: int, block: int = 1 << 20):
+        self.source, self.size, self.block, self.base, self.held = source, size, block, 0, b""
+        self.order, self.ticks = MAGIC.get(self.bytes_at(0, 4), ("<", 0))
+
+    def bytes_at(self, at: int, n: int) -> bytes:
+        if not self.base <= at <= at + n <= self.base + len(self.held):
+            self.source.seek(at)
+            self.base, self.held = at, self.source.read(min(max(n, self.block), max(0, self.size - at)))
+        return self.held[at - self.base : at - self.base + n]
+
+    def header(self, at: int) -> tuple | None:
+        raw = self.bytes_at(at, _RECORD) if at + _RECORD <= self.size else b""
+        return struct.unpack(self.order + "4I", raw) if len(raw) == _RECORD else None
+
+    def walk(self, at: int, end: int) -> Iterator[tuple[int, tuple | None, bytes]]:
+        """(place of the next record, header, frame) of each record that begins before ``end``; a cut one has no header and ends the file."""
+        while self.ticks and at < min(end, self.size):
+            header = self.header(at)
+            whole = header is not None and at + _RECORD + header[2] <= self.size
+            if not whole:
+                yield self.size, None, b""
+                return
+            frame = self.bytes_at(at + _RECORD, header[2])
+            at += _RECORD + header[2]
+            yield at, header, frame
+
+    def likely_start(self, start: int, end: int) -> int:
+        """The first place from ``start`` to before ``end`` from which records make sense; -1 without one."""
+        for at in range(start, min(end, self.size)):
+            place, n = at, 0
+            while n < self.CHAIN and place < self.size:
+                header = self.header(place)
+                if header is None or header[1] >= self.ticks or not 0 < header[2] <= min(self.LARGEST, max(header[3], 1)):
+                    break
+                place, n = place + _RECORD + header[2], n + 1
+            if n == self.CHAIN or n and place == self.size:
+                return at
+        return -1
+
+
 def packets(content: bytes) -> Iterator[tuple]:
     """(ts_us, size, src, dst, transport, sport, dport, flags, seq, payload) of each whole IPv4 or IPv6 packet; a cut last record ends the file."""
-    order, ticks = MAGIC.get(content[:4], (None, 0))
-    at = _HEADER
-    while order and at + _RECORD <= len(content):
-        seconds, part, held, size = struct.unpack_from(order + "4I", content, at)
-        frame = content[at + _RECORD : at + _RECORD + held]
-        at += _RECORD + held
-        if len(frame) < held:
-            return
-        kind, ip = frame[12:14], frame[_ETHERNET:]
-        if kind == b"\x08\x00" and len(ip) >= 20:
-            start, protocol, total, src, dst = (ip[0] & 15) * 4, ip[9], int.from_bytes(ip[2:4]), ip[12:16], ip[16:20]
-        elif kind == b"\x86\xdd" and len(ip) >= 40:
-            start, protocol, total, src, dst = 40, ip[6], 40 + int.from_bytes(ip[4:6]), ip[8:24], ip[24:40]
-        else:
-            continue
-        body, transport, sport, dport, flags, seq, payload = ip[start:], "other", 0, 0, 0, 0, max(0, total - start)
-        if protocol == 6 and len(body) >= 20:
-            sport, dport, seq = struct.unpack_from(">HHI", body)
-            transport, flags, payload = "tcp", body[13], max(0, total - start - (body[12] >> 4) * 4)
-        elif protocol == 17 and len(body) >= 8:
-            sport, dport = struct.unpack_from(">HH", body)
-            transport, payload = "udp", max(0, total - start - 8)
-        yield seconds * 10**6 + part * 10**6 // ticks, size, _address(src), _address(dst), transport, sport, dport, flags, seq, payload
+    records = _Records(pa.BufferReader(content), len(content))
+    yield from _packets_between(records, _HEADER, len(content))
+
+
+def _packets_between(records: _Records, start: int, end: int) -> Iterator[tuple]:
+    for _, header, frame in records.walk(start, end):
+        found = _decoded(frame) if header else None
+        if found:
+            yield header[0] * 10**6 + header[1] * 10**6 // records.ticks, header[3], *found
 
 
 def decode_captures(files: DataFrame) -> DataFrame:
@@ -55,3 +117,114 @@ def decode_captures(files: DataFrame) -> DataFrame:
                 yield pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return files.select("capture", "content").mapInPandas(run, SCHEMA)
+
+
+# --- files of any size ----------------------------------------------------------------------
+
+
+def _opened(path: str):
+    """A file by the path that Spark gives it, for reading at any place."""
+    fs, name = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    return fs.open_input_file(name)
+
+
+_RANGE = "path string, length long, start long, end long, parts long, began long, next long, n_packets long, n_foreign long, n_cut long"
+
+
+def _dealt(ranges: DataFrame, task_bytes: int = 64 << 20) -> DataFrame:
+    """``ranges`` over as many tasks as their bytes ask for, or as the cluster has places if that is more."""
+    n, total = ranges.agg(F.count("*"), F.sum(F.col("end") - F.col("start"))).first()
+    return ranges.repartition(max(1, min(n, max(ranges.sparkSession.sparkContext.defaultParallelism, -(-(total or 0) // task_bytes)))))
+
+
+def _walked(ranges: DataFrame) -> DataFrame:
+    """``ranges`` with where their records begin and end and how many there are; from ``begin`` on where that is known."""
+    names = [x.split()[0] for x in _RANGE.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                with _opened(r.path) as source:
+                    records = _Records(source, r.length)
+                    known = r.begin >= 0
+                    at = r.begin if known else records.likely_start(r.start, r.end) if records.ticks else -1
+                    began, upto, counts = (at if 0 <= at < r.end else -1), 0, [0, 0, 0]
+                    if began >= 0:
+                        for upto, header, frame in records.walk(began, r.end):
+                            counts[2 if header is None else 0 if _decoded(frame) else 1] += 1
+                    out.append((r.path, r.length, r.start, r.end, r.parts, began, upto, *counts))
+            yield pd.DataFrame(out, columns=names)
+
+    return _dealt(ranges.select("path", "length", "start", "end", "parts", "begin")).mapInPandas(run, _RANGE)
+
+
+def capture_ranges(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
+    """(path, length, start, end, began, next, n_packets, n_foreign, n_cut): the ranges of all files below ``path``, each settled against the one before.
+
+    ``began`` is the place of a range's first record, -1 if none begins in it; ``n_foreign`` counts whole records that are
+    no IPv4 or IPv6 packets, ``n_cut`` a record that the end of the file cuts. Files that aren't captures have neither.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").where("length > 0")
+    parts = F.ceil(F.col("length") / split_bytes).cast("long")
+    cut = files.withColumn("parts", parts).select("*", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_i"))
+    cut = cut.select("path", "length", F.greatest(F.col("_i") * split_bytes, F.lit(_HEADER)).alias("start"), F.least((F.col("_i") + 1) * split_bytes, F.col("length")).alias("end"), "parts")
+    first = F.when(F.col("start") == _HEADER, F.lit(_HEADER).cast("long")).otherwise(-1)
+    found, todo = None, cut.withColumn("begin", first)
+    earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        place = scratch(spark, "ranges")
+        walked = _walked(todo)
+        (walked if found is None else found.join(todo, ["path", "start"], "left_anti").select(walked.columns).unionByName(walked)).write.parquet(place)
+        found = spark.read.parquet(place)
+        # where the records of the ranges before it end is where those of a range begin, if it holds a beginning at all
+        due = F.coalesce(F.max("next").over(earlier), F.lit(_HEADER).cast("long"))
+        held = found.withColumn("due", F.when(due < F.col("end"), due).otherwise(-1))
+        wrong = held.where("began <> due and (next > 0 or due >= 0) and parts > 1")
+        # a range that holds no beginning is settled by an end that lies before it
+        todo = wrong.select("path", "length", "start", "end", "parts", F.when(F.col("due") >= 0, F.col("due")).otherwise(F.col("end")).alias("begin"))
+        if not todo.limit(1).count():
+            return found.drop("parts")
+
+
+def read_captures(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
+    """The rows of ``decode_captures`` for all files below ``path``, of any size; ``capture`` is the file's name without its ending."""
+    ranges = capture_ranges(spark, path, split_bytes)
+    earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    ready = ranges.withColumn("first", F.coalesce(F.sum("n_packets").over(earlier), F.lit(0))).where("n_packets > 0")
+    names, most = [x.split()[0] for x in SCHEMA.split(", ")], 20_000
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                with _opened(r.path) as source:
+                    rows, name = [], re.sub(r"\.[^.]*$", "", r.path.rsplit("/", 1)[-1])
+                    for n, packet in enumerate(_packets_between(_Records(source, r.length), r.began, r.end), r.first):
+                        rows.append((name, n, *packet))
+                        if len(rows) == most:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows = []
+                    yield pd.DataFrame(rows, columns=names)
+
+    return _dealt(ready).mapInPandas(run, SCHEMA)
+
+
+def capture_report(ranges: DataFrame) -> DataFrame:
+    """(capture, n_packets, n_foreign, n_cut) of each file of ``capture_ranges``."""
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    return ranges.groupBy(name.alias("capture")).agg(*(F.sum(c).alias(c) for c in ("n_packets", "n_foreign", "n_cut")))
+
+
+def write_captures(files: DataFrame, path: str) -> None:
+    """Each row of ``files(capture, content)`` as a file ``capture``.pcap below ``path``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, folder = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+        fs.create_dir(folder, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch["capture"], batch["content"], strict=True):
+                with fs.open_output_stream(f"{folder}/{name}.pcap", compression=None) as out:
+                    out.write(bytes(content))
+            yield batch[["capture"]]
+
+    files.select("capture", "content").mapInPandas(run, "capture string").write.format("noop").mode("overwrite").save()

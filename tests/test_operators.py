@@ -226,6 +226,74 @@ def test_captures(spark):
     assert got[2][:4] == ("b", 0, 1_000_250_000, 99) and len(got) == 3
 
 
+def _capture(rng, n, order="<"):
+    """A capture whose payloads themselves look like captures, with records of another protocol among them."""
+    import struct
+
+    out = {"<": b"\xd4\xc3\xb2\xa1", ">": b"\xa1\xb2\xc3\xd4"}[order] + bytes(20)
+    fake = b"".join(struct.pack(order + "4I", 9, 5, 30, 30) + bytes(30) for _ in range(8))
+    for i in range(n):
+        inner = fake if rng.random() < 0.4 else rng.randbytes(rng.randrange(200))
+        kind = b"\x08\x06" if i % 7 == 3 else b"\x08\x00"
+        frame = bytes(12) + kind + bytes([0x45, 0]) + (28 + len(inner)).to_bytes(2) + bytes(5) + bytes([17, 0, 0, 10, 0, 0, 1, 10, 0, 0, 2]) + struct.pack(">HHHH", 53, i % 65536, 8 + len(inner), 0) + inner
+        out += struct.pack(order + "4I", 1000 + i, i, len(frame), len(frame)) + frame
+    return out
+
+
+@pytest.mark.parametrize("split", [61, 500, 4_096, 1 << 20])
+def test_captures_by_ranges(spark, tmp_path, split):
+    """Cut anywhere, also within payloads that look like records, files give the rows of the whole; what isn't a packet is counted."""
+    from tessera.sources import captures as cp
+
+    rng = random.Random(split)
+    held = {"a": _capture(rng, 60), "b": _capture(rng, 40, ">")[:-5], "c": b"no capture" * 50, "d": _capture(rng, 1), "e": b""}
+    for name, content in held.items():
+        (tmp_path / f"{name}.pcap").write_bytes(content)
+    want = sorted(tuple(r) for r in cp.decode_captures(spark.createDataFrame([(k, bytearray(v)) for k, v in held.items()], "capture string, content binary")).collect())
+    assert sorted(tuple(r) for r in cp.read_captures(spark, f"file://{tmp_path}", split).collect()) == want
+    report = {r.capture: r[1:] for r in cp.capture_report(cp.capture_ranges(spark, f"file://{tmp_path}", split)).collect()}
+    assert report == {"a": (51, 9, 0), "b": (33, 6, 1), "c": (0, 0, 0), "d": (1, 0, 0)}
+
+
+def test_sessions_assembled_from_their_sources(spark):
+    """Two sessions, one without log rows or split: counts are 0, not null; flags as the files of exit codes say."""
+    from tessera.operators import assembly as asm
+
+    manifest = spark.createDataFrame([("s1", 0, None, "Clear", "full", "h3", 2), ("s2", None, 1, "ech", "full", "https", 5), ("s3", 3, 1, "clear", "bypass", "MASQUE", 0)], "session_id string, first_exit int, said int, visibility string, inspection string, protocol string, expected_packets int")
+    packets = spark.createDataFrame([("s1", 2), ("s2", 4)], "session_id string, packet_count long")
+    logs = spark.createDataFrame([("s2", 1, 0)], "session_id string, first_events long, second_events long")
+    flags = asm.status_columns(F.col("first_exit"), F.lit(0), F.col("said"), F.lit(1), F.col("packet_count"))
+    rows = asm.assemble(manifest, "session_id", packets, logs).withColumns(flags).na.fill(0, ["packet_count", "first_events", "second_events"])
+    got = {r.session_id: r for r in rows.withColumns(asm.missing_reasons()).collect()}
+    assert [got[x].first_parser_ok for x in ("s1", "s2", "s3")] == [1, 0, 0] and got["s1"].exported == 1 and got["s3"].sequence_available == 0
+    why = lambda x: {n[8:] for n, v in got[x].asDict().items() if n.startswith("missing_") and v}
+    assert why("s1") == {"parser_unsupported"} and why("s2") == {"encrypted", "parser_failed", "packet_loss"} and why("s3") == {"encrypted", "parser_unsupported", "parser_failed"}
+
+
+def test_assembly_deals_each_source_once(spark):
+    import re
+
+    from tessera.plans.assembly import sessions
+
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    try:
+        plan = sessions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    by_session = re.findall(r"Exchange hashpartitioning\(session_id#\d+, \d+\)", plan)
+    # manifest, packets, log rows (already counted by value) and splits
+    assert len(by_session) == 4
+
+
+def test_rate_expert(spark):
+    from tessera.operators.assembly import rate_expert
+
+    train = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (2, 0)], "cell int, label int")
+    rows = spark.createDataFrame([(1,), (2,), (3,), (None,)], "cell int")
+    assert {r.cell: round(r.p, 6) for r in rate_expert(train, rows, ["cell"]).collect()} == {1: 0.6, 2: 0.333333, 3: 0.5, None: 0.5}
+
+
 def test_channels_stages_and_stored_columns(spark):
     from tessera.plans.features import packet_channels, select_stage, visible_channels
 
