@@ -6,25 +6,75 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import IsotonicRegression
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.readers import scratch
+
+
+def trees_by_group(df: DataFrame, target: str, features: list[str], group: str, depth: int = 8, bins: int = 64) -> tuple[DataFrame, DataFrame]:
+    """A regression tree for each value of ``group``, all grown together: (cuts and tree by group, value by group and leaf).
+
+    Features are cut at quantiles of the group (at most ``bins`` values). A level takes one aggregate of all rows by group,
+    node, feature and bin, whatever the number of groups; each node then splits where the squares left over are least (ties:
+    the earlier feature, the lower bin). A group's tree is a map of at most 2^``depth`` nodes. Null features count as 0.
+    """
+    spark = df.sparkSession
+    known = df.where(F.col(target).isNotNull()).na.fill(0.0, features).withColumn("_g", _group_key(group))
+    shares = [n / bins for n in range(1, bins)]
+    cuts = known.groupBy("_g").agg(*(F.array_sort(F.array_distinct(F.percentile_approx(F.col(f).cast("double"), shares, 100 * bins))).alias(f"_c{i}") for i, f in enumerate(features)))
+    cuts = _stored(cuts, "cuts")
+    rows = _stored(known.join(cuts, "_g").select("_g", F.col(target).cast("double").alias("y"), _binned(features).alias("b")), "binned")
+    tree = spark.createDataFrame([], "_g string, tree map<int, struct<f: int, bin: int>>")
+    for level in range(depth):
+        at = rows.join(tree, "_g", "left").select("_g", "y", "b", _leaf(level).alias("node"))
+        stats = at.select("_g", "node", "y", F.posexplode("b").alias("f", "bin")).groupBy("_g", "node", "f", "bin").agg(F.count("*").alias("n"), F.sum("y").alias("s"))
+        each = Window.partitionBy("_g", "node", "f")
+        upto = each.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        sums = stats.select("_g", "node", "f", "bin", F.sum("n").over(upto).alias("n0"), F.sum("s").over(upto).alias("s0"), F.sum("n").over(each).alias("n"), F.sum("s").over(each).alias("s"))
+        gain = F.col("s0") ** 2 / F.col("n0") + (F.col("s") - F.col("s0")) ** 2 / (F.col("n") - F.col("n0")) - F.col("s") ** 2 / F.col("n")
+        best = sums.where("n0 < n").groupBy("_g", "node").agg(F.max(F.struct(F.round(gain, 6).alias("gain"), (-F.col("f")).alias("f"), (-F.col("bin")).alias("bin"))).alias("x")).where("x.gain > 0")
+        new = best.select("_g", "node", F.struct((-F.col("x.f")).cast("int").alias("f"), (-F.col("x.bin")).cast("int").alias("bin")).alias("split"))
+        old = tree.select("_g", F.explode("tree").alias("node", "split"))
+        grown = _stored(old.unionByName(new).groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("node", "split"))).alias("tree")), "trees")
+        if level and not new.limit(1).count():
+            break
+        tree = grown
+    value = rows.join(tree, "_g", "left").groupBy("_g", _leaf(depth).alias("leaf")).agg(F.avg("y").alias("value"))
+    return cuts.join(tree, "_g", "left"), value
+
+
+def _group_key(group: str) -> Column:
+    return F.to_json(F.struct(F.col(group)))
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _binned(features: list[str]) -> Column:
+    below = lambda f: lambda cut: cut < F.col(f)
+    return F.array(*(F.size(F.filter(f"_c{i}", below(f))) for i, f in enumerate(features)))
+
+
+def _leaf(depth: int) -> Column:
+    """The node that a row's bins lead to in ``depth`` steps."""
+    if not depth:
+        return F.lit(1)
+    tree, bins = F.col("tree"), F.col("b")
+    step = lambda node: F.when(tree[node].isNull(), node).otherwise(2 * node + (F.get(bins, tree[node]["f"]) > tree[node]["bin"]).cast("int"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(1), lambda node, _: step(node))
+
 
 def impute_by_tree(df: DataFrame, target: str, features: list[str], group: str, depth: int = 8) -> DataFrame:
-    """Missing targets from one tree per group of a small, stated dimension; known targets stay. A group without known targets stays null."""
-    ready = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(df.na.fill(0.0, features))
-    out = None
-    for (value,) in df.select(group).distinct().orderBy(group).collect():
-        own = ready.where(F.col(group).eqNullSafe(F.lit(value)))
-        known = own.where(F.col(target).isNotNull())
-        if known.limit(1).count():
-            own = DecisionTreeRegressor(featuresCol="_x", labelCol=target, predictionCol="_p", maxDepth=depth, seed=42).fit(known).transform(own)
-        else:
-            own = own.withColumn("_p", F.lit(None).cast("double"))
-        own = own.select(*df.columns, F.coalesce(target, "_p").alias("filled"), F.col(target).isNull().alias("imputed"))
-        out = own if out is None else out.unionByName(own)
-    return out if out is not None else df.withColumns({"filled": F.col(target), "imputed": F.lit(False)})
+    """Missing targets from a tree for each group; known targets stay. A group without known targets stays null."""
+    trees, value = trees_by_group(df, target, features, group, depth)
+    rows = df.na.fill(0.0, features).withColumn("_g", _group_key(group)).join(trees, "_g", "left")
+    rows = rows.withColumn("b", _binned(features)).withColumn("leaf", _leaf(depth)).join(value, ["_g", "leaf"], "left")
+    return rows.select(*df.columns, F.coalesce(F.col(target), F.col("value")).alias("filled"), F.col(target).isNull().alias("imputed"))
 
 
 def balanced(df: DataFrame, label: str = "label") -> DataFrame:

@@ -307,3 +307,55 @@ def test_channels_stages_and_stored_columns(spark):
     assert se.replay_matrix(df, ["id"], ["seed"], ["x", "x__missing", "y", "y__missing"]).orderBy("id").collect() == [("a", 0.0, 1, 0.0, 1), ("b", 3.0, 0, 0.0, 1)]
     with pytest.raises(ValueError, match="forbidden"):
         se.replay_matrix(df, ["id"], ["seed"], ["seed"])
+
+
+def grown_by_hand(x, y, depth):
+    """Means of the leaves of a tree by exhaustive search, for the rows themselves."""
+    if depth == 0 or len(y) < 2:
+        return [sum(y) / len(y)] * len(y)
+    best = None
+    for f in range(len(x[0])):
+        for cut in sorted({r[f] for r in x})[:-1]:
+            left = [v for r, v in zip(x, y) if r[f] <= cut]
+            right = [v for r, v in zip(x, y) if r[f] > cut]
+            gain = round(sum(left) ** 2 / len(left) + sum(right) ** 2 / len(right) - sum(y) ** 2 / len(y), 6)
+            if gain > 0 and (best is None or gain > best[0]):
+                best = gain, f, cut
+    if best is None:
+        return [sum(y) / len(y)] * len(y)
+    _, f, cut = best
+    out = [None] * len(y)
+    for side in (True, False):
+        at = [i for i, r in enumerate(x) if (r[f] <= cut) == side]
+        for i, v in zip(at, grown_by_hand([x[i] for i in at], [y[i] for i in at], depth - 1)):
+            out[i] = v
+    return out
+
+
+@pytest.mark.parametrize("depth", [1, 3, 6])
+def test_trees_of_all_groups_at_once(spark, depth):
+    """Each group's tree is the one that an exhaustive search grows on its rows alone; a null group is a group."""
+    rng = random.Random(depth)
+    rows = [(i, g, float(rng.randrange(12)), float(rng.randrange(9)), round(rng.random() * 50, 3)) for i, g in enumerate(rng.choices(["a", "b", None, "few"], [40, 60, 30, 2], k=150))]
+    asked = [(1_000 + i, g, float(i), 2.0, None) for i, g in enumerate(["a", "b", None, "new"])]
+    df = spark.createDataFrame(rows + asked, "id int, g string, u double, v double, price double")
+    trees, value = mo.trees_by_group(df, "price", ["u", "v"], "g", depth)
+    got = {r.id: r for r in mo.impute_by_tree(df.withColumn("known", F.col("price")), "price", ["u", "v"], "g", depth).collect()}
+    assert all(got[r[0]].filled == r[4] and not got[r[0]].imputed for r in rows)
+    assert got[1_003].filled is None and all(got[i].imputed and got[i].filled is not None for i in (1_000, 1_001, 1_002))
+    leaves = {(r._g, r.leaf): r.value for r in value.collect()}
+    for g in ("a", "b", None):
+        own = [r for r in rows if r[1] == g]
+        want = sorted({round(m, 6) for m in grown_by_hand([r[2:4] for r in own], [r[4] for r in own], depth)})
+        key = "{}" if g is None else f'{{"g":"{g}"}}'
+        assert sorted({round(v, 6) for (k, _), v in leaves.items() if k == key}) == want
+
+
+def test_jobs_of_trees_dont_grow_with_groups(spark):
+    def jobs(groups):
+        spark.sparkContext.setJobGroup(f"trees-{groups}", "")
+        df = spark.createDataFrame([(i % groups, float(i % 7), float(i % 11)) for i in range(300)], "g int, u double, price double")
+        mo.impute_by_tree(df, "price", ["u"], "g", 2).collect()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"trees-{groups}"))
+
+    assert abs(jobs(2) - jobs(60)) <= 3
