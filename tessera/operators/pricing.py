@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranges import grouped_percentiles
+
 
 def aggregate_by_rule(offers: DataFrame) -> DataFrame:
     """One row per sku: the aggregate named by its first row. Unknown names give null; ``rnk`` is the price of the least rank but -1."""
@@ -43,8 +45,7 @@ def moving_mean(df: DataFrame, by: str, order: str, value: str, width: int = 3)
 
 def box_summary(df: DataFrame, by: str, value: str) -> DataFrame:
     """Quartiles, whiskers within 1.5 interquartile ranges, and the number of outliers."""
-    q = df.groupBy(by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(by, *(F.col("q")[i].alias(n) for i, n in enumerate(("q1", "q2", "q3")))).withColumn("reach", 1.5 * (F.col("q3") - F.col("q1")))
+    q = grouped_percentiles(df, by, value, {"q1": 0.25, "q2": 0.5, "q3": 0.75}).withColumn("reach", 1.5 * (F.col("q3") - F.col("q1")))
     inside = F.col(value).between(F.col("q1") - F.col("reach"), F.col("q3") + F.col("reach"))
     out = df.join(q, by).groupBy(by, "q1", "q2", "q3").agg(F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high"), F.count_if(~inside).alias("outliers"))
     return out.select(by, *(F.round(c, 6).alias(c) for c in ("q1", "q2", "q3", "low", "high")), "outliers")

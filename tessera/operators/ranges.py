@@ -37,3 +37,32 @@ def percentiles(df: DataFrame, column: str, shares: dict[str, float]) -> DataFra
     high = {n: F.min(F.when(F.col("upto") > F.ceil(share * (F.col("all") - 1)), F.col("v"))) for n, share in shares.items()}
     part = {n: share * (F.max("all") - 1) - F.floor(share * (F.max("all") - 1)) for n, share in shares.items()}
     return held.agg(*((low[n] + (high[n] - low[n]) * part[n]).alias(n) for n in shares))
+
+
+def grouped_percentiles(df: DataFrame, by: str, column: str, shares: dict[str, float], parts: int = 64) -> DataFrame:
+    """(by, one column per share): exact interpolated percentiles of each group's values, nulls left out; groups without values are absent.
+
+    Selection by counts: distinct values are counted, values are cut into at most ``parts`` ranges, and a range that holds a
+    wanted rank is the only one whose values are put in order. What meets in one task is a range of a group's distinct
+    values, or one count per range of a group; no buffer holds the values of a group. Null is a group of its own.
+    """
+    key, value = F.to_json(F.struct(F.col(by))), F.col(column).cast("double")
+    held = df.where(F.col(column).isNotNull()).select(key.alias("_g"), F.col(by).alias("_by"), value.alias("v"))
+    bounds = sorted(set(held.approxQuantile("v", [n / parts for n in range(1, parts)], 0.25 / parts))) if parts > 1 else []
+    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("v"))) if bounds else F.lit(0)
+    counts = held.groupBy("_g", "v").agg(F.count("*").alias("n"), F.first("_by").alias("_by")).withColumn("_range", place)
+    group = Window.partitionBy("_g")
+    ranges = counts.groupBy("_g", "_range").agg(F.sum("n").alias("m")).select("_g", "_range", (F.sum("m").over(group.orderBy("_range")) - F.col("m")).alias("before"), "m", F.sum("m").over(group).alias("all"))
+    rank = lambda share, whole: whole(share * (F.col("all") - 1)).cast("long")
+    wanted = [rank(s, w) for s in shares.values() for w in (F.floor, F.ceil)]
+    has = F.lit(False)
+    for r in wanted:
+        has = has | ((r >= F.col("before")) & (r < F.col("before") + F.col("m")))
+    own = Window.partitionBy("_g", "_range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.join(ranges.where(has), ["_g", "_range"]).withColumn("upto", F.col("before") + F.sum("n").over(own))
+    at = lambda r: F.min(F.when((F.col("upto") > r) & (F.col("before") <= r), F.col("v")))
+    found = {}
+    for name, share in shares.items():
+        low, high = at(rank(share, F.floor)), at(rank(share, F.ceil))
+        found[name] = low + (high - low) * (share * (F.max("all") - 1) - F.floor(share * (F.max("all") - 1)))
+    return placed.groupBy("_g").agg(F.first("_by").alias(by), *(e.alias(n) for n, e in found.items())).drop("_g")

@@ -7,6 +7,8 @@ import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ranges import grouped_percentiles
+
 
 def sum_by(df: DataFrame, key: str, value: str, out: str, ordered: bool = False) -> DataFrame:
     summed = df.groupBy(key).agg(F.sum(value).alias(out))
@@ -43,10 +45,10 @@ def active_in_age_band(clients: DataFrame, cards: DataFrame, txns: DataFrame, lo
 def monthly_median(txns: DataFrame) -> DataFrame:
     """Income of a month, and the interpolated median of its withdrawals (null without any)."""
     month = F.date_trunc("month", F.col("operation_date").cast("timestamp_ntz")).cast("date")
-    return txns.groupBy(month.alias("month")).agg(
-        F.round(F.sum(F.when(F.col("operation") == 1, F.col("amount")).otherwise(0.0)), 2).alias("income"),
-        F.round(F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY CASE WHEN operation = -1 THEN amount END)"), 4).alias("median_withdrawal"),
-    )
+    rows = txns.withColumns({"month": month, "_out": F.when(F.col("operation") == -1, F.col("amount"))})
+    income = rows.groupBy("month").agg(F.round(F.sum(F.when(F.col("operation") == 1, F.col("amount")).otherwise(0.0)), 2).alias("income"))
+    medians = grouped_percentiles(rows, "month", "_out", {"_median": 0.5}).withColumnRenamed("month", "_month")
+    return income.join(medians, F.col("month").eqNullSafe(F.col("_month")), "left").select("month", "income", F.round("_median", 4).alias("median_withdrawal"))
 
 
 def spenders(clients: DataFrame, cards: DataFrame, txns: DataFrame, system: str, low: str, high: str, least: float) -> DataFrame:

@@ -62,6 +62,43 @@ def backfilled(s, d) -> DataFrame:
     return held.join(lacking.withColumn("built", F.lit(True)), "carrier", "left").select("carrier", "n", F.when(c("built"), "built").otherwise("skipped").alias("state"))
 
 
+#: Lines of events: every 10th is cut, every 11th has no time, every 13th no key, every 17th ends before it begins, and one in 19 is blank.
+_LINE = "CASE WHEN event_id % 19 = 0 THEN '' WHEN event_id % 10 = 0 THEN '{\"event_id\": ' ELSE to_json(named_struct('event_id', event_id, 'src', CASE WHEN event_id % 13 = 0 THEN NULL ELSE user_id END, 'start_us', CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_id * 1000 END, 'end_us', event_id * 1000 + CASE WHEN event_id % 17 = 0 THEN -5 ELSE 5 END)) END"
+
+
+def sorted_lines(s, d) -> DataFrame:
+    """Lines by reason, as stored and as counted on the way, and the sum of the kept keys."""
+    path = rd.scratch(s, "lines")
+    table(s, d, "events").select(F.expr(_LINE).alias("value")).write.text(path)
+    rules = {"untimed": c("start_us").isNull() | c("end_us").isNull(), "no_key": c("src").isNull(), "ends_first": c("end_us") < c("start_us")}
+    found = rd.sort_jsonl(s, path, "event_id long, src long, start_us long, end_us long", rules)
+    kept = found.kept.agg(F.lit("kept").alias("reason"), F.count("*").alias("stored"), F.sum("event_id").alias("ids"))
+    stored = kept.unionByName(found.rejected.groupBy("reason").agg(F.count("*").alias("stored"), F.lit(None).cast("long").alias("ids")))
+    observed = s.createDataFrame([(k, v) for k, v in found.counts.items() if k != "read"], "reason string, counted long")
+    return observed.join(stored, "reason", "left").select("reason", "counted", F.coalesce("stored", F.lit(0)).alias("stored"), "ids")
+
+
+_REASON = "CASE WHEN event_id % 19 = 0 THEN 'blank' WHEN event_id % 10 = 0 THEN 'malformed' WHEN event_id % 11 = 0 THEN 'untimed' WHEN event_id % 13 = 0 THEN 'no_key' WHEN event_id % 17 = 0 THEN 'ends_first' ELSE 'kept' END"
+_SORTED = f"SELECT r.reason, count(event_id) AS counted, count(event_id) AS stored, CASE WHEN r.reason = 'kept' THEN sum(event_id) END::BIGINT AS ids FROM (SELECT unnest(['kept', 'blank', 'malformed', 'untimed', 'no_key', 'ends_first']) AS reason) r LEFT JOIN (SELECT event_id, {_REASON} AS reason FROM events) USING (reason) GROUP BY r.reason"
+
+
+def backfilled_shards(s, d) -> DataFrame:
+    """Shards of documents: one is there already, one holds no rows to derive from, one is no table at all, one is absent; the rest are built."""
+    bronze, gold = rd.scratch(s, "bronze"), rd.scratch(s, "gold")
+    source = v_manifest(s, d).select("carrier", "lang", "n_chars")
+    source.write.partitionBy("carrier").parquet(f"{bronze}/all")
+    names = [r.carrier for r in source.select("carrier").distinct().orderBy("carrier").collect()]
+    source.limit(0).write.parquet(f"{bronze}/empty")
+    source.select("lang").write.text(f"{bronze}/broken")
+    where = {**{n: f"{bronze}/all/carrier={n}" for n in names}, **{n: f"{bronze}/{n}" for n in ("empty", "broken", "absent")}}
+    derive = lambda n: s.read.schema("lang string, n_chars long").parquet(where[n]).groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
+    rd.backfill_shards(s, names[:1], derive, gold)
+    return rd.backfill_shards(s, [*names, "empty", "broken", "absent"], derive, gold).select("shard", "state", "n", F.when(c("reason") != "", F.when(c("shard") == "empty", c("reason")).otherwise("failed")).otherwise("").alias("reason"))
+
+
+_SHARDED = "SELECT carrier AS shard, CASE WHEN carrier = (SELECT min(carrier) FROM v_manifest) THEN 'skipped' ELSE 'built' END AS state, CASE WHEN carrier = (SELECT min(carrier) FROM v_manifest) THEN 0 ELSE count(DISTINCT lang) END::BIGINT AS n, '' AS reason FROM v_manifest GROUP BY carrier UNION ALL SELECT * FROM (VALUES ('empty', 'error', 0, 'no rows'), ('broken', 'error', 0, 'failed'), ('absent', 'error', 0, 'failed')) t"
+
+
 def exit_codes(s, d) -> DataFrame:
     """One-line files of a program's exit code: a number, no number, and none at all."""
     out = None
@@ -139,6 +176,8 @@ QUERIES = {
     "sink_layers": layers,
     "sink_history": history,
     "backfill_build": backfilled,
+    "src_jsonl_rejects": sorted_lines,
+    "backfill_shards": backfilled_shards,
     "src_exit_code": exit_codes,
     "src_capture_packets": lambda s, d: cp.decode_captures(capture_files(s, d)),
     "src_capture_splits": lambda s, d: cp.read_captures(s, written_captures(s, d), 1 << 12),
@@ -152,6 +191,8 @@ ORACLES = {
     "sink_layers": "SELECT user_id % 5 AS shard, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE value IS NOT NULL GROUP BY 1, 2",
     "sink_history": "SELECT (ts::DATE)::VARCHAR AS day, count(*) AS n FROM events GROUP BY 1",
     "backfill_build": sql("SELECT carrier, count(*)::BIGINT AS n, CASE WHEN carrier IN ('src1', 'src4') THEN 'built' ELSE 'skipped' END AS state FROM v_manifest GROUP BY carrier", "v_manifest"),
+    "src_jsonl_rejects": _SORTED,
+    "backfill_shards": sql(_SHARDED, "v_manifest"),
     "src_exit_code": "SELECT file, code, (SELECT count(*) FROM region) AS regions FROM (VALUES (0, 0), (1, 3), (2, -1), (3, -1)) t(file, code)",
     "src_capture_packets": _CAPTURES,
     "src_capture_splits": _CAPTURES,

@@ -359,3 +359,45 @@ def test_jobs_of_trees_dont_grow_with_groups(spark):
         return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"trees-{groups}"))
 
     assert abs(jobs(2) - jobs(60)) <= 3
+
+
+@pytest.mark.parametrize("parts", [1, 5, 64])
+def test_grouped_percentiles(spark, parts):
+    """Against sorted lists: a hot group, ties, single values, a null group, groups of nulls."""
+    from tessera.operators.ranges import grouped_percentiles
+
+    rng = random.Random(parts)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), rng.choice([0.0, 1.5, rng.random(), rng.randrange(5) * 1.0])) for _ in range(700)] + [("one", 3.0), ("none", None), ("two", 1.0), ("two", 2.0)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    shares = {"low": 0.0, "q1": 0.25, "median": 0.5, "p95": 0.95, "top": 1.0}
+    got = {r.k: r for r in grouped_percentiles(df, "k", "x", shares, parts).collect()}
+    want = {}
+    for k in {k for k, _ in rows}:
+        own = sorted(x for g, x in rows if g == k and x is not None)
+        if own:
+            want[k] = [own[int(s * (len(own) - 1))] * (1 - s * (len(own) - 1) % 1) + own[min(len(own) - 1, int(s * (len(own) - 1)) + 1)] * (s * (len(own) - 1) % 1) for s in shares.values()]
+    assert set(got) == set(want)
+    for k, values in want.items():
+        assert [round(got[k][n], 9) for n in shares] == [round(v, 9) for v in values]
+
+
+def test_lines_kept_and_rejected_add_up(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text("\n".join(['{"a": 1, "b": 2}', "", "   ", '{"a": 1, ', "[1]", '{"a": null, "b": 3}', '{"a": 5}', '{"a": 6, "b": 1, "more": 0}']))
+    found = rd.sort_jsonl(spark, str(tmp_path / "x.jsonl"), "a long, b long", {"no_a": F.col("a").isNull(), "b_first": F.col("b") < F.col("a")})
+    assert sorted((r.a, r.b or 0) for r in found.kept.collect()) == [(1, 2), (5, 0)]
+    assert sorted((r.reason, r.line) for r in found.rejected.collect()) == sorted([("blank", ""), ("blank", "   "), ("malformed", '{"a": 1, '), ("malformed", "[1]"), ("no_a", '{"a": null, "b": 3}'), ("b_first", '{"a": 6, "b": 1, "more": 0}')])
+    assert found.counts == {"read": 8, "kept": 2, "blank": 2, "malformed": 2, "no_a": 1, "b_first": 1}
+    none = rd.sort_jsonl(spark, str(tmp_path / "absent"), "a long", {})
+    assert none.kept.count() == none.rejected.count() == none.counts["read"] == 0
+
+
+def test_a_bad_shard_stops_no_other(spark, tmp_path):
+    def derive(shard):
+        if shard == "bad":
+            raise RuntimeError("broken manifest")
+        return spark.range(0 if shard == "none" else 3)
+
+    first = {r.shard: (r.state, r.n, r.reason) for r in rd.backfill_shards(spark, ["a", "bad", "b", "none"], derive, str(tmp_path)).collect()}
+    assert first == {"a": ("built", 3, ""), "bad": ("error", 0, "RuntimeError"), "b": ("built", 3, ""), "none": ("error", 0, "no rows")}
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["a", "b"]  # nothing half done is left
+    assert {r.state for r in rd.backfill_shards(spark, ["a", "b"], derive, str(tmp_path)).collect()} == {"skipped"}
