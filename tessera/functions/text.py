@@ -33,11 +33,12 @@ def unique_share(value: Column) -> Column:
     return F.size(F.array_distinct(F.filter(F.split(value, ""), lambda x: x != ""))) / F.greatest(F.lit(1), F.char_length(value))
 
 
+#: What a token looks like as a whole.
 GRAMMARS = {
-    "uuid_like": r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
+    "uuid_like": r"^[0-9a-fA-F]{8}-[0-9a-fA-F-]{27,36}$",
     "jwt_like": r"^[^.]+\.[^.]+\.[^.]+$",
-    "etag_like": r'^(W/)?"[^"]*"$',
-    "token_like": r"^[A-Za-z0-9+/_=-]{16,}$",
+    "etag_like": r'^(W/)?"[^\n]*"$',
+    "encoded_token_like": r"^[A-Za-z0-9+/=_-]{16,}$",
 }
 
 

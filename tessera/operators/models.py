@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -106,6 +106,23 @@ def importances(model, features: list[str], spark) -> DataFrame:
     return spark.createDataFrame([(f, float(gain[i])) for i, f in enumerate(features)], "feature string, gain double").orderBy(F.desc("gain"), "feature")
 
 
+def stored_expert(train: DataFrame, features: list[str], calibration: DataFrame, apply: DataFrame, path: str, trees: int = 5, depth: int = 3) -> DataFrame:
+    """``apply`` with ``p``: scores of trees fitted on ``train``, stored below ``path`` and loaded again, calibrated on ``calibration`` where it has both classes.
+
+    Null features count as 0. Without enough rows or classes to train on, ``p`` is null.
+    """
+    ready = lambda df: df.na.fill(0.0, features).withColumn("label", F.col("label").cast("double"))
+    if status_of(train) != "ok":
+        return apply.withColumn("p", F.lit(None).cast("double"))
+    tree_expert(ready(train), features, trees=trees, depth=depth).write().overwrite().save(path)
+    model = PipelineModel.load(path)
+    known = scored(model, ready(calibration))
+    out = scored(model, ready(apply))
+    if calibration.agg(F.countDistinct("label")).first()[0] == 2:
+        return calibrate(known, out).withColumn("p", F.col("calibrated").cast("double")).drop("score", "calibrated")
+    return out.withColumnRenamed("score", "p")
+
+
 def calibrate(fit: DataFrame, apply: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Isotonic calibration learned on ``fit``; constant beyond the range it has seen."""
     model = IsotonicRegression(featuresCol=score, labelCol=label, predictionCol="calibrated").fit(fit.select(F.col(score).cast("double"), F.col(label).cast("double")))

@@ -74,9 +74,8 @@ _FIELD = ("SELECT page_id, ':path' AS field_name, path AS value, 'request_target
           + " UNION ALL SELECT page_id, ':body', latin, 'request_body', hex(encode(latin)) FROM (SELECT page_id, array_to_string(list_transform(regexp_extract_all(body, '..'), lambda x: chr(('0x' || x)::INTEGER)), '') AS latin FROM tr) WHERE latin <> ''")
 #: ASCII classes of characters.
 CLASSES = {"digit_ratio": "0-9", "alpha_ratio": "A-Za-z", "hex_ratio": "0-9A-Fa-f", "b64_ratio": "0-9A-Za-z+/=", "b64url_ratio": "0-9A-Za-z_=-", "delimiter_ratio": ":;,.|/_=+&?%-"}
-GRAMMARS = {"uuid_like": r"^[0-9a-fA-F]{8}-[0-9a-fA-F-]{27,36}$", "jwt_like": r"^[^.]+\.[^.]+\.[^.]+$", "etag_like": r'^(W/)?"[^\n]*"$', "encoded_token_like": r"^[A-Za-z0-9+/=_-]{16,}$"}
 FLAGS = {"authorization": "field_name = 'authorization'", "cookie": "field_name = 'cookie'", "etag": "field_name IN ('etag', 'if-none-match')", "range": "field_name = 'range'", "referer": "field_name = 'referer'", "custom_header": "field_role = 'request_header' AND field_name LIKE 'x-%'", "body": "field_role = 'request_body'"}
-NUMERIC = ["raw_length", "byte_length", "entropy", "printable_ratio", "unique_char_ratio", *CLASSES, *GRAMMARS, *(f"field_is_{k}" for k in FLAGS)]
+NUMERIC = ["raw_length", "byte_length", "entropy", "printable_ratio", "unique_char_ratio", *CLASSES, *tx.GRAMMARS, *(f"field_is_{k}" for k in FLAGS)]
 
 
 def field_features(s, d) -> DataFrame:
@@ -86,14 +85,14 @@ def field_features(s, d) -> DataFrame:
         "page_id", "field_name", "field_role", F.char_length(v).alias("raw_length"), F.octet_length(v).alias("byte_length"), F.round(tx.byte_entropy(F.encode(v, "UTF-8")), 6).alias("entropy"),
         F.round(F.coalesce(F.try_divide(F.regexp_count(v, F.lit(r"[\x20-\x7E]")), F.octet_length(v)), F.lit(0.0)), 6).alias("printable_ratio"), F.round(tx.unique_share(v), 6).alias("unique_char_ratio"),
         F.when(v == "", "").otherwise(F.substring(F.sha2(F.expr("left(value, 8)"), 256), 1, 12)).alias("prefix8_hash"), *(F.round(F.regexp_count(v, F.lit(f"[{x}]")) / n, 6).alias(k) for k, x in CLASSES.items()),
-        *(v.rlike(p).cast("int").alias(k) for k, p in GRAMMARS.items()), *(F.expr(e).cast("int").alias(f"field_is_{k}") for k, e in FLAGS.items()),
+        *(v.rlike(p).cast("int").alias(k) for k, p in tx.GRAMMARS.items()), *(F.expr(e).cast("int").alias(f"field_is_{k}") for k, e in FLAGS.items()),
     )
 
 
 _COUNT = "length(regexp_replace(value, '[^{x}]', '', 'g'))"
 _FIELD_SQL = (
     "SELECT page_id, field_name, field_role, length(value)::INTEGER AS raw_length, strlen(value)::INTEGER AS byte_length, coalesce(entropy, 0) AS entropy, round(coalesce(" + _COUNT.format(x=r"\x20-\x7E") + " / nullif(strlen(value), 0)::DOUBLE, 0), 6) AS printable_ratio, round(len(list_distinct(string_split(value, ''))) / greatest(1, length(value))::DOUBLE, 6) AS unique_char_ratio, CASE WHEN value = '' THEN '' ELSE substr(sha256(left(value, 8)), 1, 12) END AS prefix8_hash, "
-    + ", ".join(f"round({_COUNT.format(x=x)} / greatest(1, length(value))::DOUBLE, 6) AS {k}" for k, x in CLASSES.items()) + ", " + ", ".join(f"regexp_matches(value, '{p}')::INTEGER AS {k}" for k, p in GRAMMARS.items()) + ", " + ", ".join(f"({e})::INTEGER AS field_is_{k}" for k, e in FLAGS.items())
+    + ", ".join(f"round({_COUNT.format(x=x)} / greatest(1, length(value))::DOUBLE, 6) AS {k}" for k, x in CLASSES.items()) + ", " + ", ".join(f"regexp_matches(value, '{p}')::INTEGER AS {k}" for k, p in tx.GRAMMARS.items()) + ", " + ", ".join(f"({e})::INTEGER AS field_is_{k}" for k, e in FLAGS.items())
     + " FROM f LEFT JOIN fe USING (page_id, field_name)"
 )
 _FIELDS = dict(tr=_TRACE, f=_FIELD, fe=_entropy_sql("f", "page_id, field_name", "raw"))
@@ -188,6 +187,7 @@ _TEMPORAL_CTES = dict(g=_GAPS, g2="SELECT *, lag(gap) OVER w AS gap1, lag(gap, 2
 # --- sequences ------------------------------------------------------------------------------
 
 STEPS = 96
+#: What protocols and kinds are sorted into.
 PROTOCOLS, KINDS = ["http", "https", "h2", "h3", "wss", "grpc", "mqtt", "quic", "other"], ["poll", "request", "response", "result", "upload", "download", "heartbeat", "other"]
 
 

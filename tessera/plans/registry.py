@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import assembly, contracts, features, files, learning, manifests, sessions, tabular
+from tessera.plans import acceptance, assembly, contracts, features, files, learning, manifests, sessions, tabular
 
-MODULES = (tabular, manifests, sessions, contracts, features, assembly, files, learning)
+MODULES = (tabular, manifests, sessions, contracts, features, assembly, acceptance, files, learning)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}

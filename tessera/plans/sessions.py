@@ -94,7 +94,7 @@ QUERIES = {
     "feat_numeric_matrix": lambda s, d: se.numeric_matrix(v_manifest(s, d).join(v_score(s, d).select("doc_id", "score"), "doc_id", "left").select("id", "doc_id", "label", "seed", "score", "n_chars"), ["id"], ["doc_id", "label"]),
     "feat_prefix_allowlist": lambda s, d: se.by_prefix(table(s, d, "part"), ("p_r", "p_s"), ["p_partkey"]),
     "feat_visibility_mask": lambda s, d: se.visible_only(v_manifest(s, d), v_manifest(s, d), "id", F.col("transform") == "none").select("id", "label"),
-    "seq_encode": lambda s, d: se.sequences(v_tx(s, d), "session_id", "rec", {"req": F.round(log_scale(F.col("req").cast("double"), 1000.0), 6), "sign": F.signum((F.col("req") - F.col("resp")).cast("double"))}, 8).select("session_id", F.posexplode("seq").alias("step", "x"), "mask").select("session_id", "step", F.col("x")[0].alias("req"), F.col("x")[1].alias("sign"), F.element_at("mask", F.col("step") + 1).alias("mask")),
+    "seq_encode": lambda s, d: se.sequences(v_tx(s, d), "session_id", "rec", {"req": F.round(log_scale(F.col("req").cast("double"), 1000.0), 6), "sign": F.signum((F.col("req") - F.col("resp")).cast("double"))}, 96).select("session_id", F.posexplode("seq").alias("step", "x"), "mask").select("session_id", "step", F.col("x")[0].alias("req"), F.col("x")[1].alias("sign"), F.element_at("mask", F.col("step") + 1).alias("mask")),
     "src_jsonl_tolerant": jsonl,
     "src_flatten_json": lambda s, d: rd.flatten(nested(s, d), "_"),
     "src_multi_shard_union": shards,
@@ -124,7 +124,7 @@ ORACLES = {
     "feat_numeric_matrix": sql("SELECT id, coalesce(n_chars, 0)::DOUBLE AS n_chars, (n_chars IS NULL)::INTEGER AS n_chars__missing, coalesce(score, 0)::DOUBLE AS score, (score IS NULL)::INTEGER AS score__missing, coalesce(seed, 0)::DOUBLE AS seed, (seed IS NULL)::INTEGER AS seed__missing FROM v_manifest LEFT JOIN v_score USING (doc_id)", "v_manifest", "v_score"),
     "feat_prefix_allowlist": "SELECT p_partkey, p_size, p_retailprice FROM part",
     "feat_visibility_mask": sql("SELECT id, label FROM v_manifest WHERE transform = 'none'", "v_manifest"),
-    "seq_encode": sql(f"SELECT session_id, step::INTEGER AS step, coalesce(r, 0)::DOUBLE AS req, coalesce(sg, 0)::DOUBLE AS sign, (r IS NOT NULL)::INTEGER AS mask FROM (SELECT DISTINCT session_id FROM k) CROSS JOIN range(8) t(step) LEFT JOIN k USING (session_id, step)", *_IV, **_T, p="SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY rec) AS place, count(*) OVER (PARTITION BY session_id) AS n FROM tx", k=f"SELECT session_id, {_LOG} AS r, sign((req - resp)::DOUBLE) AS sg, row_number() OVER (PARTITION BY session_id ORDER BY place) - 1 AS step FROM p WHERE n <= 8 OR place <= 4 OR place > n - 4"),
+    "seq_encode": sql(f"SELECT session_id, step::INTEGER AS step, coalesce(r, 0)::DOUBLE AS req, coalesce(sg, 0)::DOUBLE AS sign, (r IS NOT NULL)::INTEGER AS mask FROM (SELECT DISTINCT session_id FROM k) CROSS JOIN range(96) t(step) LEFT JOIN k USING (session_id, step)", *_IV, **_T, p="SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY rec) AS place, count(*) OVER (PARTITION BY session_id) AS n FROM tx", k=f"SELECT session_id, {_LOG} AS r, sign((req - resp)::DOUBLE) AS sg, row_number() OVER (PARTITION BY session_id ORDER BY place) - 1 AS step FROM p WHERE n <= 96 OR place <= 48 OR place > n - 48"),
     "src_jsonl_tolerant": "SELECT event_id, user_id, event_type, value FROM events",
     "src_flatten_json": "SELECT event_id, user_id AS body_user_id, event_type AS body_what_event_type, value AS body_what_value FROM events",
     "src_multi_shard_union": "SELECT p_partkey, p_name, p_size FROM part",

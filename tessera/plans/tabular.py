@@ -76,7 +76,7 @@ QUERIES = {
     "win_delta_t": lambda s, d: iv.delta_t(attributed(s, d)).select("session_id", "rec", F.round("delta_t", 6).alias("delta_t")),
     "win_first_seen": lambda s, d: iv.first_of(attributed(s, d).where("session_id is not null"), ["session_id", "flow"], "rec", "flow_boundary", F.col("flow") == "signup").select("session_id", "rec", "flow_boundary"),
     "win_repeat_seen": lambda s, d: iv.seen_before(attributed(s, d).where("session_id is not null"), ["session_id", "flow", "direction", "seq"], "rec", "retransmit", F.col("size") > 0).select("session_id", "rec", "retransmit"),
-    "win_head_tail": lambda s, d: iv.head_and_tail(attributed(s, d).where("session_id is not null"), "session_id", "rec", 8).select("session_id", "rec", F.col("place").cast("long").alias("place")),
+    "win_head_tail": lambda s, d: iv.head_and_tail(attributed(s, d).where("session_id is not null"), "session_id", "rec", 96).select("session_id", "rec", F.col("place").cast("long").alias("place")),
     "rank_with_consent": lambda s, d: iv.rank_with_consent(table(s, d, "supplier").selectExpr("s_suppkey", "s_acctbal", "s_suppkey % 2 = 0 AS consent"), "s_suppkey", "s_acctbal", "consent", 9),
     "snapshot_diff": lambda s, d: snapshot_diff(snapshots(s, d), "day", ["events", "top_user", "types"]),
 }
@@ -129,7 +129,7 @@ ORACLES = {
     "win_delta_t": sql("SELECT session_id, rec, round(greatest(0.0::DOUBLE, coalesce((ts_us - lag(ts_us) OVER (PARTITION BY session_id ORDER BY rec)) / 1000000.0::DOUBLE, 0)), 6) AS delta_t FROM att WHERE session_id IS NOT NULL", *_IV, **_ASOF),
     "win_first_seen": sql("SELECT session_id, rec, (row_number() OVER (PARTITION BY session_id, flow ORDER BY rec) = 1 OR flow = 'signup')::INTEGER AS flow_boundary FROM att WHERE session_id IS NOT NULL", *_IV, **_ASOF),
     "win_repeat_seen": sql("SELECT session_id, rec, (row_number() OVER (PARTITION BY session_id, flow, direction, seq ORDER BY rec) > 1 AND size > 0)::INTEGER AS retransmit FROM att WHERE session_id IS NOT NULL", *_IV, **_ASOF),
-    "win_head_tail": sql("SELECT session_id, rec, place FROM (SELECT session_id, rec, row_number() OVER (PARTITION BY session_id ORDER BY rec) AS place, count(*) OVER (PARTITION BY session_id) AS n FROM att WHERE session_id IS NOT NULL) WHERE n <= 8 OR place <= 4 OR place > n - 4", *_IV, **_ASOF),
+    "win_head_tail": sql("SELECT session_id, rec, place FROM (SELECT session_id, rec, row_number() OVER (PARTITION BY session_id ORDER BY rec) AS place, count(*) OVER (PARTITION BY session_id) AS n FROM att WHERE session_id IS NOT NULL) WHERE n <= 96 OR place <= 48 OR place > n - 48", *_IV, **_ASOF),
     "rank_with_consent": "SELECT s_suppkey, consent, position, consents_above, consents_above + 1 AS consent_rank, CASE WHEN consents_above < 9 THEN 'inside' WHEN consents_above < 18 THEN 'near' ELSE 'outside' END AS state FROM (SELECT s_suppkey, s_suppkey % 2 = 0 AS consent, row_number() OVER o AS position, coalesce(sum((s_suppkey % 2 = 0)::INT) OVER (ORDER BY s_acctbal DESC, s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS consents_above FROM supplier WINDOW o AS (ORDER BY s_acctbal DESC, s_suppkey))",
     "snapshot_diff": "WITH per AS (SELECT ts::DATE AS day, user_id, count(*) AS n FROM events GROUP BY 1, 2), s AS (SELECT day, sum(n)::BIGINT AS events, arg_max(user_id, n * 1000000000 - user_id) AS top_user FROM per GROUP BY day), t AS (SELECT s.*, types FROM s JOIN (SELECT ts::DATE AS day, count(DISTINCT event_type) AS types FROM events GROUP BY 1) USING (day)), l AS (SELECT *, row_number() OVER w AS r, lag(events) OVER w AS e0, lag(top_user) OVER w AS u0, lag(types) OVER w AS t0 FROM t WINDOW w AS (ORDER BY day)) SELECT day, events, top_user, types, CASE WHEN r = 1 THEN 'initial' ELSE concat_ws(';', CASE WHEN e0 IS DISTINCT FROM events THEN 'events:' || e0 || '>' || events END, CASE WHEN u0 IS DISTINCT FROM top_user THEN 'top_user:' || u0 || '>' || top_user END, CASE WHEN t0 IS DISTINCT FROM types THEN 'types:' || t0 || '>' || types END) END AS changes, sha256(concat_ws('|', events::VARCHAR, top_user::VARCHAR, types::VARCHAR)) AS digest FROM l",
 }

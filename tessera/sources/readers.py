@@ -29,6 +29,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def read_jsonl_tolerant(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """One row per well-formed line; blank and malformed lines are skipped; a missing path is an empty table."""
     if not exists(spark, path):

@@ -401,3 +401,35 @@ def test_a_bad_shard_stops_no_other(spark, tmp_path):
     assert first == {"a": ("built", 3, ""), "bad": ("error", 0, "RuntimeError"), "b": ("built", 3, ""), "none": ("error", 0, "no rows")}
     assert sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["a", "b"]  # nothing half done is left
     assert {r.state for r in rd.backfill_shards(spark, ["a", "b"], derive, str(tmp_path)).collect()} == {"skipped"}
+
+
+def test_cells_points_and_roll_up(spark):
+    """A cell without a rate of false positives takes it from its matrix or counts as 1; evidence that no source has is missing, not failed."""
+    from tessera.operators import acceptance as acc
+
+    schema = "name string, rows long, precision double, recall double, fpr double, fp long, tn long"
+    cells = [("given", 100, 0.96, 0.95, 0.00005, None, None), ("counted", 100, 1.0, 1.0, None, 0, 50), ("too many", 100, 1.0, 1.0, None, 1, 99), ("no rate", 100, 1.0, 1.0, None, None, None), ("no rows", 0, 1.0, 1.0, 0.0, 0, 0), ("unknown", None, None, None, None, None, None), ("imprecise", 9, 0.5, 1.0, 0.0, 0, 9)]
+    df = spark.createDataFrame(cells, schema)
+    assert {r.name for r in df.where(acc.cell_passes()).collect()} == {"given", "counted"}
+    assert {r.name for r in df.where(acc.cell_passes(None)).collect()} == {"given", "counted", "imprecise"}
+    needed = acc.required(spark)
+    assert needed.select("point").distinct().count() == 9
+    every = needed.select("source", "fact").distinct().withColumn("ok", F.lit(True))
+    some = every.where("fact <> 'fusion'").withColumn("ok", F.when(F.col("fact") == "clients", F.lit(False)).otherwise(F.when(F.col("fact") != "networks", True)))
+    got = {r.point: (r.ready, r.missing, r.failed) for r in acc.points(needed, some).collect()}
+    assert got["visibility_fusion"] == (False, 1, 0) and got["client_server_diversity"] == (False, 0, 2) and got["sequence_expert"] == (True, 0, 0)
+    valid, passed = spark.createDataFrame([(True,)], "valid boolean"), spark.createDataFrame([(True,)], "passed boolean")
+    up = lambda cells, facts, **k: acc.roll_up(valid, cells, acc.points(needed, facts), **k).first().candidate
+    assert up(passed, every) and not up(passed, some) and up(passed, some, evidence_required=False) and not up(passed.limit(0), every)
+
+
+def test_changes_of_many_histories(spark):
+    from tessera.operators.histories import changes_by_entity
+
+    rows = [("a", 1, 5, None), ("a", 2, 5, None), ("a", 3, 6, "x"), ("b", 2, 1, "y"), ("b", 9, 1, None)]
+    df = changes_by_entity(spark.createDataFrame(rows, "who string, day int, n int, note string"), "who", "day", ["n", "note"])
+    got = {(r.who, r.day): (r.state, {k: tuple(v) for k, v in (r.changes or {}).items()}) for r in df.collect()}
+    assert got == {("a", 1): ("initial", {}), ("a", 2): ("same", {}), ("a", 3): ("changed", {"n": ("5", "6"), "note": (None, "x")}), ("b", 2): ("initial", {}), ("b", 9): ("changed", {"note": ("y", None)})}
+    digests = {(r.who, r.day): r.digest for r in df.collect()}
+    assert digests["a", 1] == digests["a", 2] != digests["a", 3]
+    assert "Window" in (plan := df._jdf.queryExecution().executedPlan().toString()) and "SinglePartition" not in plan
