@@ -14,8 +14,8 @@ from tokenizers import Tokenizer
 
 #: Fixed value: how byte-level BPE splits a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A space with white space or an end beside it: there, words can't be encoded one by one.
-_UNEVEN = re.compile(r"(?:^|\s) | (?:\s|$)")
+#: A space beside other white space.
+_BESIDE = re.compile(r"[^\S ] "), re.compile(r" [^\S ]")
 _ENDING = re.compile(r"([^\W\d_]+)([.,;:!?]+)\Z")
 
 
@@ -28,7 +28,7 @@ def byte_letters() -> dict[str, int]:
 
 def uneven(text: str) -> bool:
     """Is there a space with white space or an end beside it? If not, the words between spaces can be encoded one by one."""
-    return _UNEVEN.search(text) is not None
+    return text[:1] == " " or text[-1:] == " " or "  " in text or any(x.search(text) for x in _BESIDE)
 
 
 class Encoder(dict):
@@ -36,8 +36,8 @@ class Encoder(dict):
 
     Byte-level BPE first splits a text, and a single space between two other signs always begins a new part. So
     what lies between such spaces is encoded once, with its space, and looked up from then on (at most ``MOST``
-    entries, after which it starts anew); an ending of points is a part of its own. Other texts are encoded as
-    a whole, and those that hold a special token's string by the tokenizer itself.
+    entries, after which it starts anew); an ending of points, and a line's end between words, are parts of their
+    own. Other texts are encoded as a whole, and those that hold a special token's string by the tokenizer itself.
     """
 
     MOST, LONGEST = 900_000, 40
@@ -50,11 +50,29 @@ class Encoder(dict):
         letters = byte_letters()
         ranks = {bytes(map(letters.__getitem__, token)): i for token, i in vocab.items() if token not in self.special}
         self.encode = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+        self.line_end = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return array("I", self.encode(text)).tobytes()
 
     def __missing__(self, word: str) -> bytes:
+        if "\n" in word:
+            lines, word = self.lines(word)
+            if lines:
+                return lines + (self.plain(word) if "\n" in word else self[word])
+        return self.plain(word)
+
+    def lines(self, word: str) -> tuple[bytes, str]:
+        """Ids up to the last line's end that stands between two signs, each line looked up on its own, and what is left."""
+        out = []
+        while True:
+            line, _, rest = word.partition("\n")
+            if not rest or not line.strip("\0") or line[-1].isspace() or rest[0].isspace():
+                return b"".join(out), word
+            out += self[line], self.line_end
+            word = "\0" + rest
+
+    def plain(self, word: str) -> bytes:
         ending = _ENDING.match(word)
         if ending and len(word) <= self.LONGEST:
             ids = self[ending[1]] + self["\0" + ending[2]]
@@ -69,7 +87,7 @@ class Encoder(dict):
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if "\0" in text or _UNEVEN.search(text):
+        if "\0" in text or uneven(text):
             try:
                 return self.whole(text)
             except UnicodeEncodeError:  # a lone surrogate has no bytes
