@@ -1,9 +1,12 @@
-"""Shape, alphabet and grammar of strings, by built-in functions alone."""
+"""Shape, alphabet and grammar of strings: built-in functions, and counts over the bytes of Arrow batches."""
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +32,32 @@ def share_of(value: Column, char_class: str) -> Column:
     return F.regexp_count(value, F.lit(f"[{char_class}]")) / F.greatest(F.lit(1), F.char_length(value))
 
 
+def ascii_shares(value: Column, classes: dict[str, str]) -> Column:
+    """A struct of the share of characters in each class of ASCII signs (as in a regular expression); 0 when empty, null for null.
+
+    One pass over the bytes of an Arrow batch: running sums of each class are read at the ends of the texts, and a text has
+    as many characters as bytes that don't continue one.
+    """
+    tables = np.array([[b < 128 and bool(re.match(f"[{c}]", chr(b))) for b in range(256)] for c in classes.values()] + [[b & 0xC0 != 0x80 for b in range(256)]])
+    kind = pa.struct([(n, pa.float64()) for n in classes])
+
+    @F.arrow_udf(f"struct<{', '.join(f'{n}: double' for n in classes)}>")
+    def shares(values: pa.Array) -> pa.Array:
+        held = values.cast(pa.large_binary())
+        offsets = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
+        raw = held.buffers()[2]
+        data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+        ends = offsets - offsets[0]
+        counts = []
+        for table in tables:
+            upto = np.concatenate(([0], np.cumsum(table[data], dtype=np.int64)))
+            counts.append(upto[ends[1:]] - upto[ends[:-1]])
+        shown = [pa.array(n / np.maximum(1, counts[-1])) for n in counts[:-1]]
+        return pa.StructArray.from_arrays(shown, fields=list(kind), mask=values.is_null())
+
+    return shares(value)
+
+
 def unique_share(value: Column) -> Column:
     return F.size(F.array_distinct(F.filter(F.split(value, ""), lambda x: x != ""))) / F.greatest(F.lit(1), F.char_length(value))
 

@@ -35,8 +35,13 @@ def fields(s, d):
     return table(s, d, "documents").select("doc_id", F.col("source").alias("field_name"), F.col("text").alias("value"))
 
 
+#: Classes of ASCII signs.
+SIGNS = {"digits": "0-9", "upper": "A-Z", "lower": "a-z", "spaces": r"\x20", "printable": r"\x20-\x7E", "delimiters": ":;,.|/_=+&?%-"}
+
+
 def char_ratios(df):
-    return df.select("doc_id", *(F.round(tx.share_of(F.col("value"), c), 6).alias(n) for n, c in (("digits", "0-9"), ("upper", "A-Z"), ("lower", "a-z"), ("spaces", r"\x20"), ("printable", r"\x20-\x7E"), ("delimiters", ":;,.|/_=+&?%-"))))
+    shares = df.select("doc_id", tx.ascii_shares(F.col("value"), SIGNS).alias("x"))
+    return shares.select("doc_id", *(F.round(f"x.{n}", 6).alias(n) for n in SIGNS))
 
 
 def field_shape(df):

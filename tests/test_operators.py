@@ -433,3 +433,15 @@ def test_changes_of_many_histories(spark):
     digests = {(r.who, r.day): r.digest for r in df.collect()}
     assert digests["a", 1] == digests["a", 2] != digests["a", 3]
     assert "Window" in (plan := df._jdf.queryExecution().executedPlan().toString()) and "SinglePartition" not in plan
+
+
+def test_shares_of_signs(spark):
+    import re
+
+    texts = ["", None, "Ab 9-é", "漢字 12", "x" * 3_000 + "é" * 7, "tab\there", "a"]
+    classes = {"digits": "0-9", "lower": "a-z", "marks": ",.-"}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.x for r in df.select("i", tx.ascii_shares(F.col("t"), classes).alias("x")).collect()}
+    for i, t in enumerate(texts):
+        want = None if t is None else tuple(len(re.findall(f"[{c}]", t)) / max(1, len(t)) for c in classes.values())
+        assert (got[i] if got[i] is None else tuple(got[i])) == want
