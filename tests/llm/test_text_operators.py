@@ -203,6 +203,16 @@ def test_personal_data_written_otherwise(spark):
     assert [got[i].s for i in range(len(cases))] == ["card:10:29", "", "", "email:9:38", "", "", ""] and got[0]._row == "y"
 
 
+def test_personal_data_in_sentences_of_other_kinds(spark):
+    """Learned from the given documents, found in sentences unlike any of theirs; what only looks like it is left alone."""
+    there = ["Write to ann [at] example.com soon", "ann.lee [at] example.com", "server at 10[.]0[.]0[.]7", "10[.]0[.]0[.]7 was blocked after that", "host 192(.)168(.)1(.)20 replied", "paid with 4111_1111_1111_1111 last week"]
+    not_there = ["version 1.2.3 was released", "the years 1998-2001 were good", "order 555-12-3456-99", "meet at five. then dot your eyes", "she looked at me (at last) and sat", "ISBN 978-3-16-148410-0", "we were at home (dot) dot dot", "pages 100-200-3000", "in section 12[.]3 of 1 law", "he said [at] noon we go", "score 10-12-2024"]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    cases = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(there + not_there)], "doc_id long, text string")
+    found = find_personal_data(docs.unionByName(cases)).where("size(spans) > size(base)").select("doc_id", as_text(F.col("spans")).alias("s")).collect()
+    assert {r.doc_id - 10**6: r.s.split(":")[0] for r in found} == {0: "email", 1: "email", 2: "ip", 3: "ip", 4: "ip", 5: "card"}
+
+
 def test_query_of_personal_data(spark, tmp_path):
     from tessera.llm.queries import op2_pii
 
