@@ -10,7 +10,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.sources.readers import scratch
+from tessera.sources.readers import remove, scratch
 
 
 def trees_by_group(df: DataFrame, target: str, features: list[str], group: str, depth: int = 8, bins: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -135,4 +135,9 @@ def fuse(train: DataFrame, apply: DataFrame, scores: list[str], label: str = "la
     ready = lambda df: df.withColumns({f"{s}_there": F.col(s).isNotNull().cast("double") for s in scores}).na.fill(medians, scores)
     columns = [*scores, *(f"{s}_there" for s in scores)]
     stages = [VectorAssembler(inputCols=columns, outputCol="features"), LogisticRegression(labelCol=label, weightCol="weight", maxIter=30)]
-    return scored(Pipeline(stages=stages).fit(balanced(ready(train), label)), ready(apply), "fused")
+    # a fitted model drags its summary, and with that the session, into its tasks, which fails once the session has observed anything; a loaded one has none
+    path = scratch(train.sparkSession, "fusion")
+    Pipeline(stages=stages).fit(balanced(ready(train), label)).write().save(path)
+    model = PipelineModel.load(path)
+    remove(train.sparkSession, path)
+    return scored(model, ready(apply), "fused")

@@ -1,6 +1,7 @@
 """Queries that fit models: rows, parts kept apart, ranges of scores, and what was learned."""
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tessera.operators import models as mo
@@ -69,6 +70,16 @@ def test_stored_expert_learns_and_needs_both_classes(spark, tmp_path):
     assert one.where("p is not null").count() == 0 and one.count() == 120
 
 
+def test_fusion_after_an_observation(spark):
+    """A session that has observed a query before can still run what a fused model scores."""
+    seen = Observation()
+    spark.range(5).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 5}
+    rows = spark.range(120).selectExpr("id", "cast(id % 2 AS double) AS label", "CASE WHEN id % 5 > 0 THEN id % 2 + id / 1000 END AS a", "cast(NULL AS double) AS b")
+    out = mo.fuse(rows.where("id < 60"), rows, ["a", "b"]).collect()
+    assert len(out) == 120 and all((r.fused > 0.5) == (r.label == 1) for r in out if r.id % 5)
+
+
 @pytest.mark.parametrize("name", ["eval_frozen", "eval_leave_one_out", "ml_compositional_holdout", "ml_external_generalization"])
 def test_holdouts(spark, name):
     found = QUERIES[name](spark, DATA)
