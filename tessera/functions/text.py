@@ -32,11 +32,31 @@ def share_of(value: Column, char_class: str) -> Column:
     return F.regexp_count(value, F.lit(f"[{char_class}]")) / F.greatest(F.lit(1), F.char_length(value))
 
 
+def counts_between(data: np.ndarray, ends: np.ndarray, tables: np.ndarray, block: int = 1 << 20) -> list[np.ndarray]:
+    """For each table of 256 flags: how many flagged bytes each text has; ``ends`` are 0 and the ends of the texts in ``data``.
+
+    Whole texts of about ``block`` bytes are looked up at a time, so beside the data there is little more than that (or a longer text).
+    """
+    counts = [np.zeros(len(ends) - 1, np.int64) for _ in tables]
+    first = 0
+    while first < len(ends) - 1:
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + block, "right")) - 1)
+        part, starts = data[ends[first] : ends[last]], ends[first:last] - ends[first]
+        held = np.flatnonzero(np.diff(ends[first : last + 1]))  # texts without bytes have no place of their own
+        for n, table in zip(counts, tables, strict=True):
+            if last == first + 1:  # may be longer than a block
+                n[first] = np.count_nonzero(table[part])
+            elif len(held):
+                n[first + held] = np.add.reduceat(table[part], starts[held], dtype=np.int64)
+        first = last
+    return counts
+
+
 def ascii_shares(value: Column, classes: dict[str, str]) -> Column:
     """A struct of the share of characters in each class of ASCII signs (as in a regular expression); 0 when empty, null for null.
 
-    One pass over the bytes of an Arrow batch: running sums of each class are read at the ends of the texts, and a text has
-    as many characters as bytes that don't continue one.
+    The bytes of an Arrow batch are counted in blocks of texts, and a text has as many characters as bytes that don't
+    continue one.
     """
     tables = np.array([[b < 128 and bool(re.match(f"[{c}]", chr(b))) for b in range(256)] for c in classes.values()] + [[b & 0xC0 != 0x80 for b in range(256)]])
     kind = pa.struct([(n, pa.float64()) for n in classes])
@@ -47,11 +67,7 @@ def ascii_shares(value: Column, classes: dict[str, str]) -> Column:
         offsets = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
         raw = held.buffers()[2]
         data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
-        ends = offsets - offsets[0]
-        counts = []
-        for table in tables:
-            upto = np.concatenate(([0], np.cumsum(table[data], dtype=np.int64)))
-            counts.append(upto[ends[1:]] - upto[ends[:-1]])
+        counts = counts_between(data, offsets - offsets[0], tables)
         shown = [pa.array(n / np.maximum(1, counts[-1])) for n in counts[:-1]]
         return pa.StructArray.from_arrays(shown, fields=list(kind), mask=values.is_null())
 

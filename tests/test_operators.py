@@ -240,6 +240,27 @@ def _capture(rng, n, order="<"):
     return out
 
 
+def test_byte_classes_in_little_memory():
+    """Counts of each text, also of empty and of long ones, without sums as wide as eight bytes for each byte."""
+    import tracemalloc
+
+    import numpy as np
+
+    from tessera.functions.text import counts_between
+
+    sizes = [0, 5, 0, 3_000_000, *[2_000] * 5_000, 0, 1, 0]
+    data, ends = np.arange(sum(sizes), dtype=np.int64).astype(np.uint8), np.concatenate(([0], np.cumsum(sizes)))
+    tables = np.array([[b % 3 == 0 for b in range(256)], [b > 250 for b in range(256)]])
+    tracemalloc.start()
+    got = counts_between(data, ends, tables)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < len(data)
+    for n, table in zip(got, tables, strict=True):
+        assert list(n) == [int(table[data[a:b]].sum()) for a, b in zip(ends, ends[1:])]
+    assert [len(n) for n in counts_between(data[:0], np.zeros(1, np.int64), tables)] == [0, 0]
+
+
 def test_packets_of_many_small_captures_share_a_batch():
     """Neither a batch for each capture nor one for all rows of a large one."""
     from tessera.sources.captures import _in_batches
