@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,8 +173,8 @@ def _odds(rows: DataFrame, key: Column, least: int, most: int) -> dict[str, floa
     return {r.key: r.odds for r in n.select("key", F.log((F.col("good") + 0.5) / (F.col("n") - F.col("good") + 0.5)).alias("odds")).collect() if r.key}
 
 
-def training_rows(found: DataFrame, text: Column, sample: int) -> DataFrame:
-    """(kind, value, label, before, after, h, hidden): rewritten matches, and addresses made of prose; at most ``sample`` of each, by hash."""
+def training_rows(found: DataFrame, text: Column) -> DataFrame:
+    """(kind, value, label, before, after, h, hidden): every match rewritten, and an address made of prose for each text that has the words."""
     both = found.where("size(_pii_base) > 0 or size(_pii_failed) > 0").withColumn("_pii_all", F.concat(F.transform("_pii_base", lambda x: x.withField("label", F.lit(1.0))), F.transform("_pii_failed", lambda x: x.withField("label", F.lit(0.0)))))
     real = both.select(text.alias("t"), F.explode("_pii_all").alias("s")).select("t", "s.*")
     real = real.select("kind", "value", "label", *_around(F.col("t"), F.col("start"), F.col("end")))
@@ -184,7 +185,7 @@ def training_rows(found: DataFrame, text: Column, sample: int) -> DataFrame:
     prose = prose.select(F.lit("email").alias("kind"), F.concat(part(2), F.lit("@"), part(3), F.lit("."), F.lower(part(4))).alias("value"), F.lit(0.0).alias("label"), part(1).alias("before"), F.element_at(F.array(*map(F.lit, (" ", ". ", ", ", "\n", ""))), (F.pmod(F.xxhash64("t"), F.lit(5)) + 1).cast("int")).alias("after"))
     out = None
     for rows in (real, other, prose):
-        rows = rows.withColumn("h", F.xxhash64("kind", "value", "before", "after")).orderBy("h", "value", "label").limit(sample)
+        rows = rows.withColumn("h", F.xxhash64("kind", "value", "before", "after"))
         out = rows if out is None else out.unionByName(rows)
     # names and hosts without digits, cut contexts and unknown words must look familiar too, so a share of the rows has them
     bare = F.expr("concat(left(regexp_extract(value, '^([A-Za-z]*)', 1), 2 + pmod(shiftright(h, 48), 9)), CASE WHEN pmod(shiftright(h, 20), 2) = 0 THEN substring(value, locate('@', value)) ELSE concat('@', regexp_extract(value, '([A-Za-z-]+[.][A-Za-z-]+)$', 1)) END)")
@@ -196,14 +197,14 @@ def training_rows(found: DataFrame, text: Column, sample: int) -> DataFrame:
     return out.withColumn("hidden", F.pmod(F.shiftright("h", 40), F.lit(3)) == 0).where("value is not null")
 
 
-def fit_spans(found: DataFrame, text: Column, sample: int = 20_000, trees: int = 12, depth: int = 4, precision: float = 0.95) -> SpanModel:
-    """Boosted trees on rewritten matches (``training_rows``), two thirds of them.
+def fit_spans(found: DataFrame, text: Column, trees: int = 12, depth: int = 4, precision: float = 0.95) -> SpanModel:
+    """Boosted trees on all rewritten matches (``training_rows``) but a third.
 
     The other third calibrates: a kind's threshold lies halfway between the least score from which on ``precision`` or more
     of the held-back rows are valid and the next score below it. Where none is, or only one label occurs, no proposal of that
     kind is taken.
     """
-    rows = training_rows(found, text, sample).cache()
+    rows = training_rows(found, text).persist(StorageLevel.DISK_ONLY)
     try:
         fit, held = rows.where("part > 0"), rows.where("part = 0")
         if fit.agg(F.countDistinct("label")).first()[0] < 2:
@@ -229,7 +230,7 @@ def fit_spans(found: DataFrame, text: Column, sample: int = 20_000, trees: int =
         rows.unpersist()
 
 
-def find_personal_data(docs: DataFrame, text_col: str = "text", sample: int = 20_000) -> DataFrame:
+def find_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of (kind, start, end), by kind as in KINDS and then by start.
 
     ``base`` are the valid matches of the four grammars in the whole text; ``spans`` adds those proposals that the
@@ -242,7 +243,7 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", sample: int = 20
     kept = docs.columns
     found = base_spans(docs, text_col).withColumn("_pii_open", _free(wider_spans(text), F.col("_pii_base"))).withColumn("_pii_row", F.monotonically_increasing_id())
     found = materialize(found, "spans")
-    model = fit_spans(found, text, sample)
+    model = fit_spans(found, text)
     bare = lambda c: F.transform(c, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     if model.trees is None:
         return found.select(*kept, bare("_pii_base").alias("base"), bare("_pii_base").alias("spans"))

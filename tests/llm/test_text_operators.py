@@ -171,6 +171,15 @@ def brute_spans(text):
     return ",".join(out)
 
 
+def test_every_match_trains_personal_data(spark):
+    """All matches are learned from, however many there are; none is left out by hash."""
+    from tessera.llm.pii import base_spans, training_rows
+
+    docs = spark.range(20_500).select(F.concat(F.lit("write to u"), F.col("id"), F.lit("@host.org now")).alias("text"))
+    rows = training_rows(base_spans(docs), F.col("text"))
+    assert rows.groupBy("style").count().where("count = 20500").count() == 6
+
+
 def test_personal_data(spark):
     rng = random.Random(3)
     texts = [None, "", "a@b.c_d@e.f and a@b..c x@y", "é😀 1.2.3.4.5.6.7.8 999.1.1.1 007.1.1.255", "4111 1111 1111 1111, 4111111111111112", "+1 (444) 555-4984 +12 +1-2-3-4-5-6-7-8-9", "5" * 40_000, "+" + "1 " * 9_000, "a" * 50_000 + "@b.co"]
