@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from tessera.llm.jaccard_join import jaccard_classes
+from tessera.llm.jaccard_join import _own_shingles, _pairs_across, jaccard_classes
 from tessera.llm.mixing import fit_rates, likeliest, mix_to_targets, rate_after
 from tessera.llm.packing import pack, two_fit_plan
 from tessera.llm.pii import as_text, find_personal_data, redact
@@ -109,6 +109,20 @@ def test_jaccard_large_buckets_of_several_mains(spark):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(expected))
 
 
+def test_jaccard_sets_without_partners(spark):
+    """Elements of one class alone are counted over copies, runs and ranges of hashes; a family of unlike sets makes no pairs to read."""
+    family = [" ".join(f"f{k}" for k in range(16)) + " " + " ".join(f"x{i}y{k}" for k in range(4)) for i in range(40)]
+    counts = sorted(r.own for r in _own_shingles(table(spark, [*family, family[0], None, ""]).repartition(3), 1, 3, 0).collect())
+    assert counts == [4] * 40
+    half = _own_shingles(table(spark, family), 1, 2, 1).groupBy().sum("own").first()[0]
+    assert 40 < half < 120
+    members = [{"id": i, "component": i, "n": 20, "held": 16 if i else 20} for i in range(40)]
+    made = next(_pairs_across(80)(iter([pa.RecordBatch.from_pylist([{"m": members}])])))
+    assert made.num_rows == 0
+    members = [{"id": i, "component": i, "n": 20, "held": 18} for i in range(3)]
+    assert next(_pairs_across(80)(iter([pa.RecordBatch.from_pylist([{"m": members}])]))).num_rows == 3
+
+
 def test_jaccard_edges(spark):
     assert jaccard_classes(table(spark, ["a b c d e f"]).limit(0)).count() == 0
     rows = jaccard_classes(table(spark, ["a b c d e f"] * 3, [None, 4, 4])).collect()
