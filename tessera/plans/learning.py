@@ -69,7 +69,7 @@ def sequence_expert(s, d) -> DataFrame:
     mean = lambda i: F.aggregate(F.transform("seq", lambda x: F.get(x, F.lit(i))), F.lit(0.0), lambda a, b: a + b) / total
     pooled = seq.select("session_id", *(mean(i).alias(n) for i, n in enumerate(channels)))
     labels = table(s, d, "labels").where("quality is not null").select(F.concat(F.lit("x-"), "doc_id").alias("session_id"), F.col("quality").cast("double").alias("label"))
-    held = pooled.join(labels, "session_id").withColumn("part", hash_number("session_id") % 4)
+    held = mo._stored(pooled.join(labels, "session_id").withColumn("part", hash_number("session_id") % 4), "pooled")  # read for each statistic of the fit
     train = held.where("part < 3")
     status = mo.status_of(train)
     if status != "ok":
