@@ -11,7 +11,7 @@ from tessera.operators import assembly as asm
 from tessera.operators import models as mo
 from tessera.operators.evaluation import confusion, threshold_for_recall
 from tessera.operators.sessions import sequences
-from tessera.plans.assembly import CONTENT, OPAQUE, PACKETS, TOTALS, frames
+from tessera.plans.assembly import CONTENT, OPAQUE, PACKETS, TOTALS, frames, sessions
 from tessera.plans.features import compositions, visible_channels, visible_rows
 from tessera.plans.views import sql, table
 from tessera.sources import readers as rd
@@ -91,8 +91,8 @@ def expert_scores(s, d) -> DataFrame:
     flags = [*asm.availability(), *asm.missing_reasons()]
     features = {"content": CONTENT, "session": [*PACKETS, *TOTALS], "opaque": [*PACKETS, *OPAQUE, *flags]}
     role = F.when(F.col("split") == "validation", four_way_role(F.col("session_id"), ROLES))
-    whole = None
-    for name, rows in frames(s, d).items():
+    whole, assembled = None, mo._stored(sessions(s, d), "sessions")  # three frames are taken from it
+    for name, rows in frames(s, d, assembled).items():
         place = f"{folder}/{name}"
         rows.withColumns({"role": role, **{x: F.col(x).cast("double") for x in features[name]}}).write.parquet(f"{place}/rows")
         rows = s.read.parquet(f"{place}/rows")
