@@ -168,7 +168,7 @@ def compositional(s, d) -> DataFrame:
 
 def external(s, d) -> DataFrame:
     """For each source: a base model (trained without any of them) on its rows, and one whose training rows have those of the other sources stacked on."""
-    r, out = rows(s, d), None
+    r, out = mo._stored(rows(s, d), "measures"), None  # each of the fits and scores reads the measures, not the texts
     base, outside = r.where("part = 'train'"), r.where("part <> 'train'")
     model = mo.tree_expert(base, FEATURES)
     for value in families(outside, "source", 4):

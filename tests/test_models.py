@@ -99,3 +99,25 @@ def test_holdouts_train_on_the_training_part_alone(spark, monkeypatch):
     rows = learning.rows(spark, DATA)
     learning.held_out(rows, "lang", learning.families(rows, "lang", 2))
     assert parts <= {"train"}
+
+
+def test_shared_inputs_are_stored_once(spark, monkeypatch):
+    """Fits over heavy inputs read a stored table: the sequences and the measures are computed once, and sessions are assembled once for three frames."""
+    from tessera.operators import models
+    from tessera.plans import learning
+
+    class Stop(Exception):
+        pass
+
+    stored, keep = [], models._stored
+
+    def stop(*_):
+        raise Stop
+
+    monkeypatch.setattr(models, "_stored", lambda df, name: stored.append(name) or keep(df, name))
+    for name in ("status_of", "tree_expert", "stored_expert"):
+        monkeypatch.setattr(models, name, stop)
+    for query in (learning.sequence_expert, learning.external, learning.expert_scores):
+        with pytest.raises(Stop):
+            query(spark, "/root/testdata/sf0.001")
+    assert stored == ["pooled", "measures", "sessions"]
