@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from tessera.llm.jaccard_join import _own_shingles, _pairs_across, jaccard_classes
+from tessera.llm.jaccard_join import _beyond_buckets, _own_shingles, _pairs_across, _unlike, jaccard_classes
 from tessera.llm.mixing import fit_rates, likeliest, mix_to_targets, rate_after
 from tessera.llm.packing import pack, two_fit_plan
 from tessera.llm.pii import as_text, find_personal_data, redact
@@ -123,6 +123,40 @@ def test_jaccard_sets_without_partners(spark):
     assert next(_pairs_across(80)(iter([pa.RecordBatch.from_pylist([{"m": members}])]))).num_rows == 3
 
 
+def rows_of_joins(spark, keys):
+    """What the joins by ``keys`` that have run in this session put out in all."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for k in range(runs.size()):
+        run = runs.apply(k).executionId()
+        values = {int(i): int(n.replace(",", "")) for i, n in re.findall(r"(\d+) -> ([\d,]*\d)(?=, \d+ -> |\)|, )", store.executionMetrics(run).toString())}
+        nodes = store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" in node.name() and re.sub(r"#\d+L?", "", node.desc()).count(keys) == 2:
+                held = node.metrics()
+                total += sum(values.get(m.accumulatorId(), 0) for m in (held.apply(i) for i in range(held.size())) if m.name() == "number of output rows")
+    return total
+
+
+def test_shared_passage_is_one_bucket(spark):
+    # of the 300 elements that the same eight sets hold outside their centre one stands for all; two sets share another 20
+    outside = {b: [*range(1000, 1300), *range(2000, 2020)] if b < 3 else [*range(1000, 1300), 5000 + b] for b in range(1, 9)}
+    compared = spark.createDataFrame([(0, b, False, 1 if b < 3 else 301, x) for b, x in outside.items()], "a long, b long, linked boolean, least long, outside array<long>")
+    component = spark.createDataFrame([(b, b) for b in range(9)], "node long, component long")
+    sizes = spark.createDataFrame([(b, 400, 400) for b in range(9)], "rep long, n long, held long")
+    before = rows_of_joins(spark, "[a, el]")
+    got = _beyond_buckets(compared, component, sizes, 80).groupBy("sig").agg(F.sort_array(F.collect_set("id")).alias("ids")).collect()
+    # sets that must share 301 elements with a partner hold only 300 that others hold, so they sign with none
+    assert sorted(r.ids for r in got) == [[1, 2], [1, 2]]
+    assert 0 < rows_of_joins(spark, "[a, el]") - before <= 2 * (8 + 2)  # a plan may be counted before and after it adapts
+
+
+def test_buckets_that_need_no_more_centres_leave_in_one_pass(spark):
+    rows = [(1, 1, 1, 1), (1, 2, 1, 2), (2, 1, 1, 1), (2, 3, 9, 1), (3, 1, 1, 1), (3, 5, 9, 5), (4, 1, 1, 1), (4, 5, 9, 5)]  # one centre, one component, and two lists alike
+    got = _unlike(spark.createDataFrame(rows, "sig long, id long, main long, component long")).collect()
+    assert sorted(map(tuple, got)) == [(3, 1, 1), (3, 5, 5)]
+
+
 def test_jaccard_edges(spark):
     assert jaccard_classes(table(spark, ["a b c d e f"]).limit(0)).count() == 0
     rows = jaccard_classes(table(spark, ["a b c d e f"] * 3, [None, 4, 4])).collect()
