@@ -6,6 +6,7 @@ import random
 import re
 import warnings
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import public_tokenizers
+from tessera.llm import suffix_dedup
 from tessera.llm.jaccard_join import _beyond_buckets, _own_shingles, _pairs_across, _unlike, jaccard_classes
 from tessera.llm.mixing import fit_rates, likeliest, mix_to_targets, rate_after
 from tessera.llm.packing import pack, two_fit_plan
@@ -189,6 +191,24 @@ def test_remove_repeats(spark, corpus, batches):
     assert got == brute_repeats(texts)
 
 
+def test_scanned_slices_of_the_last_batch_go(spark, monkeypatch):
+    """While a slice is scanned for the last time, the arrays' files of those before it are gone."""
+    rng, seen, arrays, write = random.Random(3), [], [], suffix_dedup.materialize
+
+    def watched(df, name, *by):
+        out = write(df, name, *by)
+        if name in ("suffixes", "level"):
+            arrays.append(out)
+        elif name == "anchors":
+            seen.append(sorted({x.name for a in arrays for x in Path(a._tessera_path.removeprefix("file://")).glob("slice=[0-3]")}))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "materialize", watched)
+    docs = table(spark, [prose(rng, 40, ["alpha", "beta", "gamma", "delta", "epsilon"]) for _ in range(60)])
+    repeated_windows(docs.select("doc_id", "text"), batches=(1, 1))
+    assert seen[-5:] == [[f"slice={k}" for k in range(n, 4)] for n in (0, 0, 1, 2, 3)]
+
+
 def test_remove_repeats_edges(spark):
     assert remove_repeats(table(spark, ["a"]).limit(0)).count() == 0
     long = "abcdefghij" * 10
