@@ -140,13 +140,22 @@ def parser_aggregates(s, d) -> DataFrame:
     keys = {f: [x for x in _leaves(rows.schema) if x.lower() == f or x.lower().endswith("." + f)] for f in FAMILIES}
     held = iv.attribute(rows.select("src", "ts_us", *(x for x in rows.columns if x not in ("src", "ts_us"))), v_interval(s, d)).where("session_id is not null")
     first, second = c("source") == "first", c("source") == "second"
+    # each value of a row is a row of its own, so what is counted once by value is short, however many columns are counted
     said = lambda x: F.when(c(x) != "", c(x))
     marks = {f: F.get(F.filter(F.array(*map(F.col, k)), lambda x: x.isNotNull() & ~x.isin("", "-")), F.lit(0)) for f, k in keys.items()}
-    log = lambda *names: F.count_if(c("log").isin(*names))
-    return held.groupBy("session_id").agg(
-        F.count_if(first).alias("first_events"), F.count_if(second).alias("second_events"), F.count_if(first & (c("log") == "alert")).alias("alerts"), log("http").alias("http_events"), log("tls").alias("tls_events"), log("dns").alias("dns_events"), log("quic").alias("quic_events"),
-        F.count_if(second & (c("log") == "websocket")).alias("websocket_events"), log("flow").alias("flow_events"), F.countDistinct(F.when(first, said("proto"))).alias("proto_unique"), F.countDistinct(F.when(second, said("service_name"))).alias("service_unique"), F.countDistinct(said("sni")).alias("sni_unique"), F.countDistinct(said("hostname")).alias("host_unique"),
-        F.countDistinct("status").alias("status_unique"), F.countDistinct(F.when(first, c("flow_id"))).alias("flow_id_unique"), F.countDistinct(F.when(second, said("uid"))).alias("uid_unique"), *(F.countDistinct(m).alias(f"{f}_unique") for f, m in marks.items()), *(F.max(m.isNotNull().cast("int")).alias(f"{f}_present") for f, m in marks.items()),
+    values = {
+        "kind": F.concat(c("source"), F.lit(":"), F.coalesce("log", F.lit(""))), "proto": F.when(first, said("proto")), "service": F.when(second, said("service_name")), "sni": said("sni"), "host": said("hostname"),
+        "status": c("status"), "flow_id": F.when(first, c("flow_id")), "uid": F.when(second, said("uid")), **marks,
+    }
+    at = {name: i for i, name in enumerate(values)}
+    each = held.select("session_id", F.posexplode(F.array(*(v.cast("string") for v in values.values()))).alias("at", "value")).where("value is not null")
+    each = each.groupBy("session_id", "at", "value").agg(F.count("*").alias("n"))
+    number = lambda of: F.sum(F.when((c("at") == at["kind"]) & of, c("n")).otherwise(0))
+    log = lambda name: number(c("value").isin(f"first:{name}", f"second:{name}"))
+    unique = lambda name: F.count_if(c("at") == at[name])
+    return each.groupBy("session_id").agg(
+        number(c("value").startswith("first:")).alias("first_events"), number(c("value").startswith("second:")).alias("second_events"), number(c("value") == "first:alert").alias("alerts"), log("http").alias("http_events"), log("tls").alias("tls_events"), log("dns").alias("dns_events"), log("quic").alias("quic_events"),
+        number(c("value") == "second:websocket").alias("websocket_events"), log("flow").alias("flow_events"), *(unique(x).alias(f"{x}_unique") for x in list(at)[1:]), *((unique(f) > 0).cast("int").alias(f"{f}_present") for f in marks),
     )
 
 
