@@ -16,8 +16,9 @@ from tessera.sources.readers import remove, scratch
 def trees_by_group(df: DataFrame, target: str, features: list[str], group: str, depth: int = 8, bins: int = 64) -> tuple[DataFrame, DataFrame]:
     """A regression tree for each value of ``group``, all grown together: (cuts and tree by group, value by group and leaf).
 
-    Features are cut at quantiles of the group (at most ``bins`` values). A level takes one aggregate of all rows by group,
-    node, feature and bin, whatever the number of groups; each node then splits where the squares left over are least (ties:
+    Features are cut at quantiles of the group (at most ``bins`` values), and rows of a group with the same bins are one cell
+    from then on, as no split tells them apart. A level takes one aggregate of all cells by group, node, feature and bin,
+    whatever the number of groups; each node then splits where the squares left over are least (ties:
     the earlier feature, the lower bin). A group's tree is a map of at most 2^``depth`` nodes. Null features count as 0.
     """
     spark = df.sparkSession
@@ -25,11 +26,12 @@ def trees_by_group(df: DataFrame, target: str, features: list[str], group: str,
     shares = [n / bins for n in range(1, bins)]
     cuts = known.groupBy("_g").agg(*(F.array_sort(F.array_distinct(F.percentile_approx(F.col(f).cast("double"), shares, 100 * bins))).alias(f"_c{i}") for i, f in enumerate(features)))
     cuts = _stored(cuts, "cuts")
-    rows = _stored(known.join(cuts, "_g").select("_g", F.col(target).cast("double").alias("y"), _binned(features).alias("b")), "binned")
+    binned = known.join(cuts, "_g").select("_g", F.col(target).cast("double").alias("y"), _binned(features).alias("b"))
+    cells = _stored(binned.groupBy("_g", "b").agg(F.count("*").alias("n"), F.sum("y").alias("s")), "binned")
     tree = spark.createDataFrame([], "_g string, tree map<int, struct<f: int, bin: int>>")
     for level in range(depth):
-        at = rows.join(tree, "_g", "left").select("_g", "y", "b", _leaf(level).alias("node"))
-        stats = at.select("_g", "node", "y", F.posexplode("b").alias("f", "bin")).groupBy("_g", "node", "f", "bin").agg(F.count("*").alias("n"), F.sum("y").alias("s"))
+        at = cells.join(tree, "_g", "left").select("_g", "n", "s", "b", _leaf(level).alias("node"))
+        stats = at.select("_g", "node", "n", "s", F.posexplode("b").alias("f", "bin")).groupBy("_g", "node", "f", "bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
         each = Window.partitionBy("_g", "node", "f")
         upto = each.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
         sums = stats.select("_g", "node", "f", "bin", F.sum("n").over(upto).alias("n0"), F.sum("s").over(upto).alias("s0"), F.sum("n").over(each).alias("n"), F.sum("s").over(each).alias("s"))
@@ -41,7 +43,7 @@ def trees_by_group(df: DataFrame, target: str, features: list[str], group: str,
         if level and not new.limit(1).count():
             break
         tree = grown
-    value = rows.join(tree, "_g", "left").groupBy("_g", _leaf(depth).alias("leaf")).agg(F.avg("y").alias("value"))
+    value = cells.join(tree, "_g", "left").groupBy("_g", _leaf(depth).alias("leaf")).agg((F.sum("s") / F.sum("n")).alias("value"))
     return cuts.join(tree, "_g", "left"), value
 
 
@@ -73,7 +75,8 @@ def impute_by_tree(df: DataFrame, target: str, features: list[str], group: str,
     """Missing targets from a tree for each group; known targets stay. A group without known targets stays null."""
     trees, value = trees_by_group(df, target, features, group, depth)
     rows = df.na.fill(0.0, features).withColumn("_g", _group_key(group)).join(trees, "_g", "left")
-    rows = rows.withColumn("b", _binned(features)).withColumn("leaf", _leaf(depth)).join(value, ["_g", "leaf"], "left")
+    missing = F.col(target).isNull()  # others need no leaf
+    rows = rows.withColumn("b", F.when(missing, _binned(features))).withColumn("leaf", F.when(missing, _leaf(depth))).join(value, ["_g", "leaf"], "left")
     return rows.select(*df.columns, F.coalesce(F.col(target), F.col("value")).alias("filled"), F.col(target).isNull().alias("imputed"))
 
 

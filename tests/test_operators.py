@@ -340,6 +340,14 @@ def test_assembly_deals_each_source_once(spark):
     assert len(by_session) == 4
 
 
+def test_log_values_are_counted_as_short_rows(spark):
+    from tessera.plans.features import parser_aggregates
+
+    plan = parser_aggregates(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan  # as many copies of every column as there are distinct counts
+    assert "Generate posexplode" in plan
+
+
 def test_rate_expert(spark):
     from tessera.operators.assembly import rate_expert
 
@@ -405,6 +413,16 @@ def test_trees_of_all_groups_at_once(spark, depth):
         assert sorted({round(v, 6) for (k, _), v in leaves.items() if k == key}) == want
 
 
+def test_levels_of_trees_read_cells(spark, monkeypatch):
+    """Rows with the same bins are one row for all levels, and their number and sum count."""
+    held, stored = {}, mo._stored
+    monkeypatch.setattr(mo, "_stored", lambda df, name: held.setdefault(name, stored(df, name)))
+    df = spark.createDataFrame([("a", float(i % 3), float(i % 3 * 10 + i % 2)) for i in range(600)], "g string, u double, price double")
+    _, value = mo.trees_by_group(df, "price", ["u"], "g", 1)
+    assert held["binned"].count() == 3
+    assert sorted(round(r.value, 9) for r in value.collect()) == [0.5, 15.5]
+
+
 def test_jobs_of_trees_dont_grow_with_groups(spark):
     def jobs(groups):
         spark.sparkContext.setJobGroup(f"trees-{groups}", "")
