@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 import public_tokenizers
 from tessera.llm import suffix_dedup
-from tessera.llm.jaccard_join import _beyond_buckets, _own_shingles, _pairs_across, _unlike, jaccard_classes
+from tessera.llm.jaccard_join import _beyond_buckets, _own_shingles, _pairs_across, _texts_of, _unlike, jaccard_classes
 from tessera.llm.mixing import fit_rates, likeliest, mix_to_targets, rate_after
 from tessera.llm.packing import pack, two_fit_plan
 from tessera.llm.pii import as_text, find_personal_data, redact
@@ -140,6 +140,43 @@ def rows_of_joins(spark, keys):
     return total
 
 
+def _rows_out(df, kind):
+    """Rows that nodes of one kind put out, while ``df`` is collected."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().finalPhysicalPlan()
+    found, total, waiting = 0, 0, [plan]
+    while waiting:
+        node = waiting.pop()
+        if "QueryStage" in node.nodeName():
+            waiting.append(node.plan())
+        waiting += [node.children().apply(i) for i in range(node.children().size())]
+        if kind in node.nodeName():
+            found, total = found + 1, total + node.metrics().apply("pythonNumRowsReceived").value()
+    assert found
+    return total
+
+
+def test_own_shingles_go_on_packed(spark):
+    """300 sets with elements in each of 8 parts: a row for each part and range and one for each set, not 8 for each set."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(80)) for i in range(300)]
+    own = _own_shingles(table(spark, texts), 1, 8, 0)
+    assert {r.own for r in own.collect()} == {80}
+    assert _rows_out(own, "FlatMapGroupsInArrow") <= 8 * 8 + 300
+
+
+def test_texts_without_partners_stay_where_they_are(spark):
+    """Of 4,000 texts 20 are asked for: few others reach the join, and none that is asked for is lost."""
+    docs = table(spark, [f"text {i}" for i in range(4000)] + ["again", None]).select("doc_id", "text").withColumnRenamed("doc_id", "id")
+    docs = docs.unionByName(docs.where("id = 7")).unionByName(spark.createDataFrame([(None, "x")], "id long, text string"))
+    asked = spark.createDataFrame([(i,) for i in [*range(0, 4000, 200), 7, 7, 4001, 9999]], "id long")
+    got = _texts_of(docs, asked)
+    assert {r.id: r.text for r in got.collect()} == {i: f"text {i}" for i in [*range(0, 4000, 200), 7]} | {4001: None}
+    assert _rows_out(got, "MapInArrow") <= 24 + 40
+    assert _texts_of(docs, asked.limit(0)).count() == 0
+    got = _texts_of(docs, asked, most_bits=8)  # so full that all may pass
+    assert {r.id for r in got.collect()} == {*range(0, 4000, 200), 7, 4001}
+
+
 def test_shared_passage_is_one_bucket(spark):
     # of the 300 elements that the same eight sets hold outside their centre one stands for all; two sets share another 20
     outside = {b: [*range(1000, 1300), *range(2000, 2020)] if b < 3 else [*range(1000, 1300), 5000 + b] for b in range(1, 9)}
@@ -151,6 +188,9 @@ def test_shared_passage_is_one_bucket(spark):
     # sets that must share 301 elements with a partner hold only 300 that others hold, so they sign with none
     assert sorted(r.ids for r in got) == [[1, 2], [1, 2]]
     assert 0 < rows_of_joins(spark, "[a, el]") - before <= 2 * (8 + 2)  # a plan may be counted before and after it adapts
+    # buckets with the same members leave as one before their rows are joined
+    once = _beyond_buckets(compared, component, sizes, 80, once=True).collect()
+    assert sorted((r.id, r.component, r.size) for r in once) == [(1, 1, 2), (2, 2, 2)]
 
 
 def test_buckets_that_need_no_more_centres_leave_in_one_pass(spark):
