@@ -249,6 +249,27 @@ def test_scanned_slices_of_the_last_batch_go(spark, monkeypatch):
     assert seen[-5:] == [[f"slice={k}" for k in range(n, 4)] for n in (0, 0, 1, 2, 3)]
 
 
+@pytest.mark.parametrize("batches,merged", [((1, 1, 2), []), ((1, 1, 1, 1), ["level"])])
+def test_levels_that_are_read_once_are_not_merged(spark, monkeypatch, batches, merged):
+    """A merged level saves reading only if more than one scan reads it."""
+    seen, keep = [], suffix_dedup.materialize
+
+    def stored(df, name, *by):
+        if name == "level":
+            seen.append(name)
+        return keep(df, name, *by)
+
+    monkeypatch.setattr(suffix_dedup, "materialize", stored)
+    rng = random.Random(5)
+    texts = [prose(rng, 30, [f"word{k}" for k in range(50)]) for _ in range(40)]
+    texts = [t + " " + texts[i % 3] if i > 20 else t for i, t in enumerate(texts)]
+    rows = remove_repeats(table(spark, texts), batches=batches).collect()
+    assert seen == merged
+    whole = {r.doc_id: r.kept_sha256 for r in remove_repeats(table(spark, texts), batches=(1,)).collect()}
+    assert {r.doc_id: r.kept_sha256 for r in rows} == whole and any(r.n_removed for r in rows)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
 def test_remove_repeats_edges(spark):
     assert remove_repeats(table(spark, ["a"]).limit(0)).count() == 0
     long = "abcdefghij" * 10
