@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -148,14 +151,15 @@ def held_out(r: DataFrame, column: str, values: list, least: int = 20) -> DataFr
     return out
 
 
-def families(r: DataFrame, column: str, most: int) -> list:
-    """Values of a small dimension, the commonest first; ``most`` bounds them."""
-    return [x[0] for x in r.groupBy(column).count().orderBy(F.desc("count"), column).limit(most).collect()]
+def families(r: DataFrame, column: str, most: int | None = None) -> list:
+    """Values of a small dimension, null among them, the commonest first; all of them, or the first ``most``."""
+    found = r.groupBy(column).count().orderBy(F.desc("count"), column)
+    return [x[0] for x in (found if most is None else found.limit(most)).collect()]
 
 
 def leave_one_out(s, d) -> DataFrame:
     r = rows(s, d)
-    return held_out(r, "lang", families(r, "lang", 8))
+    return held_out(r, "lang", families(r, "lang"))
 
 
 def compositional(s, d) -> DataFrame:
@@ -168,16 +172,19 @@ def compositional(s, d) -> DataFrame:
 
 def external(s, d) -> DataFrame:
     """For each source: a base model (trained without any of them) on its rows, and one whose training rows have those of the other sources stacked on."""
-    r, out = mo._stored(rows(s, d), "measures"), None  # each of the fits and scores reads the measures, not the texts
+    r = mo._stored(rows(s, d), "measures")  # each of the fits and scores reads the measures, not the texts
     base, outside = r.where("part = 'train'"), r.where("part <> 'train'")
-    model = mo.tree_expert(base, FEATURES)
-    for value in families(outside, "source", 4):
-        test = outside.where(F.col("source") == value)
-        stacked = base.unionByName(outside.where(F.col("source") != value))
-        for name, m in (("base", model), ("stacked", mo.tree_expert(stacked, FEATURES))):
-            row = confusion(mo.scored(m, test), 0.5).withColumns({"source": F.lit(value), "trained": F.lit(name)})
-            out = row if out is None else out.unionByName(row)
-    return out
+    alone = confusion(mo.scored(mo.tree_expert(base, FEATURES), outside), 0.5, by=["source"]).withColumn("trained", F.lit("base"))
+
+    def stacked(value) -> list:
+        own = F.col("source").eqNullSafe(F.lit(value))
+        model = mo.tree_expert(base.unionByName(outside.where(~own)), FEATURES)
+        return confusion(mo.scored(model, outside.where(own)), 0.5, by=["source"]).withColumn("trained", F.lit("stacked")).collect()
+
+    with ThreadPoolExecutor(4) as pool:  # a fit is many short jobs
+        found = [x for part in pool.map(inheritable_thread_target(s)(stacked), families(outside, "source")) for x in part]
+    out = alone.unionByName(s.createDataFrame(found, alone.schema))
+    return out.select(*(c for c in out.columns if c not in ("source", "trained")), "source", "trained")
 
 
 def house(s, d) -> DataFrame:

@@ -121,3 +121,15 @@ def test_shared_inputs_are_stored_once(spark, monkeypatch):
         with pytest.raises(Stop):
             query(spark, "/root/testdata/sf0.001")
     assert stored == ["pooled", "measures", "sessions"]
+
+
+def test_every_source_is_held_out(spark, tmp_path):
+    """All sources come back, a null one too, each with a base and a stacked model; no language is left out."""
+    rows = [(i, ("a " if i % 2 else "B! ") * (5 + i % 7), ("en", "fr")[i % 2], None if i % 7 == 6 else f"src{i % 7}") for i in range(280)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i // 2 % 2, 0) for i in range(280)], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    measured = learning.rows(spark, f"file://{tmp_path}")
+    n = {r.source: r["count"] for r in measured.where("part <> 'train'").groupBy("source").count().collect()}
+    found = {(r.source, r.trained): r.tp + r.fp + r.fn + r.tn for r in learning.external(spark, f"file://{tmp_path}").collect()}
+    assert len(n) == 7 and found == {(k, m): v for k, v in n.items() for m in ("base", "stacked")}
+    assert sorted(learning.families(measured.withColumn("x", F.col("doc_id") % 12), "x")) == list(range(12))
