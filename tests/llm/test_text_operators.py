@@ -608,3 +608,13 @@ def test_empty_batch_is_no_text():
     from tessera.llm.common import text_runs
 
     assert list(text_runs(pa.array([], pa.string()))) == []
+
+
+def test_remove_repeats_of_the_largest_ids(spark):
+    """Batches are cut at quantiles, which are doubles: ids that those round up to 2^63 stay whole and right."""
+    rng = random.Random(9)
+    shared, words = prose(rng, 20, [f"word{k}" for k in range(50)]), [f"other{k}" for k in range(90)]
+    texts = [prose(rng, 15, words) + " " + shared + " " + prose(rng, 15, words) for _ in range(12)]
+    ids = [(1 << 63) - 12 + i for i in range(12)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(table(spark, texts, ids)).collect()}
+    assert got == {ids[i]: r for i, r in brute_repeats(texts).items()} and sum(r[1] for r in got.values()) > 11 * len(shared)
