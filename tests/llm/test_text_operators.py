@@ -618,3 +618,15 @@ def test_remove_repeats_of_the_largest_ids(spark):
     ids = [(1 << 63) - 12 + i for i in range(12)]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(table(spark, texts, ids)).collect()}
     assert got == {ids[i]: r for i, r in brute_repeats(texts).items()} and sum(r[1] for r in got.values()) > 11 * len(shared)
+
+
+def test_large_buckets_join_by_pieces(spark):
+    """60 sets with about the same buckets: what joins by signature are lists of members, not a row for each member."""
+    rng = random.Random(4)
+    core = [f"c{k}" for k in range(100)]
+    texts = [" ".join([w for w in core if w != core[i]] + [f"own{i}"]) for i in range(60)]
+    texts += [" ".join(f"x{i}y{k}" for k in range(rng.randint(1, 9))) for i in range(20)]
+    before = rows_of_joins(spark, "[sig]")
+    got = {r.doc_id: r.component_id for r in jaccard_classes(table(spark, texts), words=1, common_least=10**6, direct=8).collect()}
+    assert got == {i: 0 if i < 60 else i for i in range(80)}
+    assert 0 < rows_of_joins(spark, "[sig]") - before < 4 * 60
