@@ -31,6 +31,7 @@ BASE = {
 }
 #: Cheap tests that hold for every text with a match.
 HINT = {"email": "@", "ip": ".", "card": "", "phone": "+"}
+_FOUR = r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"  # of an ip; it starts at a digit, so the search has nothing to look back for
 #: Generators beyond the base grammars: other ways of writing the same kinds.
 WIDER = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++(?:\x20?[\[(]\x20?at\x20?[\])]\x20?|\x20@\x20)[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]\x20?dot\x20?[\])]\x20?)[A-Za-z0-9-]++)++",
@@ -38,6 +39,13 @@ WIDER = {
     "card": r"(?<![0-9])[0-9]{4}(?:[./_][0-9]{4}){2}[./_][0-9]{1,4}(?![0-9])",
     "phone": r"(?<![0-9+])(?:\([0-9]{2,4}\)\x20?|[0-9]{3}[-.])[0-9]{3}[-.\x20][0-9]{4}(?![0-9])",
 }
+#: Plainer searches that hold for every text with a match: few texts pass them, and only those are searched for the whole.
+FIRST = {
+    "email": lambda text: F.contains(text, F.lit(" @ ")) | text.rlike(r"[\[(]\x20?at\x20?[\])]"),
+    "ip": lambda text: F.contains(text, F.lit("[.]")) | F.contains(text, F.lit("(.)")),
+    "card": lambda text: text.rlike(r"[0-9][./_][0-9]{4}[./_][0-9]"),
+    "phone": lambda text: text.rlike(r"[0-9]{3}[-.\x20][0-9]{4}"),
+}
 _OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 FEATURES = [
     "is_email", "is_ip", "is_card", "is_phone", "n_groups", "longest_group", "largest_group", "checksum", "letter_before", "letter_after", "digit_before", "digit_after",
@@ -45,8 +53,8 @@ FEATURES = [
 ]
 
 
-def matches(text: Column, pattern: str, hint: str) -> Column:
-    """All leftmost non-overlapping matches: array of (start, end, value), in code points, end exclusive."""
+def matches(text: Column, pattern: str, hint: str, first: Column | None = None) -> Column:
+    """All leftmost non-overlapping matches: array of (start, end, value), in code points, end exclusive. Where ``first`` or the ``hint`` don't hold there is none."""
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x))
     pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("value"))
@@ -59,7 +67,8 @@ def matches(text: Column, pattern: str, hint: str) -> Column:
 
     spans = F.aggregate(pairs, start, add, lambda acc: acc["spans"])
     none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
-    return F.when(F.contains(text, F.lit(hint)) & text.rlike(pattern), spans).otherwise(none)
+    likely = F.contains(text, F.lit(hint)) if first is None else F.contains(text, F.lit(hint)) & first
+    return F.when(likely & text.rlike(pattern), spans).otherwise(none)
 
 
 def digits(value: Column) -> Column:
@@ -80,7 +89,7 @@ def valid(kind: str, value: Column) -> Column:
 def base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with arrays ``_pii_base`` (valid spans: kind, start, end, value) and ``_pii_failed`` (matches of a grammar that its validator rejects), by kind and start."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = docs.withColumns({f"_pii_{k}": matches(text, BASE[k], HINT[k]) for k in KINDS})
+    docs = docs.withColumns({f"_pii_{k}": matches(text, BASE[k], HINT[k], text.rlike(_FOUR) if k == "ip" else None) for k in KINDS})
 
     def named(kind: str, keep: bool) -> Column:
         chosen = F.filter(F.col(f"_pii_{kind}"), lambda x: valid(kind, x["value"]) if keep else ~valid(kind, x["value"]))
@@ -94,7 +103,7 @@ def wider_spans(text: Column) -> Column:
     """Proposals of the wider generators: (kind, start, end, value). They may overlap anything."""
 
     def named(kind: str) -> Column:
-        return F.transform(matches(text, WIDER[kind], ""), lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
+        return F.transform(matches(text, WIDER[kind], "", FIRST[kind](text)), lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
 
     arrays = [named(kind) for kind in KINDS]
     return F.concat(*arrays)

@@ -6,6 +6,7 @@ import random
 import re
 import warnings
 import zlib
+from functools import reduce
 from pathlib import Path
 
 import numpy as np
@@ -630,3 +631,21 @@ def test_large_buckets_join_by_pieces(spark):
     got = {r.doc_id: r.component_id for r in jaccard_classes(table(spark, texts), words=1, common_least=10**6, direct=8).collect()}
     assert got == {i: 0 if i < 60 else i for i in range(80)}
     assert 0 < rows_of_joins(spark, "[sig]") - before < 4 * 60
+
+
+def test_searches_for_personal_data_are_whole(spark):
+    """The plainer searches before the wider generators let every match through, and few other texts."""
+    from tessera.llm.pii import _FOUR, BASE, FIRST, KINDS, WIDER, matches
+
+    rng = random.Random(8)
+    bits = ["a.b", "at", "dot", "[", "]", "(", ")", " ", " @ ", "@", ".", "[.]", "(.)", "-", "_", "/", "+", "12", "1234", "255", "555", "(555) ", "x", "é", "com", "[at]", "(at)", "[ at ]", " (dot) "]
+    made = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(6000)]
+    made += [f"ann{a}host{d}com" for a in (" [at] ", "(at)", "[ at ]", " @ ") for d in (".", " [dot] ", "(dot)")] + ["1[.]2[.]3[.]4", "9(.)8.7.6", "1234.5678/9012_3456", "1234/5678.1234.1", "(555) 123-4567", "555-123.4567", "555.123 4567", "10.20.30.40", "x1.2.3.4.5"]
+    text, docs = F.col("text"), table(spark, made)
+    ways = {k: (WIDER[k], FIRST[k](text)) for k in KINDS} | {"base ip": (BASE["ip"], text.rlike(_FOUR))}
+    counts = [F.sum(F.size(matches(text, p, ""))).alias(f"{k} all") for k, (p, _) in ways.items()]
+    counts += [F.count_if(~matches(text, p, "").eqNullSafe(matches(text, p, "", first))).alias(f"{k} other") for k, (p, first) in ways.items()]
+    r = docs.agg(*counts).first()
+    assert all(r[f"{k} all"] > 0 and r[f"{k} other"] == 0 for k in ways)
+    plain = table(spark, ["The year 2019, at 10.30 or 5-6 on a [sic] page (at 4) cost 1,234.50 a.b."])
+    assert plain.where(reduce(lambda x, y: x | y, (first for _, first in ways.values()))).count() == 0
