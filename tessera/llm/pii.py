@@ -189,8 +189,10 @@ def training_rows(found: DataFrame, text: Column) -> DataFrame:
     real = real.select("kind", "value", "label", *_around(F.col("t"), F.col("start"), F.col("end")))
     # digits of a rejected or valid card are no telephone number
     other = real.where("kind = 'card'").withColumns({"kind": F.lit("phone"), "label": F.lit(0.0)})
-    prose = found.select(F.regexp_extract(text, r"(\p{L}+\x20)([A-Za-z]{2,})\x20([A-Za-z]{2,})\.\x20?([A-Za-z]{2,})", 0).alias("t")).where("t <> ''")
-    part = lambda n: F.regexp_extract("t", r"(\p{L}+\x20)([A-Za-z]{2,})\x20([A-Za-z]{2,})\.\x20?([A-Za-z]{2,})", n)
+    words = r"(\p{L}++\x20)([A-Za-z]{2,}+)\x20([A-Za-z]{2,}+)\.\x20?([A-Za-z]{2,}+)"
+    # exploded, as a filter would search each text a second time
+    prose = found.select(F.explode(F.filter(F.array(F.regexp_extract(text, words, 0)), lambda t: t != "")).alias("t"))
+    part = lambda n: F.regexp_extract("t", words, n)
     prose = prose.select(F.lit("email").alias("kind"), F.concat(part(2), F.lit("@"), part(3), F.lit("."), F.lower(part(4))).alias("value"), F.lit(0.0).alias("label"), part(1).alias("before"), F.element_at(F.array(*map(F.lit, (" ", ". ", ", ", "\n", ""))), (F.pmod(F.xxhash64("t"), F.lit(5)) + 1).cast("int")).alias("after"))
     out = None
     for rows in (real, other, prose):
